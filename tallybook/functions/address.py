@@ -11,6 +11,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # base58 alphabet, accepted versions, length range.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -35,7 +36,7 @@ def _checksum_ok(address: str) -> bool:
     return digest[:4] == raw[21:]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _valid(addresses: pd.Series) -> pd.Series:
     return addresses.map(_checksum_ok)
 

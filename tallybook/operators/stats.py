@@ -46,7 +46,7 @@ def achievements(username: DataFrame, action: DataFrame) -> DataFrame:
         F.count(F.when(tip & to_user, amount)).alias("tips_sent"),
         F.count(F.when((F.col("type") == "deposit") & ~to_user, amount)).alias("deposit_count"),
         F.count(F.when(tip & ~to_user & F.col("to_addr").isNotNull(), amount)).alias("withdraw_count"),
-        F.max(F.when(tip & to_user, F.lower("to_user"))).alias("tipped"),
+        F.max(F.when(tip & to_user, 1)).alias("tipped"),
     )
     received = (
         done.where(tip & to_user & F.col("from_user").isNotNull())
@@ -65,7 +65,7 @@ def achievements(username: DataFrame, action: DataFrame) -> DataFrame:
             F.sum("coins_received").cast(SUM8).alias("coins_received"),
             F.sum("tips_sent").alias("tips_sent"),
             F.sum("tips_received").alias("tips_received"),
-            F.countDistinct("tipped").alias("tips_sent_unique"),
+            F.countDistinct(F.when(F.col("tipped") == 1, F.col("peer"))).alias("tips_sent_unique"),
             F.sum("deposit_count").alias("deposit_count"),
             F.sum("withdraw_count").alias("withdraw_count"),
         )
