@@ -132,22 +132,21 @@ def _entries() -> Column:
     )
 
 
-def _entry_rows(state: DataFrame) -> DataFrame:
-    exploded = state.select("*", F.explode(F.filter(_entries(), lambda e: e.isNotNull())).alias("_e"))
+def _entry_rows(state: DataFrame, entries: Column) -> DataFrame:
+    exploded = state.select("*", F.explode(entries).alias("_e")).where(F.col("_e").isNotNull())
     # Only the sender's row carries the action; the others feed the sums.
     own = [F.when(F.col("_e.probe"), F.col(c)).alias(c) for c in state.columns]
     return exploded.select(*own, "_e.*")
 
 
-def _bounds(rows: DataFrame, limits: Chunking) -> DataFrame:
-    values = {
+def _sums() -> dict[str, Running]:
+    return {
         "s_d": Running("sum", F.col("d"), MONEY),
         "s_lo": Running("sum", F.col("lo"), MONEY),
         "s_lo_all": Running("sum", F.col("lo_all"), "bigint"),
         "s_hi": Running("sum", F.col("hi"), MONEY),
         "s_hi_all": Running("sum", F.col("hi_all"), "bigint"),
     }
-    return running(rows, ("account",), ("o_t", "o_phase", "o_id"), values, limits, inclusive=False)
 
 
 def _with_pairs(state: DataFrame, limits: Chunking) -> DataFrame:
@@ -169,8 +168,8 @@ def _base() -> Column:
     return (F.col("base") + F.coalesce("s_d", F.lit(0).cast(MONEY))).cast(MONEY)
 
 
-def _decide(rows: DataFrame, settings: Settings) -> DataFrame:
-    """New status, amount and error of the open claims; probes only."""
+def _decision(settings: Settings) -> list[Column]:
+    """State columns after a round, with the new status, amount and error of a claim."""
     zero = F.lit(0).cast(MONEY)
     base = _base()
     lo = (base + F.coalesce("s_lo", zero)).cast(MONEY)
@@ -193,23 +192,19 @@ def _decide(rows: DataFrame, settings: Settings) -> DataFrame:
         .otherwise("open")
     )
     error = F.when(short, F.when(whole, "tip_below_minimum").otherwise(F.col("short_error")))
-    return rows.where("probe").select(
-        "action_id",
-        "t",
-        "src",
-        "dst",
+    return [
+        F.col("action_id"),
+        F.col("t"),
+        F.col("src"),
+        F.col("dst"),
         F.when(whole & (status == "new"), base).otherwise(F.col("amount")).cast(MONEY).alias("amount"),
         (whole & (status != "new")).alias("take_all"),
-        "held",
-        *_END,
-        "refund",
-        "pair",
-        "short_error",
+        *[F.col(c) for c in ("held", *_END, "refund", "pair", "short_error")],
         base.alias("base"),
-        "block_end",
+        F.col("block_end"),
         error.alias("error"),
         status.alias("status"),
-    )
+    ]
 
 
 def settle(
@@ -253,9 +248,10 @@ def settle(
     state = _normal(state)
     state = space.store(state, "start")
 
-    entries = _entry_rows(state).select("account", "o_t", "o_id")
+    # Built once: every round uses the same expressions.
+    entries, sums, decision = _entries(), _sums(), _decision(settings)
     by_account = plan_chunks(
-        entries, F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks, min_hot_rows=min_hot_rows
+        _entry_rows(state, entries).select("account", "o_t", "o_id"), F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks, min_hot_rows=min_hot_rows
     )
     held = state.where(F.col("held") & F.col("pair").isNotNull())
     any_held = not held.isEmpty()
@@ -267,14 +263,16 @@ def settle(
 
     def bounded(rows: DataFrame) -> DataFrame:
         work = _with_pairs(rows, by_pair) if any_held else rows.withColumn("_maybe", F.col("block_end"))
-        return _bounds(_entry_rows(work), by_account)
+        return running(
+            _entry_rows(work, entries), ("account",), ("o_t", "o_phase", "o_id"), sums, by_account, inclusive=False
+        )
 
     rounds, counts = 0, []
     decided_paths: list[str] = []
     open_rows = state.where("status = 'open'").count()
     while open_rows > tail_rows:
         rounds += 1
-        result = _decide(bounded(state), settings)
+        result = bounded(state).where("probe").select(*decision)
         name = f"round-{rounds}"
         stored = space.store(result.where("status <> 'spent'"), name)
         decided_paths.append(space.path(name))
@@ -384,7 +382,7 @@ def accepted_entries(decisions: DataFrame, until: Column | None = None) -> DataF
         "action_id", "t", "src", "dst", F.col("amount").cast(MONEY).alias("amount"),
         F.lit(False).alias("take_all"), "held", *_END, "refund", F.lit("new").alias("status"),
     )
-    rows = state.select(F.explode(F.filter(_entries(), lambda e: e.isNotNull())).alias("_e")).select(
+    rows = state.select(F.explode(_entries()).alias("_e")).where(F.col("_e").isNotNull()).select(
         F.col("_e.account").alias("account"),
         F.col("_e.o_t").alias("o_t"),
         F.col("_e.o_phase").alias("o_phase"),
