@@ -40,14 +40,9 @@ def append_wallet_balance(balances: DataFrame, path: str) -> None:
 
 
 def write_reports(lines: DataFrame, path: str) -> None:
-    """Report lines, pages laid out in order and split by size, not by page.
+    """Report lines, laid out in page order and split by size, not by page.
 
     A page may hold any number of lines, so pages are not one task each.
     """
-    ordered = lines.repartitionByRange("page", "line_no").sortWithinPartitions("page", "line_no")
-    ordered.write.mode("overwrite").parquet(path)
-
-
-def report_rows(lines: DataFrame) -> DataFrame:
-    """Report lines as (page, line_no, line) for reading back in order."""
-    return lines.select("page", "line_no", "line")
+    order = ("page", "section", "k1", "k2")
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
