@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import accounts, commands, rates, read_side, reports, settlement  # noqa: F401
+from . import accounts, commands, rates, read_side, reports, settlement, streams  # noqa: F401
 from .registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]

@@ -169,6 +169,8 @@ class Tables:
         ]
         ctes += [f"{n} as ({RECIPES[n].strip()})" for n in recipes]
         body = text.strip()
+        if not ctes:
+            return self.spark.sql(body)
         if body[:5].lower() == "with ":
             return self.spark.sql("with " + ",\n".join(ctes) + ",\n" + body[5:])
         return self.spark.sql("with " + ",\n".join(ctes) + "\n" + body)

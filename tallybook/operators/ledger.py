@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import valid_address
 from ..functions.scalars import gold_price
+from ..plans.lineage import Workspace
 from ..plans.scan import Running, plan_chunks, running
 from ..settings import DEFAULT, Settings
 from .accounts import Registration, register_users
@@ -248,7 +249,36 @@ class LedgerRun:
     outcomes: DataFrame
 
 
-def _response_ends(held: DataFrame, declines: DataFrame, settings: Settings) -> DataFrame:
+def responses(actions: DataFrame) -> DataFrame:
+    """Decline commands; accepting is known from the registration of a name."""
+    return actions.where(F.col("type") == "decline").select("service_id", "from_user", "ts", "action_id")
+
+
+def ledger_claims(validated: DataFrame, declines: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Claims of the actions that passed validation; tips to unknown names are held."""
+    good = validated.where(~F.col("failed"))
+    to_name = F.col("to_user").isNotNull()
+    is_held = to_name & ~F.col("to_registered")
+    short = F.when(to_name, F.lit("balance_too_low"))
+    base = [F.col("action_id"), F.col("ts"), F.col("from_id")]
+    direct = good.where(~is_held).select(
+        *claim(*base, F.col("to_id"), F.col("coin_val"), F.col("take_all"), short_error=short)
+    )
+    ended = response_ends(good.where(is_held), declines, settings)
+    pair = F.concat_ws(
+        "|", F.col("service_id").cast("string"), F.lower("from_user"), F.lower("to_user")
+    )
+    held = ended.select(
+        *claim(
+            *base, F.col("to_id"), F.col("coin_val"), F.col("take_all"),
+            end_t=F.col("_end.end_t"), end_phase=F.col("_end.end_phase"), end_id=F.col("_end.end_id"),
+            refund=F.col("_end.refund"), pair=pair, short_error=F.lit("balance_too_low"),
+        )
+    )
+    return direct.unionByName(held)
+
+
+def response_ends(held: DataFrame, declines: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """End of each held tip: acceptance, decline or time limit, whichever is first."""
     t, tid = F.unix_micros(F.col("ts").cast("timestamp")), F.col("action_id").cast("bigint")
     tips = held.select("*", t.alias("_t"), F.lower("to_user").alias("_name"), F.lit(0).alias("_is_decline"))
@@ -303,34 +333,42 @@ def settle_ledger(
     coin_val, optionally take_all.  Commands register and accept create unknown
     names; accept, register and decline end the pending tips of their sender.
     """
-    joins = actions.where(F.col("type").isin("register", "accept"))
-    registration = register_users(
-        joins.select("action_id", "ts", "service_id", "from_user"), user, username, address, settings.coin
-    )
+    space = Workspace(actions.sparkSession, "ledger")
+    registration = stored_registration(actions, user, username, address, space, settings)
     names = timed_names(username, registration)
-    validated = validate_actions(actions, names, address, username, wallet, settings, address_check)
-    good = validated.where(~F.col("failed"))
-    to_name = F.col("to_user").isNotNull()
-    is_held = to_name & ~F.col("to_registered")
-    short = F.when(to_name, F.lit("balance_too_low"))
-    base = [F.col("action_id"), F.col("ts"), F.col("from_id")]
-    direct = good.where(~is_held).select(
-        *claim(*base, F.col("to_id"), F.col("coin_val"), F.col("take_all"), short_error=short)
+    # Read several times below, so the joins behind it run once.
+    validated = space.store(
+        validate_actions(actions, names, address, username, wallet, settings, address_check), "validated"
     )
-    declines = actions.where(F.col("type") == "decline").select("service_id", "from_user", "ts", "action_id")
-    ended = _response_ends(good.where(is_held), declines, settings)
-    pair = F.concat_ws(
-        "|", F.col("service_id").cast("string"), F.lower("from_user"), F.lower("to_user")
+    claims = ledger_claims(validated, responses(actions), settings)
+    settlement = settle(opening, claims, settings=settings, **options)
+    return LedgerRun(registration, validated, settlement, ledger_outcomes(validated, settlement.decisions))
+
+
+def stored_registration(
+    actions: DataFrame,
+    user: DataFrame,
+    username: DataFrame,
+    address: DataFrame,
+    space: Workspace,
+    settings: Settings = DEFAULT,
+) -> Registration:
+    """Registrations made by the register and accept commands, written once."""
+    joins = actions.where(F.col("type").isin("register", "accept"))
+    made = register_users(
+        joins.select("action_id", "ts", "service_id", "from_user"), user, username, address, settings.coin
     )
-    held = ended.select(
-        *claim(
-            *base, F.col("to_id"), F.col("coin_val"), F.col("take_all"),
-            end_t=F.col("_end.end_t"), end_phase=F.col("_end.end_phase"), end_id=F.col("_end.end_id"),
-            refund=F.col("_end.refund"), pair=pair, short_error=F.lit("balance_too_low"),
-        )
+    return Registration(
+        **{
+            name: space.store(getattr(made, name), f"new-{name}")
+            for name in ("user", "username", "address", "outcomes")
+        }
     )
-    settlement = settle(opening, direct.unionByName(held), settings=settings, **options)
-    decided = settlement.decisions.select(
+
+
+def ledger_outcomes(validated: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Final state, error and amount of every validated action."""
+    decided = decisions.select(
         "action_id", "accepted", "held", "refund", "end_t", "end_phase",
         F.col("amount").alias("settled_amount"), F.col("error").alias("_late_error"),
     )
@@ -345,7 +383,7 @@ def settle_ledger(
         .when(F.col("end_phase") == 0, "expired")
         .otherwise("declined")
     )
-    outcomes = joined.select(
+    return joined.select(
         "action_id", "ts", "service_id", "type", "from_user", "to_user", "to_addr", "internal",
         F.coalesce("settled_amount", "coin_val").cast("decimal(20,8)").alias("coin_val"),
         F.coalesce("held", F.lit(False)).alias("was_pending"),
@@ -353,7 +391,6 @@ def settle_ledger(
         F.when(~done, F.coalesce("error", "_late_error")).alias("error"),
         F.when(done & F.col("held"), F.timestamp_micros("end_t")).alias("settled_at"),
     )
-    return LedgerRun(registration, validated, settlement, outcomes)
 
 
 # --- balances ----------------------------------------------------------------

@@ -210,7 +210,7 @@ def _decision(settings: Settings) -> list[Column]:
 def settle(
     opening: DataFrame,
     claims: DataFrame,
-    credits: DataFrame | None = None,
+    granted: DataFrame | None = None,
     settings: Settings = DEFAULT,
     tail_rows: int = 2000,
     chunks: int | None = None,
@@ -219,8 +219,8 @@ def settle(
 ) -> Settlement:
     """Decide ``claims`` in order against ``opening`` (account, balance).
 
-    ``credits`` (action_id, ts, account, amount) are unconditional, such as
-    deposits.  Once at most ``tail_rows`` claims are open, one ordered pass ends
+    ``granted`` are claims without a sender that are decided already: deposits
+    and tips held since an earlier run.  Once at most ``tail_rows`` claims are open, one ordered pass ends
     the loop; that many rows are a fixed small amount whatever the input.
     """
     spark = claims.sparkSession
@@ -241,9 +241,7 @@ def settle(
             }
         )
     )
-    if credits is not None:
-        nobody = F.lit(None).cast("bigint")
-        granted = credits.select(*claim(F.col("action_id"), F.col("ts"), nobody, F.col("account"), F.col("amount")))
+    if granted is not None:
         state = state.unionByName(granted.withColumn("status", F.lit("new")), allowMissingColumns=True)
     state = _normal(state)
     state = space.store(state, "start")
@@ -392,13 +390,18 @@ def accepted_entries(decisions: DataFrame, until: Column | None = None) -> DataF
     return rows if until is None else rows.where(F.col("o_t") <= F.unix_micros(until.cast("timestamp")))
 
 
+def grant(action_id: Column, ts: Column, account: Column, amount: Column) -> list[Column]:
+    """Claim columns of an unconditional credit."""
+    return claim(action_id, ts, F.lit(None).cast("bigint"), account, amount)
+
+
 def closing_balances(
-    opening: DataFrame, decisions: DataFrame, credits: DataFrame | None = None, until: Column | None = None
+    opening: DataFrame, decisions: DataFrame, granted: DataFrame | None = None, until: Column | None = None
 ) -> DataFrame:
-    """Balance per account after the accepted claims; escrow keeps what is still held."""
-    parts = opening.select(F.col("account").cast("bigint").alias("account"), F.col("balance").cast(MONEY).alias("d")).unionByName(
-        accepted_entries(decisions, until).select("account", "d")
-    )
-    if credits is not None:
-        parts = parts.unionByName(credits.select("account", F.col("amount").cast(MONEY).alias("d")))
+    """Balance per account after the accepted claims; what is still held is in no account."""
+    start = opening.select(F.col("account").cast("bigint").alias("account"), F.col("balance").cast(MONEY).alias("d"))
+    parts = start.unionByName(accepted_entries(decisions, until).select("account", "d"))
+    if granted is not None:
+        sure = granted.withColumn("accepted", F.lit(True))
+        parts = parts.unionByName(accepted_entries(sure, until).select("account", "d"))
     return parts.groupBy("account").agg(F.sum("d").cast(MONEY).alias("balance"))
