@@ -15,8 +15,12 @@ ZERO = "decimal(20,8)"
 
 @dataclass(frozen=True)
 class Registration:
-    """New rows of the three identity tables and the outcome of every request."""
+    """New rows of the three identity tables and the outcome of every request.
 
+    ``created`` ties each new name to the request that made it.
+    """
+
+    created: DataFrame
     user: DataFrame
     username: DataFrame
     address: DataFrame
@@ -29,13 +33,18 @@ def _top(df: DataFrame, column: str) -> int:
 
 
 def register_users(
-    requests: DataFrame, user: DataFrame, username: DataFrame, address: DataFrame, coin: str = "dog"
+    requests: DataFrame,
+    user: DataFrame,
+    username: DataFrame,
+    address: DataFrame,
+    coin: str = "dog",
+    space: Workspace | None = None,
 ) -> Registration:
     """Register the senders of ``requests`` (action_id, ts, service_id, from_user).
 
     The first request of an unknown (service, name) creates user, name and an
     empty address; all others end as already_registered.  New ids follow the
-    order of the requests.
+    order of the requests.  With ``space`` the new rows are written once there.
     """
     named = requests.withColumn("name", F.lower("from_user"))
     known = username.select("service_id", F.lower("username").alias("name")).distinct()
@@ -57,13 +66,16 @@ def register_users(
         (F.col("_n") + names).alias("username_id"),
         (F.col("_n") + addresses).alias("address_id"),
     )
+    if space is not None:
+        new = space.store(new, "registered")
     created = F.col("_created").isNotNull()
-    outcomes = requests.join(first.select("action_id", F.lit(True).alias("_created")), "action_id", "left").select(
+    outcomes = requests.join(new.select("action_id", F.lit(True).alias("_created")), "action_id", "left").select(
         *[F.col(c) for c in requests.columns],
         F.when(created, "completed").otherwise("failed").alias("state"),
         F.when(~created, "already_registered").alias("error"),
     )
     return Registration(
+        created=new,
         user=new.select("user_id", "joindate"),
         username=new.select("username_id", "user_id", "service_id", F.col("name").alias("username"), "joindate"),
         address=new.select(

@@ -35,15 +35,10 @@ def timed_names(username: DataFrame, registration: Registration | None = None) -
     )
     if registration is None:
         return known
-    created = registration.outcomes.where(F.col("state") == "completed")
-    joined = registration.username.select("service_id", F.col("username").alias("name"), "user_id").join(
-        created.select("service_id", F.lower("from_user").alias("name"), "ts", "action_id"),
-        ["service_id", "name"],
-    )
     return known.unionByName(
-        joined.select(
+        registration.created.select(
             "service_id", "name", "user_id",
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("since_t"),
+            F.unix_micros(F.col("joindate").cast("timestamp")).alias("since_t"),
             F.col("action_id").cast("bigint").alias("since_id"),
         )
     )
@@ -334,7 +329,7 @@ def settle_ledger(
     names; accept, register and decline end the pending tips of their sender.
     """
     space = Workspace(actions.sparkSession, "ledger")
-    registration = stored_registration(actions, user, username, address, space, settings)
+    registration = registrations(actions, user, username, address, space, settings)
     names = timed_names(username, registration)
     # Read several times below, so the joins behind it run once.
     validated = space.store(
@@ -345,7 +340,7 @@ def settle_ledger(
     return LedgerRun(registration, validated, settlement, ledger_outcomes(validated, settlement.decisions))
 
 
-def stored_registration(
+def registrations(
     actions: DataFrame,
     user: DataFrame,
     username: DataFrame,
@@ -353,16 +348,10 @@ def stored_registration(
     space: Workspace,
     settings: Settings = DEFAULT,
 ) -> Registration:
-    """Registrations made by the register and accept commands, written once."""
+    """Registrations made by the register and accept commands."""
     joins = actions.where(F.col("type").isin("register", "accept"))
-    made = register_users(
-        joins.select("action_id", "ts", "service_id", "from_user"), user, username, address, settings.coin
-    )
-    return Registration(
-        **{
-            name: space.store(getattr(made, name), f"new-{name}")
-            for name in ("user", "username", "address", "outcomes")
-        }
+    return register_users(
+        joins.select("action_id", "ts", "service_id", "from_user"), user, username, address, settings.coin, space
     )
 
 

@@ -16,9 +16,9 @@ from ..functions.address import valid_address
 from ..operators.ledger import (
     ledger_claims,
     ledger_outcomes,
+    registrations,
     response_ends,
     responses,
-    stored_registration,
     timed_names,
     validate_actions,
 )
@@ -89,7 +89,7 @@ class LedgerStream:
         horizon = max(known) if known else 0
 
         user, username, address = (tables[n].appended(batch_id) for n in APPENDED)
-        made = stored_registration(actions, user, username, address, space, settings)
+        made = registrations(actions, user, username, address, space, settings)
         names = timed_names(username, made)
         validated = space.store(
             validate_actions(actions, names, address, username, None, settings, self.address_check), "validated"
