@@ -85,10 +85,12 @@ def validate_actions(
     work = work.withColumn("_addr_ok", F.col("to_addr").isNull() | address_check(F.col("to_addr")))
     work = resolve_internal_address(work, address, username)
     work = _lookup(_lookup(work, names, "from_user", "from"), names, "to_user", "to")
+    # A wallet name is a request for an address that is under way.
+    wanted = F.col("wallet_name").isNotNull() if "wallet_name" in address.columns else F.lit(False)
     with_address = (
         address.where(F.col("coin") == settings.coin)
         .groupBy(F.col("user_id").alias("_uid"))
-        .agg(F.max(F.col("address").isNotNull()).alias("_has_addr"))
+        .agg(F.max(F.col("address").isNotNull() | wanted).alias("_has_addr"))
     )
     work = work.join(with_address, F.col("from_id") == F.col("_uid"), "left")
     # A name registered within this batch gets its address in the same cycle.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.address import valid_address
+from ..operators.identity import addresses_to_assign
 from ..operators.ledger import (
     ledger_claims,
     ledger_outcomes,
@@ -24,7 +25,7 @@ from ..operators.ledger import (
 )
 from ..operators.settle import CLAIM_DDL, MONEY, accepted_entries, settle
 from ..plans.lineage import Workspace
-from ..schemas import fields
+from ..schemas import LEDGER_TABLES, conform, fields
 from ..settings import DEFAULT, Settings
 from .state import SEED, VersionedTable
 
@@ -61,7 +62,7 @@ class LedgerStream:
         start = address.select(F.col("user_id").alias("account"), F.col("balance").cast(MONEY).alias("balance"))
         clock = self.spark.createDataFrame([(None,)], "horizon bigint")
         for name, table in (("user", user), ("username", username), ("address", address)):
-            self.tables[name].write(table, SEED)
+            self.tables[name].write(conform(table, LEDGER_TABLES[name]), SEED)
         self.tables["balances"].write(start.groupBy("account").agg(F.sum("balance").cast(MONEY).alias("balance")), SEED)
         self.tables["deltas"].write(start.where("false"), SEED)
         self.tables["pending"].write(empty, SEED)
@@ -128,13 +129,11 @@ class LedgerStream:
 
         tables["outcomes"].write(outcomes.unionByName(resolved, allowMissingColumns=True), batch_id)
         tables["pending"].write(held.unionByName(still), batch_id)
-        for name in APPENDED:
-            target = tables[name].appended(batch_id)
-            rows = getattr(made, name)
-            columns = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in target.columns]
-            tables[name].write(
-                rows.select(*columns).select(*[F.col(c).cast(t).alias(c) for c, t in target.dtypes]), batch_id
-            )
+        # New accounts ask for an address at once: the wallet name is the request.
+        wallets = addresses_to_assign(made.address, made.username).select("address_id", "wallet_name")
+        asked = made.address.drop("wallet_name").join(wallets, "address_id", "left")
+        for name, rows in (("user", made.user), ("username", made.username), ("address", asked)):
+            tables[name].write(conform(rows, LEDGER_TABLES[name]), batch_id)
         tables["deltas"].write(change, batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             whole = self.opening(batch_id).unionByName(change)
