@@ -19,26 +19,33 @@ def _newest_first() -> list[Column]:
 
 
 def user_history(
-    username: DataFrame, action: DataFrame, service: DataFrame, page: int = 1, size: int = 50
+    username: DataFrame,
+    action: DataFrame,
+    service: DataFrame,
+    page: int = 1,
+    size: int = 50,
+    few_users: bool = False,
 ) -> DataFrame:
     """One page of history per user, newest first, with its position.
 
+    ``few_users`` tells that ``username`` holds a small part of all names, so
+    actions of other names are dropped before ranking instead of after it.
+
     "Sender or receiver" becomes two equi joins.  Each (service, name) keeps only
     its newest ``page * size`` rows before the join, so a name with a third of
     all actions contributes that many rows and no more.
     """
     first, last = page_bounds(page, size)
     kept = action.where(F.col("type").isin(*HISTORY_TYPES))
-    sender, receiver = F.lower("from_user"), F.lower("to_user")
-    to_other = receiver.isNotNull() & (sender.isNull() | (sender != receiver))
-    # A row sent by a name to itself appears once, under the sender role.
-    roles = kept.withColumn("_name", sender).where(F.col("_name").isNotNull()).unionByName(
-        kept.where(to_other).withColumn("_name", receiver)
-    )
+    # Both ends of an action in one pass; a name that is both appears once.
+    ends = F.array_distinct(F.array_compact(F.array(F.lower("from_user"), F.lower("to_user"))))
+    roles = kept.select("*", F.explode(ends).alias("_name"))
+    names = username.select("user_id", "service_id", F.lower("username").alias("_name")).distinct()
+    if few_users:
+        roles = roles.join(names.select("service_id", "_name"), ["service_id", "_name"], "left_semi")
     newest = top_per_key(
         roles, ["service_id", "_name"], _newest_first(), 1, last, rank="_r", salt_on=F.col("action_id")
     ).drop("_r")
-    names = username.select("user_id", "service_id", F.lower("username").alias("_name")).distinct()
     # Two names of one user on one service may be both ends of an action.
     mine = newest.join(names, ["service_id", "_name"]).drop("_name").dropDuplicates(["user_id", "action_id"])
     paged = top_per_key(

@@ -93,6 +93,9 @@ def notify_account(
     parts of bounded size, one row per part; history holds one page.
     """
     resolved = resolve_users(requests, username, service)
+    # Reports cover the requesting users only: a batch, not the ledger.
+    asking = resolved.select("user_id").distinct()
+    username = username.join(asking, "user_id", "left_semi")
     info = account_info(address, username, action).select("user_id", "balance", F.col("address").alias("addr_from"))
     totals = user_totals(username, action)
     links = linked_account_parts(linked_accounts(username, service))
@@ -101,7 +104,7 @@ def notify_account(
         "fiat_val", "coin", "fiat", *[c for c in CONFIG_COLUMNS if c in action.columns],
     ]
     pages = (
-        user_history(username, action, service, 1, page)
+        user_history(username, action, service, 1, page, few_users=True)
         .groupBy("user_id")
         .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("history"))
     )

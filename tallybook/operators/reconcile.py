@@ -15,16 +15,19 @@ from .identity import address_owner
 INCOMING = ("receive", "generate")
 
 
-def _heads(details: DataFrame, unprocessed: DataFrame, settings: Settings) -> DataFrame:
-    """Queued transactions with enough confirmations and their first detail's category and fee."""
-    queued = unprocessed.select("txid").distinct()
+def _queued(details: DataFrame, unprocessed: DataFrame) -> DataFrame:
+    """Details of queued transactions only; filtered before anything is grouped."""
+    return details.join(unprocessed.select("txid").distinct(), "txid", "left_semi")
+
+
+def _heads(queued: DataFrame, settings: Settings) -> DataFrame:
+    """Transactions with enough confirmations and their first detail's category and fee."""
     order = F.struct("n", "address", "amount", "category")
     head = F.min_by(F.struct("category", "fee"), order)
     return (
-        details.groupBy("txid")
+        queued.groupBy("txid")
         .agg(F.max("confirmations").alias("_confirmations"), head.alias("_head"))
         .where(F.col("_confirmations") >= settings.confirmations)
-        .join(queued, "txid", "left_semi")
         .select("txid", F.col("_head.category").alias("head_category"), F.col("_head.fee").alias("head_fee"))
     )
 
@@ -45,11 +48,12 @@ def reconcile_deposits(
     address occurring again in the same transaction is credited once, from its
     first detail with an account.
     """
-    incoming = _heads(details, unprocessed, settings).where(F.col("head_category").isin(*INCOMING))
+    queued = _queued(details, unprocessed)
+    incoming = _heads(queued, settings).where(F.col("head_category").isin(*INCOMING))
     with_account = F.col("account").isNotNull()
     order = F.when(with_account, F.struct("n", "amount"))
     per_address = (
-        details.join(incoming.select("txid"), "txid", "left_semi")
+        queued.join(incoming.select("txid"), "txid", "left_semi")
         .groupBy("txid", "address")
         .agg(
             F.min_by("amount", order).alias("amount"),
@@ -108,7 +112,7 @@ def confirm_withdrawals(
     unprocessed: DataFrame, details: DataFrame, action: DataFrame, settings: Settings = DEFAULT
 ) -> DataFrame:
     """Ledger updates of confirmed outgoing transactions: completed, with the absolute fee."""
-    outgoing = _heads(details, unprocessed, settings).where(F.col("head_category") == "send")
+    outgoing = _heads(_queued(details, unprocessed), settings).where(F.col("head_category") == "send")
     return action.select("action_id", "txid").join(
         outgoing.select("txid", F.abs(F.col("head_fee")).alias("txfee")), "txid"
     ).select("action_id", "txid", F.lit("completed").alias("state"), "txfee")
@@ -118,7 +122,7 @@ def unprocessed_after(
     unprocessed: DataFrame, details: DataFrame, deposits: DataFrame, action: DataFrame, settings: Settings = DEFAULT
 ) -> DataFrame:
     """Queue rows that stay: too few confirmations, unknown owners only, unknown withdrawals."""
-    heads = _heads(details, unprocessed, settings)
+    heads = _heads(_queued(details, unprocessed), settings)
     settled = deposits.where(F.col("outcome") != "unknown_owner").select("txid")
     known = action.where(F.col("txid").isNotNull()).select("txid")
     sent = heads.where(F.col("head_category") == "send").join(known, "txid", "left_semi").select("txid")

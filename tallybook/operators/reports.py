@@ -72,41 +72,68 @@ HISTORY_COLUMNS = (
 )
 
 
+# Fixed order of the sections of a user page.
+_TOTALS = {
+    1: ("tipped", "fiat", "#### Total tipped (fiat)"),
+    2: ("tipped", "coin", "#### Total tipped (coins)"),
+    3: ("received", "fiat", "#### Total received (fiat)"),
+    4: ("received", "coin", "#### Total received (coins)"),
+}
+_HISTORY_SECTION = 5
+
+
 def user_pages(username: DataFrame, action: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Lines of one page per user name: totals by unit and the whole history."""
+    """Lines of one page per user name: totals by unit and the whole history.
+
+    Every page has all headings, so they come from the names alone and the
+    totals and the history are each computed once.
+    """
     page = F.concat(F.lit(settings.stats_page + "_"), F.col("name"))
     names = username.select("user_id", F.lower("username").alias("name")).distinct()
-    pages = names.select(page.alias("page"), "name").distinct()
-    title = heading(
-        pages, 0, [F.concat(F.lit("### Tipping summary for "), F.col("page")), F.lit("")]
+    pages = names.select("name").distinct()
+
+    heads = [(0, 0, F.concat(F.lit("### Tipping summary for "), F.col("name"))), (0, 1, F.lit(""))]
+    tables = {s: (title, (kind, "total")) for s, (_, kind, title) in _TOTALS.items()}
+    tables[_HISTORY_SECTION] = (
+        "#### History", tuple("subreddit" if c == "config3" else c for c in HISTORY_COLUMNS)
+    )
+    for section, (title, columns) in tables.items():
+        texts = (title, "", "|".join(columns), "|".join([":---"] * len(columns)))
+        heads += [(section, i, F.lit(text)) for i, text in enumerate(texts)]
+    lines = F.array(
+        *[F.struct(F.lit(s).alias("section"), F.lit(i).alias("i"), text.alias("text")) for s, i, text in heads]
+    )
+    headings = pages.select(page.alias("page"), F.explode(lines).alias("_h")).select(
+        "page",
+        F.col("_h.section").alias("section"),
+        F.lit(_FIRST).cast("bigint").alias("k1"),
+        F.col("_h.i").cast("bigint").alias("k2"),
+        F.col("_h.text").alias("line"),
+    )
+
+    section = None
+    for number, (direction, kind, _) in _TOTALS.items():
+        here = (F.col("direction") == direction) & (F.col("kind") == kind)
+        section = F.when(here, number) if section is None else section.when(here, number)
+    shown = F.when(F.col("kind") == "fiat", fiat_cell(F.col("total"), settings)).otherwise(
+        coin_cell(F.col("total"), settings)
+    )
+    totals = user_stats(username, action).join(names, "user_id").select(
+        page.alias("page"),
+        section.alias("section"),
+        F.lit(0).cast("bigint").alias("k1"),
+        F.xxhash64("unit").alias("k2"),
+        F.concat(F.lit("**"), F.col("unit"), F.lit("**|"), shown).alias("line"),
     )
-    totals = user_stats(username, action).join(names, "user_id")
-    parts = [title]
-    section = 1
-    for direction, word in (("tipped", "tipped"), ("received", "received")):
-        for kind, label in (("fiat", "Fiat"), ("coin", "Coins")):
-            rows = totals.where((F.col("direction") == direction) & (F.col("kind") == kind))
-            cell = fiat_cell(F.col("total"), settings) if kind == "fiat" else coin_cell(F.col("total"), settings)
-            cells = {kind: F.concat(F.lit("**"), F.col("unit"), F.lit("**")), "total": cell}
-            order = (F.lit(0), F.xxhash64("unit"))
-            parts.append(
-                markdown_table(rows, page, cells, section, order, F.lit(f"#### Total {word} ({label})"))
-            )
-            section += 1
+
     kept = action.where(F.col("type").isin(*HISTORY_TYPES))
     sender, receiver = F.lower("from_user"), F.lower("to_user")
-    roles = kept.withColumn("name", sender).unionByName(
-        kept.where(receiver.isNotNull() & (receiver != sender)).withColumn("name", receiver)
-    )
-    known = names.select("name").distinct()
-    mine = roles.join(known, "name", "left_semi")
-    newest = (-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("action_id"))
+    both = F.array_distinct(F.array_compact(F.array(sender, receiver)))
+    mine = kept.select("*", F.explode(both).alias("name")).join(pages, "name", "left_semi")
     cells = history_cells(F.col("name"), HISTORY_COLUMNS, compact=False, settings=settings)
-    parts.append(markdown_table(mine, page, cells, section, newest, F.lit("#### History")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    newest = (-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("action_id"))
+    history = mine.select(*_line(page, _HISTORY_SECTION, *newest, F.concat_ws("|", *cells.values())))
+    return headings.unionByName(totals).unionByName(history)
 
 
 def global_page(action: DataFrame, top: int = 10, settings: Settings = DEFAULT) -> DataFrame:
