@@ -99,12 +99,13 @@ def merge_usernames(t: Tables) -> DataFrame:
 @query(
     "T12",
     """
-select 'user' as tbl, user_id as id from fx_user where user_id % 11 <> 0
-union all select 'username', username_id from fx_username where user_id % 11 <> 0
-union all select 'address', address_id from fx_address where user_id % 11 <> 0""",
+with g as (select user_id from fx_user where joindate < timestamp '1996-01-01')
+select 'user' as tbl, user_id as id from fx_user where user_id not in (select user_id from g)
+union all select 'username', username_id from fx_username where user_id not in (select user_id from g)
+union all select 'address', address_id from fx_address where user_id not in (select user_id from g)""",
 )
 def delete_users(t: Tables) -> DataFrame:
-    gone = t.user.where("user_id % 11 = 0").unionByName(t.username.where("user_id % 11 = 0").select("user_id"), allowMissingColumns=True)
+    gone = t.user.where("joindate < timestamp '1996-01-01'")
     tables = a.delete_users(gone, t.user, t.username, t.address)
     rows = [
         df.select(F.lit(name).alias("tbl"), F.col(key).alias("id"))
@@ -114,11 +115,11 @@ def delete_users(t: Tables) -> DataFrame:
 
 
 _UPDATES = """
-select action_id, 'completed' as state, ts, from_user, coin_val, 1 as version from fx_action where action_id % 6 = 0
+select action_id, 'completed' as state, ts, from_user, coin_val, 1 as version from fx_action where state = 'pending'
 union all
-select action_id, 'expired', ts, from_user, coin_val * 2, 2 from fx_action where action_id % 12 = 0
+select action_id, 'expired', ts, from_user, coin_val * 2, 2 from fx_action where state = 'pending' and type = 'givetip'
 union all
-select action_id + 700000000, 'failed', ts, from_user, coin_val, 1 from fx_action where action_id % 50 = 0"""
+select action_id + 700000000000, 'failed', ts, from_user, coin_val, 1 from fx_action where state = 'declined'"""
 
 
 @query(
@@ -174,7 +175,7 @@ def read_chain_tx(t: Tables) -> DataFrame:
 
 # A few deposits are recorded already.
 _RECORDED = """
-select txid, address as to_addr, 'deposit' as type from fx_chain_tx where l_orderkey % 24 = 8 and n <= 3"""
+select txid, address as to_addr, 'deposit' as type from fx_chain_tx where confirmations = 8 and category = 'generate'"""
 _HEADS = f"""
 d as ({_DETAILS}),
 h as (select txid, first(category order by n, address, amount, category) as category,

@@ -184,7 +184,7 @@ def stage_actions(t: Tables) -> DataFrame:
     )
 
 
-_BANNED = "select concat('Customer_', lpad(cast(c_custkey as {s}), 9, '0')) as name from customer where c_custkey % 40 = 1"
+_BANNED = "select concat('Customer_', lpad(cast(c_custkey as {s}), 9, '0')) as name from customer where c_mktsegment = 'MACHINERY'"
 
 
 @query(
@@ -208,10 +208,10 @@ def triage_inbox(t: Tables) -> DataFrame:
     "S4",
     """
 select m.fullname, m.author, m.created_utc, m.body from fx_message m
-where cast(split_part(m.fullname, '_', 2) as bigint) % 5 <> 0""",
+where m.created_utc >= timestamp '2024-01-06'""",
 )
 def read_inbox(t: Tables) -> DataFrame:
-    seen = t.message.where(F.substring_index("fullname", "_", -1).cast("long") % 5 == 0)
+    seen = t.message.where("created_utc < timestamp_ntz '2024-01-06'")
     return c.unread_inbox(t.message, seen).select("fullname", "author", "created_utc", "body")
 
 
@@ -257,12 +257,12 @@ select p.fullname, p.msg_id,
   else case when p.live_author is null or (u.usable and p.msg_link is not null) then 'completed' else 'failed' end end as state,
  case when p.fullname like 't4%' then p.from_user is not null and p.msg_body is not null and u.usable
   else p.live_author is not null and u.usable and p.msg_link is not null end as emit
-from (select p.*, case when f.fullname not like '%1' then f.author end as live_author from p left join fx_message f on f.fullname = p.fullname) p
+from (select p.*, case when f.subreddit <> 'sub1' then f.author end as live_author from p left join fx_message f on f.fullname = p.fullname) p
 join u on u.fullname = p.fullname""",
 )
 def triage_pending(t: Tables) -> DataFrame:
     staged = t.sql(_PENDING.format(s="string"))
-    live = t.message.where(~F.col("fullname").endswith("1"))
+    live = t.message.where("subreddit <> 'sub1'")
     matches = _built(t).where(F.col("reason").isNull()).select("fullname")
     return c.triage_pending(staged, live, matches).select("fullname", "msg_id", "state", "emit")
 

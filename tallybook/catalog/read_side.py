@@ -413,11 +413,10 @@ def missing_bot_accounts(t: Tables) -> DataFrame:
     "J11",
     """
 select m.fullname, m.created_utc as created_time from fx_message m
-where not exists (select 1 from events e where e.event_id % 3 = 0
- and m.fullname = concat(case when e.event_id % 2 = 0 then 't4_' else 't1_' end, cast(e.event_id as varchar)))""",
+where m.created_utc >= timestamp '2024-01-11'""",
 )
 def drop_seen(t: Tables) -> DataFrame:
-    seen = t.message.where(F.substring_index("fullname", "_", -1).cast("long") % 3 == 0)
+    seen = t.message.where("created_utc < timestamp_ntz '2024-01-11'")
     return identity.drop_seen(t.message, seen)[1]
 
 
@@ -425,7 +424,7 @@ def drop_seen(t: Tables) -> DataFrame:
     "J14",
     """
 with n as (
- select action_id + 1000000000 as action_id, type, service_id, config1, ts from fx_action where action_id % 2 = 0
+ select action_id + 1000000000 as action_id, type, service_id, config1, ts from fx_action
  union all
  select action_id + 2000000000, 'gold', service_id, config1, ts from fx_action
  union all
@@ -437,7 +436,7 @@ qualify service_id <> 1 or row_number() over (partition by type, service_id, con
 )
 def drop_duplicate_actions(t: Tables) -> DataFrame:
     new = t.sql("""
-select action_id + 1000000000 as action_id, type, service_id, config1, ts from fx_action where action_id % 2 = 0
+select action_id + 1000000000 as action_id, type, service_id, config1, ts from fx_action
 union all
 select action_id + 2000000000, 'gold', service_id, config1, ts from fx_action
 union all

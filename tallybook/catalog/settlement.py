@@ -105,25 +105,25 @@ _PENDING_TIPS = "p as (select * from fx_action where type='givetip' and state='p
     "T3",
     f"""
 with {_PENDING_TIPS},
-q as (select service_id, from_user, min(ts) as at from fx_action where type='history' and action_id % 20 = 0 group by 1, 2)
+q as (select service_id, from_user, min(ts) as at from fx_action where type='history' group by 1, 2)
 select p.action_id, p.service_id, 'completed' as state, q.at as settled_at, 'escrow' as debit, p.to_user as credit, p.coin_val
 from p join q on q.service_id = p.service_id and q.from_user = p.to_user""",
 )
 def accept_pending(t: Tables) -> DataFrame:
-    return g.accept_pending(t.action.where("type = 'history' and action_id % 20 = 0"), t.action)
+    return g.accept_pending(t.action.where("type = 'history'"), t.action)
 
 
 @query(
     "T4",
     f"""
 with {_PENDING_TIPS},
-q as (select service_id, from_user, min(ts) as at from fx_action where type='history' and action_id % 20 = 10 group by 1, 2),
+q as (select service_id, from_user, min(ts) as at from fx_action where type='history' group by 1, 2),
 x as (select p.action_id, p.service_id, p.from_user, p.coin_val from p join q on q.service_id = p.service_id and q.from_user = p.to_user)
 select action_id, service_id, 'escrow' as account, -coin_val as amount from x
 union all select action_id, service_id, from_user, coin_val from x""",
 )
 def decline_pending(t: Tables) -> DataFrame:
-    declined = g.decline_pending(t.action.where("type = 'history' and action_id % 20 = 10"), t.action)[0]
+    declined = g.decline_pending(t.action.where("type = 'history'"), t.action)[0]
     return g.transition_postings(declined)
 
 

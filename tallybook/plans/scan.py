@@ -40,7 +40,7 @@ class Chunking:
 
     t_limits: list[int] = field(default_factory=list)
     tie_limits: list[int] = field(default_factory=list)
-    hot_keys: list[tuple] | None = None  # None: every row is cut (no key)
+    hot_keys: list[int] | None = None  # hashes of the keys to cut; None: no key, every row is cut
 
     @property
     def cuts(self) -> bool:
@@ -105,18 +105,17 @@ def plan_chunks(
     1/chunks of the rows.
     """
     n = _chunk_count(df, chunks)
-    hot: list[tuple] | None = None
+    hot: list[int] | None = None
     if keys:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         total = df.count()
         floor = max(min_hot_rows, total // n)
         if total < floor:
             return Chunking(hot_keys=[])
-        hot = [tuple(r[k] for k in keys) for r in counts.where(F.col("_n") >= floor).collect()]
+        counts = df.groupBy(_key_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+        hot = [r["_h"] for r in counts.where(F.col("_h").isNotNull() & (F.col("_n") >= floor)).collect()]
         if not hot:
             return Chunking(hot_keys=[])
-        wanted = df.select(*[F.col(k) for k in keys]).columns
-        df = df.where(_in_keys(wanted, hot))
+        df = df.where(_is_hot(keys, hot))
     fractions = [i / n for i in range(1, n)]
     accuracy = F.lit(max(10_000, 20 * n))
     row = df.select(
@@ -126,17 +125,17 @@ def plan_chunks(
     return Chunking(_limits(row["t"]), _limits(row["tie"]), hot)
 
 
-def _in_keys(keys: Sequence[str], hot: list[tuple]) -> Column:
-    if len(keys) == 1:
-        listed = F.col(keys[0]).isin([k[0] for k in hot if k[0] is not None])
-        return F.coalesce(listed, F.lit((None,) in hot))
-    test = F.lit(False)
-    for values in hot:
-        match = F.lit(True)
-        for name, value in zip(keys, values):
-            match = match & F.col(name).eqNullSafe(F.lit(value))
-        test = test | match
-    return test
+def _key_hash(keys: Sequence[str]) -> Column:
+    """Hash of a key; null if any part is, as null keys are never cut."""
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return F.when(known, F.xxhash64(*keys))
+
+
+def _is_hot(keys: Sequence[str], hot: list[int]) -> Column:
+    # A key that only shares the hash of a hot one is cut as well, which is harmless.
+    return F.coalesce(_key_hash(keys).isin(hot), F.lit(False))
 
 
 def running(
@@ -159,7 +158,7 @@ def running(
     if chunking.cuts:
         chunk = chunking.chunk(t, tie, phase)
         if chunking.hot_keys is not None:
-            chunk = F.when(_in_keys(keys, chunking.hot_keys), chunk).otherwise(F.lit(0).cast("long"))
+            chunk = F.when(_is_hot(keys, chunking.hot_keys), chunk).otherwise(F.lit(0).cast("long"))
     else:
         chunk = F.lit(0).cast("long")
     work = df.withColumn("_chunk", chunk)
@@ -174,7 +173,7 @@ def running(
         return _finish(local.drop("_chunk"), df.columns, values)
 
     # Totals per cut (key, chunk): at most hot keys x chunks rows.
-    cut = work if chunking.hot_keys is None else work.where(_in_keys(keys, chunking.hot_keys))
+    cut = work if chunking.hot_keys is None else work.where(_is_hot(keys, chunking.hot_keys))
     totals = cut.groupBy(*group).agg(*[_total(v, order).alias(f"_c_{n}") for n, v in values.items()])
     before = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -73,11 +73,17 @@ class LedgerStream:
         full = batch_id - batch_id % self.compact_every
         return full - 1 if full > 0 else SEED
 
-    def opening(self, batch_id: int) -> DataFrame:
-        """Balances before a batch: the last whole table plus the changes since."""
+    def opening(self, batch_id: int, accounts: DataFrame | None = None) -> DataFrame:
+        """Balances before a batch: the last whole table plus the changes since.
+
+        With ``accounts`` only those are looked up, so a batch does not shuffle
+        the balances of everyone.
+        """
         base = self._snapshot_version(batch_id)
         deltas = self.tables["deltas"].versions(batch_id).where(F.col("v") > base).drop("v")
         rows = self.tables["balances"].at(base).unionByName(deltas)
+        if accounts is not None:
+            rows = rows.join(accounts, "account", "left_semi")
         return rows.groupBy("account").agg(F.sum("balance").cast(MONEY).alias("balance"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
@@ -89,17 +95,19 @@ class LedgerStream:
         known = [t for t in (before, latest) if t is not None]
         horizon = max(known) if known else 0
 
-        user, username, address = (tables[n].appended(batch_id) for n in APPENDED)
-        made = registrations(actions, user, username, address, space, settings)
+        user, all_names, all_addresses = (tables[n].appended(batch_id) for n in APPENDED)
+        made = registrations(actions, user, all_names, all_addresses, space, settings)
+        username, address = self._relevant(actions, batch_id, all_names, all_addresses, space)
         names = timed_names(username, made)
         validated = space.store(
             validate_actions(actions, names, address, username, None, settings, self.address_check), "validated"
         )
         declines = responses(actions)
-        claims = ledger_claims(validated, declines, settings)
+        claims = space.store(ledger_claims(validated, declines, settings), "claims")
         carried = space.store(self._carried(batch_id, names, declines), "carried")
         granted = self._granted(carried)
-        settled = settle(self.opening(batch_id), claims, granted, settings, **self.options)
+        senders = claims.select(F.col("src").alias("account")).distinct()
+        settled = settle(self.opening(batch_id, senders), claims, granted, settings, **self.options)
         decisions = settled.decisions
 
         at = F.timestamp_micros(F.lit(horizon))
@@ -142,6 +150,31 @@ class LedgerStream:
             )
         tables["clock"].write(self.spark.createDataFrame([(horizon,)], "horizon bigint"), batch_id)
 
+    def _relevant(
+        self, actions: DataFrame, batch_id: int, username: DataFrame, address: DataFrame, space: Workspace
+    ) -> tuple[DataFrame, DataFrame]:
+        """Names and addresses this batch can refer to; the tables of all users are only scanned."""
+        pending = self.tables["pending"].at(batch_id - 1)
+        mentioned = (
+            actions.select("service_id", F.explode(F.array("from_user", "to_user")).alias("name"))
+            .unionByName(pending.select("service_id", F.col("to_user").alias("name")))
+            .select("service_id", F.lower("name").alias("_name"))
+            .distinct()
+        )
+        by_name = (
+            username.withColumn("_name", F.lower("username"))
+            .join(mentioned, ["service_id", "_name"], "left_semi")
+            .select(*username.columns)
+        )
+        targets = actions.select(F.col("to_addr").alias("address")).where("address is not null").distinct()
+        paid = space.store(address.join(targets, "address", "left_semi").select(*address.columns), "paid")
+        owners = paid.select("user_id").distinct()
+        names = by_name.unionByName(username.join(owners, "user_id", "left_semi").select(*username.columns))
+        names = space.store(names.dropDuplicates(["username_id"]), "names")
+        own = address.join(names.select("user_id").distinct(), "user_id", "left_semi").select(*address.columns)
+        known = own.unionByName(paid).dropDuplicates(["address_id"])
+        return names, space.store(known, "addresses")
+
     def _carried(self, batch_id: int, names: DataFrame, declines: DataFrame) -> DataFrame:
         """Held tips of earlier batches with their end as known after this batch."""
         pending = self.tables["pending"].at(batch_id - 1).drop("end_t")
