@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import escape_md, expires_at, expiry_text, fmt_coin, fmt_fixed, needs_confirmation
+from ..plans.lineage import Workspace
 from ..schemas import CONFIG_COLUMNS
 from ..settings import DEFAULT, Settings
 from .history import user_history
@@ -92,10 +93,12 @@ def notify_account(
     An unregistered sender gets a not_registered row.  Linked accounts come in
     parts of bounded size, one row per part; history holds one page.
     """
-    resolved = resolve_users(requests, username, service)
-    # Reports cover the requesting users only: a batch, not the ledger.
+    space = Workspace(requests.sparkSession, "account-reports")
+    resolved = space.store(resolve_users(requests, username, service), "requests")
+    # Reports cover the requesting users only: a batch, not the ledger.  Their
+    # names are used in four places below, so they are written once.
     asking = resolved.select("user_id").distinct()
-    username = username.join(asking, "user_id", "left_semi")
+    username = space.store(username.join(asking, "user_id", "left_semi"), "names")
     info = account_info(address, username, action).select("user_id", "balance", F.col("address").alias("addr_from"))
     totals = user_totals(username, action)
     links = linked_account_parts(linked_accounts(username, service))

@@ -159,8 +159,10 @@ def wallet_solvency(
 
 def ledger_cover(address: DataFrame, balances: DataFrame) -> DataFrame:
     """Sum of all account balances beside the newest hot-wallet balance."""
-    owed = address.agg(F.sum("balance").cast("decimal(38,8)").alias("owed"))
-    held = latest_wallet_balance(balances).select(F.col("amount").alias("held"))
-    # Two one-row aggregates, lined up by a constant key.
-    both = owed.withColumn("_k", F.lit(1)).join(held.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    owed = address.select(F.col("balance").alias("owed"))
+    held = balances.select("ts", F.col("amount").alias("held"))
+    # Both sides in one aggregation, so nothing has to be joined.
+    both = owed.unionByName(held, allowMissingColumns=True).agg(
+        F.sum("owed").cast("decimal(38,8)").alias("owed"), F.max_by("held", "ts").alias("held")
+    )
     return both.withColumn("covered", F.col("held") >= F.col("owed"))

@@ -122,10 +122,14 @@ def unprocessed_after(
     unprocessed: DataFrame, details: DataFrame, deposits: DataFrame, action: DataFrame, settings: Settings = DEFAULT
 ) -> DataFrame:
     """Queue rows that stay: too few confirmations, unknown owners only, unknown withdrawals."""
-    heads = _heads(_queued(details, unprocessed), settings)
     settled = deposits.where(F.col("outcome") != "unknown_owner").select("txid")
-    known = action.where(F.col("txid").isNotNull()).select("txid")
-    sent = heads.where(F.col("head_category") == "send").join(known, "txid", "left_semi").select("txid")
-    other = heads.where(~F.col("head_category").isin(*INCOMING, "send")).select("txid")
-    gone = settled.unionByName(sent).unionByName(other).distinct()
-    return unprocessed.join(gone, "txid", "left_anti")
+    known = action.where(F.col("txid").isNotNull()).select("txid", F.lit(True).alias("_known")).distinct()
+    sent = F.col("head_category") == "send"
+    closed = (
+        _heads(_queued(details, unprocessed), settings)
+        .where(~F.col("head_category").isin(*INCOMING))
+        .join(known, "txid", "left")
+        .where(~sent | F.col("_known"))
+        .select("txid")
+    )
+    return unprocessed.join(settled.unionByName(closed).distinct(), "txid", "left_anti")

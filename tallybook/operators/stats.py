@@ -6,10 +6,11 @@ row per name, however many actions a busy name has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trunc8
+from ..plans.topk import top_per_key
 from ..settings import DEFAULT, Settings
 
 SUM8 = "decimal(38,8)"
@@ -23,12 +24,17 @@ def _completed(action: DataFrame) -> DataFrame:
     return action.where(F.col("state") == "completed")
 
 
-def _by_sender() -> list[Column]:
-    return [F.col("service_id"), F.lower("from_user").alias("name")]
+def _roles(df: DataFrame) -> DataFrame:
+    """Each action once per end: ``sent`` tells which end ``name`` is.
 
-
-def _by_receiver() -> list[Column]:
-    return [F.col("service_id"), F.lower("to_user").alias("name")]
+    One scan serves both ends; rows are doubled in memory and combined again
+    before the shuffle.
+    """
+    ends = F.array(
+        F.struct(F.lit(True).alias("sent"), F.lower("from_user").alias("name")),
+        F.struct(F.lit(False).alias("sent"), F.lower("to_user").alias("name")),
+    )
+    return df.select("*", F.explode(ends).alias("_end")).select("*", "_end.*").where(F.col("name").isNotNull())
 
 
 def achievements(username: DataFrame, action: DataFrame) -> DataFrame:
@@ -39,24 +45,19 @@ def achievements(username: DataFrame, action: DataFrame) -> DataFrame:
     """
     names = _names(username)
     done = _completed(action).where(F.col("type").isin("givetip", "deposit"))
+    amount, sent = F.col("coin_val"), F.col("sent")
     tip, to_user = F.col("type") == "givetip", F.col("to_user").isNotNull()
-    amount = F.col("coin_val")
-    sent = done.groupBy(*_by_sender(), F.lower("to_user").alias("peer")).agg(
-        F.sum(F.when(tip & to_user, amount)).cast(SUM8).alias("coins_sent"),
-        F.count(F.when(tip & to_user, amount)).alias("tips_sent"),
-        F.count(F.when((F.col("type") == "deposit") & ~to_user, amount)).alias("deposit_count"),
-        F.count(F.when(tip & ~to_user & F.col("to_addr").isNotNull(), amount)).alias("withdraw_count"),
-        F.max(F.when(tip & to_user, 1)).alias("tipped"),
-    )
-    received = (
-        done.where(tip & to_user & F.col("from_user").isNotNull())
-        .groupBy(*_by_receiver())
-        .agg(
-            F.sum(amount).cast(SUM8).alias("coins_received"),
-            F.count(amount).alias("tips_received"),
-        )
+    gave, got = sent & tip & to_user, ~sent & tip & F.col("from_user").isNotNull()
+    # Recipients are kept apart to count them; received tips need no such detail.
+    roles = _roles(done).groupBy("service_id", "name", F.when(sent, F.lower("to_user")).alias("peer")).agg(
+        F.sum(F.when(gave, amount)).cast(SUM8).alias("coins_sent"),
+        F.sum(F.when(got, amount)).cast(SUM8).alias("coins_received"),
+        F.count(F.when(gave, amount)).alias("tips_sent"),
+        F.count(F.when(got, amount)).alias("tips_received"),
+        F.count(F.when(sent & (F.col("type") == "deposit") & ~to_user, amount)).alias("deposit_count"),
+        F.count(F.when(sent & tip & ~to_user & F.col("to_addr").isNotNull(), amount)).alias("withdraw_count"),
+        F.max(F.when(gave, 1)).alias("tipped"),
     )
-    roles = sent.unionByName(received, allowMissingColumns=True)
     per_user = (
         roles.join(names, ["service_id", "name"])
         .groupBy("user_id")
@@ -94,16 +95,14 @@ def channel_stats(action: DataFrame, service_id: int = 2) -> DataFrame:
 
 def _totals(action: DataFrame, username: DataFrame) -> DataFrame:
     """Completed tips sent and received per user; tips to addresses count as sent."""
-    tips = _completed(action).where(F.col("type") == "givetip")
-    sent = tips.groupBy(*_by_sender()).agg(
-        F.sum("coin_val").cast(SUM8).alias("coin_sent"),
-        F.sum("fiat_val").cast("decimal(38,10)").alias("fiat_sent"),
-    )
-    received = tips.where(F.col("to_user").isNotNull()).groupBy(*_by_receiver()).agg(
-        F.sum("coin_val").cast(SUM8).alias("coin_received"),
-        F.sum("fiat_val").cast("decimal(38,10)").alias("fiat_received"),
+    tips = _roles(_completed(action).where(F.col("type") == "givetip"))
+    sent = F.col("sent")
+    roles = tips.groupBy("service_id", "name").agg(
+        F.sum(F.when(sent, F.col("coin_val"))).cast(SUM8).alias("coin_sent"),
+        F.sum(F.when(~sent, F.col("coin_val"))).cast(SUM8).alias("coin_received"),
+        F.sum(F.when(sent, F.col("fiat_val"))).cast("decimal(38,10)").alias("fiat_sent"),
+        F.sum(F.when(~sent, F.col("fiat_val"))).cast("decimal(38,10)").alias("fiat_received"),
     )
-    roles = sent.unionByName(received, allowMissingColumns=True)
     return (
         roles.join(_names(username), ["service_id", "name"])
         .groupBy("user_id")
@@ -160,84 +159,57 @@ def global_stats(action: DataFrame, top: int = 10) -> DataFrame:
     """
     amount = F.sum("coin_val").cast(SUM8).alias("amount")
     n = F.count(F.lit(1)).alias("n")
-    # One fine-grained pass feeds the three totals.
-    cells = action.groupBy("type", "state", "coin").agg(amount, n)
 
-    def total(metric: str, column: str) -> DataFrame:
-        rows = cells.groupBy(F.col(column).alias("label")).agg(
-            F.sum("amount").cast(SUM8).alias("amount"), F.sum("n").alias("n")
-        )
-        return rows.select(
-            F.lit(metric).alias("metric"), F.lit(0).cast("long").alias("position"), "label", "amount", "n"
-        )
+    def labels(metrics: dict[str, Column]) -> Column:
+        return F.explode(
+            F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("label")) for m, c in metrics.items()])
+        ).alias("_l")
 
+    # A few dozen cells come out of one scan and feed the three totals.
+    cells = action.groupBy("type", "state", "coin").agg(amount, n)
+    totals = (
+        cells.select("*", labels({f"by_{c}": F.col(c) for c in ("type", "state", "coin")}))
+        .groupBy("_l.metric", "_l.label")
+        .agg(F.sum("amount").cast(SUM8).alias("amount"), F.sum("n").alias("n"))
+        .select("metric", F.lit(0).cast("long").alias("position"), "label", "amount", "n")
+    )
+    ranked = {
+        "top_tippers": F.lower("from_user"),
+        "top_receivers": F.lower("to_user"),
+        "top_subreddits": F.col("config3"),
+    }
     tips = _completed(action).where(F.col("type") == "givetip")
-
-    def ranking(metric: str, label: Column) -> DataFrame:
-        rows = (
-            tips.where(label.isNotNull())
-            .groupBy(label.alias("label"))
-            .agg(amount, n)
-            .orderBy(F.col("amount").desc_nulls_last(), F.col("label").asc())
-            .limit(top)
-        )
-        ordered = F.row_number().over(
-            # Only ever the ``top`` rows kept above.
-            Window.partitionBy(F.lit(1)).orderBy(F.col("amount").desc_nulls_last(), F.col("label").asc())
-        )
-        return rows.select(
-            F.lit(metric).alias("metric"), ordered.cast("long").alias("position"), "label", "amount", "n"
-        )
-
-    parts = [
-        total("by_type", "type"),
-        total("by_state", "state"),
-        total("by_coin", "coin"),
-        ranking("top_tippers", F.lower("from_user")),
-        ranking("top_receivers", F.lower("to_user")),
-        ranking("top_subreddits", F.col("config3")),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    per_label = (
+        tips.select("coin_val", labels(ranked))
+        .where(F.col("_l.label").isNotNull())
+        .groupBy("_l.metric", "_l.label")
+        .agg(amount, n)
+    )
+    best = [F.col("amount").desc_nulls_last(), F.col("label").asc()]
+    tops = top_per_key(per_label, ["metric"], best, 1, top, rank="position", salt_on=F.col("label"))
+    return totals.unionByName(
+        tops.select("metric", F.col("position").cast("long").alias("position"), "label", "amount", "n")
+    )
 
 
 def user_stats(username: DataFrame, action: DataFrame) -> DataFrame:
     """Tipped and received per user and unit, for coins and fiats with a value."""
-    tips = _completed(action).where(F.col("type") == "givetip")
-    units = tips.select(
-        "service_id",
-        "from_user",
-        "to_user",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit("coin").alias("kind"),
-                    F.col("coin").alias("unit"),
-                    F.col("coin_val").cast("decimal(30,10)").alias("value"),
-                ),
-                F.struct(
-                    F.lit("fiat").alias("kind"),
-                    F.col("fiat").alias("unit"),
-                    F.col("fiat_val").cast("decimal(30,10)").alias("value"),
-                ),
-            )
-        ).alias("u"),
-    ).where(F.col("u.unit").isNotNull() & F.col("u.value").isNotNull())
-    value = F.sum("u.value").cast("decimal(38,10)").alias("total")
-    by = [F.col("u.kind").alias("kind"), F.col("u.unit").alias("unit")]
-    sent = units.groupBy(*_by_sender(), *by).agg(value).withColumn("direction", F.lit("tipped"))
-    received = (
-        units.where(F.col("to_user").isNotNull())
-        .groupBy(*_by_receiver(), *by)
-        .agg(value)
-        .withColumn("direction", F.lit("received"))
-    )
+    tips = _roles(_completed(action).where(F.col("type") == "givetip"))
+
+    def unit(kind: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.col(kind).alias("unit"),
+            F.col(f"{kind}_val").cast("decimal(30,10)").alias("value"),
+        )
+
+    units = tips.select("service_id", "name", "sent", F.explode(F.array(unit("coin"), unit("fiat"))).alias("u"))
     return (
-        sent.unionByName(received)
+        units.where(F.col("u.unit").isNotNull() & F.col("u.value").isNotNull())
+        .groupBy("service_id", "name", "sent", F.col("u.kind").alias("kind"), F.col("u.unit").alias("unit"))
+        .agg(F.sum("u.value").cast("decimal(38,10)").alias("total"))
         .join(_names(username), ["service_id", "name"])
-        .groupBy("user_id", "direction", "kind", "unit")
+        .groupBy("user_id", F.when(F.col("sent"), "tipped").otherwise("received").alias("direction"), "kind", "unit")
         .agg(F.sum("total").cast("decimal(38,10)").alias("total"))
     )
 
@@ -246,22 +218,15 @@ def flair(username: DataFrame, action: DataFrame, settings: Settings = DEFAULT)
     """``tipped[$x] (n) / received[$y] (m)`` per name; a tip to oneself counts as tipped only."""
     names = _names(username)
     history = _completed(action).where(F.col("type").isin("givetip", "redeem", "withdraw", "deposit", "gold"))
-    sent_fiat = F.when(F.col("type") == "givetip", F.col("fiat_val"))
-    sent = history.groupBy(*_by_sender()).agg(
-        F.sum(sent_fiat).cast("decimal(38,10)").alias("tipped"),
-        F.count(F.lit(1)).alias("num_tipped"),
-    )
-    to_other = F.lower("to_user") != F.lower("from_user")
-    received = history.where(F.col("to_user").isNotNull()).groupBy(*_by_receiver()).agg(
-        F.sum(sent_fiat).cast("decimal(38,10)").alias("received"),
-        F.count(F.when(to_other, 1)).alias("num_received"),
-    )
-    both = (
-        names.select("service_id", "name")
-        .distinct()
-        .join(sent, ["service_id", "name"], "left")
-        .join(received, ["service_id", "name"], "left")
-    )
+    fiat = F.when(F.col("type") == "givetip", F.col("fiat_val"))
+    sent, to_other = F.col("sent"), F.lower("to_user") != F.lower("from_user")
+    per_name = _roles(history).groupBy("service_id", "name").agg(
+        F.sum(F.when(sent, fiat)).cast("decimal(38,10)").alias("tipped"),
+        F.count(F.when(sent, 1)).alias("num_tipped"),
+        F.sum(F.when(~sent, fiat)).cast("decimal(38,10)").alias("received"),
+        F.count(F.when(~sent & to_other, 1)).alias("num_received"),
+    )
+    both = per_name.join(names.select("service_id", "name"), ["service_id", "name"], "left_semi")
 
     def part(word: str, total: str, count: str) -> Column:
         money = F.col(total).cast("decimal(38,2)").cast("string")
