@@ -94,6 +94,26 @@ def _messages(t: Tables) -> DataFrame:
     return n.select_messages(notes.withColumn("is_new", fresh))
 
 
+_GOLD = """
+select a.action_id, s.service_name as service, a.type, a.from_user, a.to_user, u.user_id is not null as to_registered,
+ case when a.state = 'completed' then 'completed' else 'failed' end as state,
+ case a.state when 'completed' then null when 'pending' then 'balance_too_low' when 'failed' then 'fiat_error' when 'declined' then 'not_registered' end as error
+from fx_action a join fx_service s on s.service_id = a.service_id
+left join fx_username u on u.service_id = a.service_id and u.username = a.to_user where a.type = 'gold'"""
+
+
+@query(
+    "N1, T8 (gold)",
+    f"""
+with g as ({_GOLD})
+select action_id, service, from_user, to_user, state, 'gold' as command, 'gold_sent' as type, 'from' as audience from g where state = 'completed'
+union all select action_id, service, from_user, to_user, state, 'gold', 'gold_received', 'to' from g where state = 'completed' and to_user is not null and not to_registered
+union all select action_id, service, from_user, to_user, state, 'gold', error, 'from' from g where state = 'failed' and error is not null""",
+)
+def notify_gold(t: Tables) -> DataFrame:
+    return n.notify_gold(t.sql(_GOLD)).drop("to_registered", "error")
+
+
 @query("N4")
 def render(t: Tables) -> DataFrame:
     return n.render(_messages(t)).select("action_id", "type", "recipient", "channel", "template", "text")

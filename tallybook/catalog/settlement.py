@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Tables
 from ..operators import ledger as g
-from ..operators.settle import claim, closing_balances, settle
+from ..operators.settle import audit_decisions, claim, closing_balances, settle
 from .rates import _SNAPSHOTS
 from .registry import query
 
@@ -89,6 +89,29 @@ def settle_balances(t: Tables) -> DataFrame:
     return closing_balances(opening, settled.decisions)
 
 
+@query(
+    "T2 (every decision against the balance of its moment; coins conserved)",
+    """
+select (select count(*) from fx_transfer) as n_claims, (select count(*) from fx_transfer) as n_consistent,
+ (select cast(sum(balance) as decimal(38,8)) from fx_opening) as opening_total,
+ (select cast(sum(balance) as decimal(38,8)) from fx_opening) as closing_total, false as overdrawn""",
+)
+def settle_audit(t: Tables) -> DataFrame:
+    opening, settled = _transfers(t)
+    checked = audit_decisions(opening, settled.decisions).select(F.col("consistent").cast("bigint").alias("fits"))
+    closing = closing_balances(opening, settled.decisions).select(F.col("balance").alias("closing"))
+    rows = checked.unionByName(closing, allowMissingColumns=True).unionByName(
+        opening.select(F.col("balance").alias("opening")), allowMissingColumns=True
+    )
+    return rows.agg(
+        F.count("fits").alias("n_claims"),
+        F.sum("fits").alias("n_consistent"),
+        F.sum("opening").cast("decimal(38,8)").alias("opening_total"),
+        F.sum("closing").cast("decimal(38,8)").alias("closing_total"),
+        (F.min("closing") < 0).alias("overdrawn"),
+    )
+
+
 @query("T2 with T1, T3-T5, T9, F4 (whole log)")
 def settle_ledger(t: Tables) -> DataFrame:
     opening = t.address.select(F.col("user_id").alias("account"), "balance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import keyword_amount, msg_kind, parse_amount
+from ..functions.scalars import keyword_amount, msg_kind, parse_amount, trunc8
 from ..plans.once import once
 from ..schemas import COMMAND_DDL, CONFIG_COLUMNS, ENVELOPE_DDL, HANDLED_COMMANDS
 from ..settings import DEFAULT, Settings
@@ -261,10 +261,14 @@ def read_inbox_commands(messages: DataFrame, settings: Settings = DEFAULT) -> Da
     return _unpack(work, match)
 
 
-def build_action(cmds: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def build_action(
+    cmds: DataFrame, settings: Settings = DEFAULT, convert_fiat: Column | None = None
+) -> DataFrame:
     """Typed action or a ``reason`` why there is none.
 
     Input: priced commands with ``kind`` and, for comments, ``parent_author``.
+    A fiat amount carries no coins and ends below the minimum later on, unless
+    ``convert_fiat`` gives the rate to convert it with.
     """
     message = F.col("kind") == "message"
     recipient = F.when(
@@ -279,12 +283,16 @@ def build_action(cmds: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         .when(~message & (F.col("subreddit") == settings.blocked_subreddit), "blocked_subreddit")
     )
     has_fiat = F.col("fiat").isNotNull()
+    coins = F.when(~has_fiat, F.col("amount"))
+    if convert_fiat is not None:
+        rate = F.when(convert_fiat > 0, convert_fiat).cast("decimal(20,8)")
+        coins = coins.otherwise(trunc8((F.col("amount") / rate).cast("decimal(38,18)")))
     return cmds.select(
         *[F.col(c) for c in cmds.columns if c not in ("to_user", "address", "amount", "verify", "coin", "author")],
         F.lower("author").alias("from_user"),
         F.lower(recipient).alias("to_user"),
         F.col("address").alias("to_addr"),
-        F.when(~has_fiat, F.col("amount")).cast("decimal(20,8)").alias("coin_val"),
+        coins.cast("decimal(20,8)").alias("coin_val"),
         F.when(has_fiat, F.col("amount")).cast("decimal(20,10)").alias("fiat_val"),
         F.when(message, F.lit(settings.coin)).otherwise(F.col("coin")).alias("coin"),
         (~message & F.coalesce("verify", F.lit(False))).alias("verify"),

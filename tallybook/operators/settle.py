@@ -405,3 +405,37 @@ def closing_balances(
         sure = granted.withColumn("accepted", F.lit(True))
         parts = parts.unionByName(accepted_entries(sure, until).select("account", "d"))
     return parts.groupBy("account").agg(F.sum("d").cast(MONEY).alias("balance"))
+
+
+def audit_decisions(opening: DataFrame, decisions: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Each claim with the balance its sender had and whether the decision fits it.
+
+    Accepted claims must have been covered; claims rejected for want of coins must
+    not.  A log in which every row is ``consistent`` is the sequential outcome.
+    """
+    start = opening.groupBy(F.col("account").cast("bigint").alias("_account")).agg(
+        F.sum("balance").cast(MONEY).alias("_opening")
+    )
+    # Rejected claims move nothing but keep their row, so each sender's row
+    # carries its claim and the sum over the rows before it is the balance.
+    state = decisions.select(
+        "action_id", "t", "src", "dst",
+        F.when(F.col("accepted"), F.col("amount")).otherwise(F.lit(0)).cast(MONEY).alias("amount"),
+        F.lit(False).alias("take_all"), "held", *_END, "refund", F.lit("new").alias("status"),
+        F.struct("accepted", "amount", "error", "short_error").alias("claim"),
+    )
+    rows = _entry_rows(state, _entries()).select("action_id", "claim", "account", "o_t", "o_phase", "o_id", "probe", "d")
+    limits = plan_chunks(rows, F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks)
+    net = {"_net": Running("sum", F.col("d"), MONEY)}
+    summed = running(rows, ("account",), ("o_t", "o_phase", "o_id"), net, limits, inclusive=False)
+    joined = summed.where("probe").join(start, F.col("account") == F.col("_account"), "left")
+    had = (F.coalesce("_opening", F.lit(0)) + F.coalesce("_net", F.lit(0))).cast(MONEY)
+    short = F.col("claim.short_error").isNotNull() & (F.col("claim.error") == F.col("claim.short_error"))
+    fits = F.when(F.col("claim.accepted"), had >= F.col("claim.amount")).when(short, had < F.col("claim.amount"))
+    return joined.select(
+        "action_id",
+        F.col("claim.accepted").alias("accepted"),
+        F.col("claim.amount").alias("amount"),
+        had.alias("available"),
+        F.coalesce(fits, F.lit(True)).alias("consistent"),
+    )

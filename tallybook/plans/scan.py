@@ -59,7 +59,7 @@ class Chunking:
         below = _count_below(limits, t)
         repeated = _repeated(self.t_limits)
         crowded = t.isin(repeated) if repeated else F.lit(False)
-        on_limit = F.get(F.array(*[F.lit(v) for v in limits]), below.cast("int")) == t
+        on_limit = F.get(_literals(limits), below.cast("int")) == t
         major = below * 2 + F.coalesce(on_limit, F.lit(False)).cast("long")
         minor = _count_below(sorted(set(self.tie_limits)), tie)
         if phase is not None:
@@ -71,16 +71,20 @@ def _repeated(values: list[int]) -> list[int]:
     return sorted({v for v in values if values.count(v) > 1})
 
 
+def _literals(values: list[int]) -> Column:
+    """Constant array of longs, as one expression however many values it has."""
+    return F.expr("array(" + ",".join(f"{v}L" for v in values) + ")")
+
+
 def _count_below(limits: list[int], value: Column) -> Column:
     """How many limits lie below ``value``, in two steps of sqrt(n) comparisons."""
     if not limits:
         return F.lit(0).cast("long")
     step = max(1, isqrt(len(limits)))
     coarse = limits[::step]
-    array = F.array(*[F.lit(v) for v in limits])
-    hit = F.size(F.filter(F.array(*[F.lit(v) for v in coarse]), lambda b: b < value))
+    hit = F.size(F.filter(_literals(coarse), lambda b: b < value))
     start = F.greatest(hit - 1, F.lit(0)) * step
-    fine = F.slice(array, start + 1, step)
+    fine = F.slice(_literals(limits), start + 1, step)
     return (start + F.size(F.filter(fine, lambda b: b < value))).cast("long")
 
 

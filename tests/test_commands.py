@@ -3,8 +3,18 @@
 from collections import Counter
 
 import pytest
-
-from tallybook.operators.commands import accepted, extract_commands, read_commands, rejected
+from pyspark.sql import functions as F
+
+from tallybook.operators.commands import (
+    accepted,
+    build_action,
+    extract_commands,
+    keyword_table,
+    price_keywords,
+    read_commands,
+    read_inbox_commands,
+    rejected,
+)
 from tallybook.operators.rules import expand_rules
 
 A = "DFundmtrigzA6E25Swr2pRe4Eb79bGP8G1"
@@ -92,3 +102,12 @@ def test_envelopes(spark):
     assert [r["take_all"] for r in ok if r["amount"] is None] == [True]
     reasons = Counter(r["reject_reason"] for r in rejected(parsed).collect())
     assert reasons == {"target_not_unique": 1, "no_body": 3}
+
+
+def test_fiat_withdrawal(spark):
+    df = spark.createDataFrame([("t4_1", f"+withdraw {A} $5 doge", "ann", None, None)], "fullname string, body string, author string, parent_author string, subreddit string")
+    priced = price_keywords(read_inbox_commands(df), keyword_table(spark))
+    plain = build_action(priced).first()
+    assert (plain["coin_val"], str(plain["fiat_val"]), plain["fiat"], plain["to_addr"]) == (None, "5.0000000000", "usd", A)
+    converted = build_action(priced, convert_fiat=F.lit(0.0003)).first()
+    assert str(converted["coin_val"]) == "16666.66666666"

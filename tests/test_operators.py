@@ -220,6 +220,34 @@ def test_notifications_of_an_accept(spark):
     assert sorted(r["type"] for r in notify.notify(df).collect()) == ["tip_received", "tip_sent"]
 
 
+def test_which_notifications_become_messages(spark):
+    ddl = "command string, type string, from_user string, to_user string, coin_val decimal(20,8), verify boolean, is_new boolean"
+    rows = [
+        ("gold", "balance_too_low"), ("givetip", "balance_too_low"), ("givetip", "tip_below_minimum"), ("register", "already_registered"),
+        ("withdraw", "addr_invalid"), ("withdraw", "tip_sent"), ("gold", "gold_sent"), ("gold", "gold_received"), ("deposit", "deposit"),
+        ("history", "history"), ("accept", "accept"), ("register", "register"), ("gold", "fiat_error"), ("info", "not_registered"),
+        ("givetip", "tip_sent"), ("givetip", "tip_received_sneaky"),
+    ]
+    df = spark.createDataFrame([(c, k, "ann", "bob", Decimal(5), False, False) for c, k in rows], ddl)
+    got = {(r["command"], r["type"]): (r["recipient"], r["template"]) for r in notify.select_messages(df).collect()}
+    assert got == {
+        ("gold", "balance_too_low"): ("ann", "gold_low_balance"),
+        ("withdraw", "addr_invalid"): ("ann", "address_invalid"),
+        ("withdraw", "tip_sent"): ("ann", "confirmation"),
+        ("gold", "gold_sent"): ("ann", "gold_confirm"),
+        ("gold", "gold_received"): ("bob", "gold_not_registered"),
+        ("deposit", "deposit"): ("ann", "deposit"),
+        ("history", "history"): ("ann", "history"),
+        ("accept", "accept"): ("ann", "info"),
+        ("register", "register"): ("ann", "info"),
+        ("gold", "fiat_error"): ("ann", "fiat_error"),
+        ("info", "not_registered"): ("ann", "not_registered"),
+        ("givetip", "tip_received_sneaky"): ("bob", "withdraw_sneaky_to"),
+    }
+    loud = df.where("type = 'tip_sent' and command = 'givetip'").withColumn("verify", F.lit(True)).withColumn("is_new", F.lit(True))
+    assert sorted(r["template"] for r in notify.select_messages(loud).collect()) == ["tip_confirmation", "tip_sent"]
+
+
 def test_texts(spark, tables):
     from tallybook.catalog.reports import _messages
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.operators.settle import CLAIM_DDL, closing_balances, settle
+from tallybook.operators.settle import CLAIM_DDL, audit_decisions, closing_balances, settle
 from tallybook.schemas import fields
 
 MINIMUM = Decimal(4)
@@ -121,6 +121,7 @@ def test_equals_sequential(spark, options):
     assert got == want
     closing = {r["account"]: r["balance"] for r in closing_balances(opening, result.decisions).collect()}
     assert closing == balances
+    assert audit_decisions(opening, result.decisions).where("not consistent").isEmpty()
     assert min(closing.values()) >= 0
 
 
@@ -156,3 +157,23 @@ def test_conservation(spark, tables):
     total = lambda df: df.agg(F.sum("balance").cast("decimal(38,8)")).first()[0]
     assert total(closing) == total(opening)
     assert closing.where("balance < 0").isEmpty()
+
+
+def test_audit_finds_a_wrong_decision(spark, tables):
+    from tallybook.operators.settle import claim
+
+    opening = tables.opening.select(F.col("user_id").alias("account"), "balance")
+    claims = tables.transfer.select(
+        *claim(
+            F.col("action_id"), F.col("ts"), F.col("from_id"), F.col("to_id"), F.col("amount"),
+            short_error=F.lit("balance_too_low"),
+        )
+    )
+    decisions = settle(opening, claims).decisions
+    rejected = decisions.where("not accepted").agg(F.min("action_id")).first()[0]
+    flipped = F.col("action_id") == rejected
+    wrong = decisions.withColumn("accepted", F.col("accepted") | flipped).withColumn(
+        "error", F.when(~flipped, F.col("error"))
+    )
+    assert audit_decisions(opening, decisions).where("not consistent").isEmpty()
+    assert rejected in [r["action_id"] for r in audit_decisions(opening, wrong).where("not consistent").collect()]
