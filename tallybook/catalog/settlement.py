@@ -161,9 +161,9 @@ def expire_pending(t: Tables) -> DataFrame:
     return g.expire_pending(t.action, F.lit("1998-06-01").cast("timestamp_ntz"))
 
 
-# Each gold order gets the rate of one snapshot; scaled so that prices vary.
+# Each gold order gets the rate of one snapshot.
 _GOLD = f"""
-select a.*, cast(r.rate * cast(0.5 as decimal(3,2)) as decimal(20,8)) as rate from fx_action a join ({_SNAPSHOTS}) r
+select a.*, r.rate from fx_action a join ({_SNAPSHOTS}) r
  on r.snap_id = a.action_id % (select count(*) from events) where a.type = 'gold'"""
 
 
