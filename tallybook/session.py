@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Applied to any session that runs the operators; all are run-time settings.
@@ -13,7 +17,26 @@ RUNTIME_CONF = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per context, so that no machine needs it installed.
+
+    The archive holds source files only; Spark's own file server hands it out, so
+    executors that join later get it too.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tallybook_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / "tallybook.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tallybook_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
+    ship(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
