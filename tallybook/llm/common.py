@@ -15,8 +15,17 @@ SPACE = r"[ \t-\r]"
 WORD = r"[^ \t-\r]"
 
 
+# Rows that a Python worker holds at once.
+BATCH_ROWS = 1024
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return prepare(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
