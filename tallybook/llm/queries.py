@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secret_scan, warc
+from . import bpe, near_text, packing, quality, secret_scan, warc
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.group_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op7_byte_bpe, op8_warc, op9_quality_rules)}
-ORACLES = {"op3_secret_scan": secret_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op3_secret_scan, op4_best_fit_packing, op7_byte_bpe, op8_warc, op9_quality_rules)}
+ORACLES = {"op1_hyperminhash": near_text.ORACLE, "op3_secret_scan": secret_scan.oracle()}
