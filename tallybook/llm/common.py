@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,15 @@ def learns_from(doc_id: Column) -> Column:
 class Stage(Workspace):
     """Intermediate tables of one run below the shared checkpoint folder."""
 
+    def release(self) -> None:
+        """Let Spark's cleaner remove shuffle files that no table needs any more.
+
+        It works on what the JVM has collected, which on an idle driver can be long
+        after; a step that moves whole texts asks for it when its result is stored.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_text, packing, quality, secret_scan, warc
+from . import bpe, near_text, packing, quality, repeats, secret_scan, warc
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,5 +36,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash, op3_secret_scan, op4_best_fit_packing, op7_byte_bpe, op8_warc, op9_quality_rules)}
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op3_secret_scan, op4_best_fit_packing, op7_byte_bpe, op8_warc, op9_quality_rules, op10_suffix_array)}
 ORACLES = {"op1_hyperminhash": near_text.ORACLE, "op3_secret_scan": secret_scan.oracle()}
