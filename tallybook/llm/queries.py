@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_text, packing, quality, repeats, secret_scan, warc
+from . import bpe, langid, near_text, packing, quality, repeats, secret_scan, toxicity, warc
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -40,5 +48,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hyperminhash, op3_secret_scan, op4_best_fit_packing, op7_byte_bpe, op8_warc, op9_quality_rules, op10_suffix_array)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hyperminhash, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_byte_bpe, op8_warc, op9_quality_rules, op10_suffix_array,
+    )
+}
 ORACLES = {"op1_hyperminhash": near_text.ORACLE, "op3_secret_scan": secret_scan.oracle()}
