@@ -491,7 +491,7 @@ class Repeats:
 
 
 def _kept(data: bytes, cuts: list[dict] | None) -> bytes:
-    if not cuts:
+    if cuts is None or not len(cuts):
         return data
     parts, at = [], 0
     for c in cuts:
