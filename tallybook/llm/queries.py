@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, near_text, packing, quality, repeats, secret_scan, toxicity, warc
+from . import bpe, langid, near_text, near_vectors, packing, quality, repeats, secret_scan, toxicity, warc
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,10 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.group_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.group_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_hyperminhash, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_byte_bpe, op8_warc, op9_quality_rules, op10_suffix_array,
+        op1_hyperminhash, op2_hnsw, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_byte_bpe, op8_warc, op9_quality_rules, op10_suffix_array,
     )
 }
-ORACLES = {"op1_hyperminhash": near_text.ORACLE, "op3_secret_scan": secret_scan.oracle()}
+ORACLES = {"op1_hyperminhash": near_text.ORACLE, "op2_hnsw": near_vectors.ORACLE, "op3_secret_scan": secret_scan.oracle()}
