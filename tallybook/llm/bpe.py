@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import columns, ready
 
-CHUNK = 16_384
-OVERLAP = 512
+# A task splits a chunk in some 20 ms; below that, dealing it out costs more than it saves.
+CHUNK = 65_536
+OVERLAP = 1024
 MEMORY = 200_000  # pre-tokens kept by a worker
 LONGEST = 64  # characters of a pre-token worth keeping
 

@@ -25,9 +25,9 @@ def texts():
     pool = ["a", "é", "ß", "'s", "'", " ", "  ", "\n", "\t", "1", "23", "🙂", "word", "Über", "$", "<|endoftext|>", " ", "日本", "\x1c"]
     out = [None, "", " ", "   x", "'s's ''s", "a" * 200]
     out += ["".join(rng.choices(pool, k=rng.randint(1, 300))) for _ in range(80)]
-    out += ["".join(rng.choices(pool, k=n)) for n in (20_000, 60_000)]
+    out += ["".join(rng.choices(pool, k=n)) for n in (70_000, 150_000)]
     # Seams inside long runs, at which nothing resynchronises.
-    out += ["x " * 8000 + " " * 3000 + "y" * 40_000, "z" * 50_000, " " * 40_000, "1" * (3 * bpe.CHUNK), "\n" * bpe.CHUNK + "ab " * 9000]
+    out += ["x " * (bpe.CHUNK // 2 - 200) + " " * 3000 + "y" * 90_000, "z" * 150_000, " " * 100_000, "1" * (3 * bpe.CHUNK), "\n" * bpe.CHUNK + "ab " * 40_000]
     return out + out[-3:] + out[:2]
 
 
@@ -44,7 +44,7 @@ def test_against_the_library(documents, plain):
 
 
 def test_repeated_and_null_ids(spark):
-    rows = spark.createDataFrame([(None, "ab " * 9000), (None, "ab " * 9000), (3, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([(None, "ab " * 40_000), (None, "ab " * 40_000), (3, None)], "doc_id long, text string")
     out = bpe.encode(rows, RANKS, public_tokenizers.PATTERN).collect()
     assert sorted((r.doc_id is None, len(r.ids)) for r in out)[0] == (False, 0) and len(out) == 3
     assert bpe.bpe_report(rows.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
