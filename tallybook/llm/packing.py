@@ -19,6 +19,7 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import insort
 from collections import defaultdict
@@ -28,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,29 +39,51 @@ from .common import Stage, columns, ready
 
 LENGTH = 4096
 END = 1
-MEMORY = 200_000  # words kept by a worker
+MEMORY = 400_000  # words, and parts of words, kept by a worker
 LONGEST = 64  # characters of a word worth keeping
 SHARD = 20_000  # pieces that one task packs
+# The blanks of Unicode, as a part of a character class.
+BLANKS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PASSES = 50  # passes of local search over a shard's underfull bins
 
 
 class Words:
-    """Ids of texts as little-endian 32-bit integers, by way of their words."""
+    """Ids of texts as little-endian 32-bit integers, by way of their words.
+
+    A word met before costs one look-up; a new one is normalised and split by the rules
+    that the vocabulary file names, and its parts are looked up or merged by its model.
+    """
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        with open(vocabulary, encoding="utf-8") as file:
+            rule = json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(rule.replace(r"\s", BLANKS))
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+            ids = np.array([t.id for t in tokens], "<u4").tobytes()
+            if len(part) <= LONGEST:
+                self.parts[part] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        plain = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
+        return b"".join(map(self.part, self.split.findall(plain)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = {"": b""}
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+        for memory in (self.known, self.parts):
+            if len(memory) > MEMORY:
+                memory.clear()
+        new = set().union(*split) - self.known.keys()
+        self.known.update((word, self.word(word)) for word in new)
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > LONGEST:

@@ -44,7 +44,7 @@ def check(rows, texts, plain, length):
 
 def test_pieces_and_sequences(documents, plain):
     rng = random.Random(2)
-    pool = ["a", "B", "É", "é", "'s", "ΑΣ", "Σ", "İ", "1", "23", "🙂", " ", " ", "<|endoftext|>", "\x1c", "ß", "日本", "$$"]
+    pool = ["a", "B", "É", "é", "'s", "ΑΣ", "Σ", "İ", "1", "23", "🙂", " ", " ", "<|endoftext|>", "\x1c", "ß", "日本", "$$", "각", "ᄀ", "ᅡ", "\u0307", "\x85", "\x0b", "\u00ad", "ﬁ", "Ǆ", "¼"]
     glue = [" ", "", "\n", "\t ", "\r\n", " ́"]
     texts = [None, "", " \n", "x" * 300, "word " * 9000, "q" * 20_000]
     texts += ["".join(rng.choice(pool) + rng.choice(glue) for _ in range(rng.randint(1, 900))) for _ in range(60)]
