@@ -11,6 +11,7 @@ from ..operators import commands as c
 from ..operators.identity import parent_author
 from ..operators.rules import expand_rules
 from ..sources.sinks import archive_rows
+from ..settings import DEFAULT
 from .registry import query
 
 
@@ -133,7 +134,7 @@ def price_keywords(t: Tables) -> DataFrame:
     cmds = c.read_inbox_commands(t.message).where("action is not null")
     priced = c.price_keywords(cmds, t.keyword)
     known = t.keyword.select(F.col("keyword").alias("_kw"), "lo", "hi", "divisor")
-    judged = priced.join(F.broadcast(known), F.col("keyword") == F.col("_kw"), "left")
+    judged = priced.join(known, F.col("keyword") == F.col("_kw"), "left")
     low, high = F.col("lo") / F.col("divisor"), F.col("hi") / F.col("divisor")
     inside = F.col("amount").between(low, high)
     return judged.select(
@@ -233,7 +234,7 @@ qualify row_number() over (partition by created_utc order by msg_id) = 1 order b
 )
 def next_pending_batch(t: Tables) -> DataFrame:
     staged = t.sql(_PENDING.format(s="string"))
-    return c.next_pending_batch(staged).select("created_utc", "msg_id", "fullname", "type", "state")
+    return c.next_pending_batch(staged, DEFAULT.pending_batch).select("created_utc", "msg_id", "fullname", "type", "state")
 
 
 # What the derived texts mean is known from how they are made, so this oracle
@@ -287,7 +288,7 @@ def _envelopes(t: Tables) -> DataFrame:
         )
     )
     whole = F.to_json(F.struct(F.col("action_id").cast("string").alias("id"), F.lit("r").alias("reservation_id"), body.alias("body")))
-    joined = t.action.join(F.broadcast(t.service), "service_id")
+    joined = t.action.join(t.service, "service_id")
     return joined.select(
         F.col("action_id").alias("message_id"),
         F.when(n == 6, F.lit("{broken")).otherwise(whole).alias("message"),

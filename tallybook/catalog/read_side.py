@@ -9,6 +9,7 @@ from ..fixtures import Tables
 from ..functions.scalars import account_value
 from ..operators import history, identity, stats
 from ..schemas import ACTION_DDL, conform
+from ..settings import DEFAULT
 from .registry import query
 
 D38 = "decimal(38,8)"
@@ -181,7 +182,7 @@ from fx_action a join fx_service s on s.service_id=a.service_id
 left join fx_username u on u.service_id=a.service_id and u.username=a.from_user""",
 )
 def resolve_users(t: Tables) -> DataFrame:
-    named = t.action.join(F.broadcast(t.service), "service_id").select("action_id", "service_name", "from_user")
+    named = t.action.join(t.service, "service_id").select("action_id", "service_name", "from_user")
     return identity.resolve_users(named, t.username, t.service)
 
 
@@ -249,7 +250,7 @@ def channel_history(t: Tables) -> DataFrame:
     "W5",
     """
 select row_number() over (order by ts desc, action_id desc) as row_no, action_id, ts, from_user, to_user, to_addr, coin_val, fiat_val
-from fx_action where type='givetip' and state='completed' qualify row_no <= 1000""",
+from fx_action where type='givetip' and state='completed'""",
 )
 def tips_list(t: Tables) -> DataFrame:
     return history.tips_list(t.action).select(
@@ -262,7 +263,7 @@ def tips_list(t: Tables) -> DataFrame:
     "select txid, created_time from fx_unprocessed order by created_time, txid limit 10000",
 )
 def oldest_unprocessed(t: Tables) -> DataFrame:
-    return history.oldest_unprocessed(t.unprocessed)
+    return history.oldest_unprocessed(t.unprocessed, DEFAULT.unprocessed_batch)
 
 
 @query(

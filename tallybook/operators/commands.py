@@ -132,7 +132,7 @@ def unread_inbox(messages: DataFrame, seen: DataFrame) -> DataFrame:
     return fresh.orderBy("created_utc", "fullname")
 
 
-def next_pending_batch(pending: DataFrame, n: int = DEFAULT.pending_batch) -> DataFrame:
+def next_pending_batch(pending: DataFrame, n: int) -> DataFrame:
     """The oldest ``n`` seconds with pending rows, one row each (lowest msg_id)."""
     rows = F.min_by(F.struct(*pending.columns), F.col("msg_id")).alias("_row")
     first = pending.where(F.col("state") == "pending").groupBy(F.col("created_utc").alias("_at")).agg(rows)
@@ -237,7 +237,7 @@ def price_keywords(cmds: DataFrame, keywords: DataFrame, settings: Settings = DE
     ``keywords`` is configuration (a handful of rows), hence the broadcast.
     """
     table = keywords.select(F.col("keyword").alias("_kw"), "lo", "hi", "divisor")
-    joined = cmds.join(F.broadcast(table), F.lower("keyword") == F.col("_kw"), "left")
+    joined = cmds.join(table, F.lower("keyword") == F.col("_kw"), "left")
     drawn = keyword_amount(F.col("lo"), F.col("hi"), F.col("divisor"), F.col("fullname"), settings.keyword_seed)
     value = F.when(F.col("keyword").isNull(), parse_amount(F.col("amount"))).otherwise(drawn)
     return joined.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scan import number_rows
 from ..plans.topk import page_bounds, top_per_key
 from ..schemas import CONFIG_COLUMNS, HISTORY_TYPES
 
@@ -51,7 +52,7 @@ def user_history(
     paged = top_per_key(
         mine, ["user_id"], _newest_first(), first, last, rank="position", salt_on=F.col("action_id")
     )
-    named = paged.join(F.broadcast(service), "service_id")
+    named = paged.join(service, "service_id")
     columns = [c for c in HISTORY_COLUMNS if c in named.columns]
     return named.select("user_id", F.col("position").cast("long").alias("position"), "action_id", *columns)
 
@@ -71,20 +72,16 @@ def channel_history(action: DataFrame, size: int = 50, page: int = 1, service_id
     return paged.withColumn("position", F.col("position").cast("long"))
 
 
-def tips_list(action: DataFrame, limit: int = 1000) -> DataFrame:
-    """The newest completed tips with a row counter."""
-    tips = (
-        action.where((F.col("type") == "givetip") & (F.col("state") == "completed"))
-        .orderBy(*_newest_first())
-        .limit(limit)
-    )
-    # At most ``limit`` rows remain, so one task numbers them.
-    return top_per_key(tips, [F.lit(1)], _newest_first(), 1, limit, rank="row_no").withColumn(
-        "row_no", F.col("row_no").cast("long")
-    )
+def tips_list(action: DataFrame, limit: int | None = None) -> DataFrame:
+    """All completed tips with a row counter, newest first; with ``limit`` only the newest."""
+    tips = action.where((F.col("type") == "givetip") & (F.col("state") == "completed"))
+    if limit is not None:
+        tips = tips.orderBy(*_newest_first()).limit(limit)
+    line = tips.withColumns({"_back": -F.unix_micros(F.col("ts").cast("timestamp")), "_back_id": -F.col("action_id").cast("long")})
+    return number_rows(line, ("_back", "_back_id"), "row_no").drop("_back", "_back_id")
 
 
-def oldest_unprocessed(unprocessed: DataFrame, n: int = 10000) -> DataFrame:
+def oldest_unprocessed(unprocessed: DataFrame, n: int) -> DataFrame:
     """The ``n`` transactions waiting longest (ties by txid)."""
     return unprocessed.orderBy("created_time", "txid").limit(n)
 

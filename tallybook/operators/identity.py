@@ -34,7 +34,7 @@ def resolve_users(
     )
     services = service.select(F.col("service_id").alias("_srv"), F.col("service_name").alias("_sname"))
     # ``service`` is a table of a handful of rows by definition.
-    with_service = df.join(F.broadcast(services), F.col(service_name) == F.col("_sname"), "left")
+    with_service = df.join(services, F.col(service_name) == F.col("_sname"), "left")
     joined = with_service.join(
         names, (F.col("_srv") == F.col("_sid")) & (F.lower(F.col(name)) == F.col("_name")), "left"
     )
@@ -67,7 +67,7 @@ def linked_accounts(username: DataFrame, service: DataFrame) -> DataFrame:
     One row per account rather than a list per user: a user may link any number
     of accounts.  The numbering is chunked, so a crowded user is cut too.
     """
-    named = username.join(F.broadcast(service), "service_id").select(
+    named = username.join(service, "service_id").select(
         "user_id", "username_id", "service_name", F.lower("username").alias("username")
     )
     limits = plan_chunks(named, F.col("username_id"), F.col("username_id"), keys=("user_id",))
@@ -122,7 +122,7 @@ def address_owner(address: DataFrame, username: DataFrame, service: DataFrame) -
         owner["service_id"].alias("service_id"),
         owner["username"].alias("username"),
     )
-    return owned.join(F.broadcast(service), "service_id", "left").select(
+    return owned.join(service, "service_id", "left").select(
         "address_id", "address", "owner_id", "service_id", "service_name", "username"
     )
 
@@ -166,7 +166,7 @@ def pending_for_registered(action: DataFrame, username: DataFrame, service: Data
     names = username.select("service_id", F.lower("username").alias("username")).distinct()
     return (
         pending.join(names, ["service_id", "username"], "left_semi")
-        .join(F.broadcast(service), "service_id")
+        .join(service, "service_id")
         .select("username", "service_name")
     )
 
@@ -213,7 +213,7 @@ def service_bots(spark: SparkSession, settings: Settings = DEFAULT) -> DataFrame
 
 def missing_bot_accounts(bots: DataFrame, username: DataFrame, service: DataFrame) -> DataFrame:
     """Configured service bots that have no account yet."""
-    names = username.join(F.broadcast(service), "service_id").select(
+    names = username.join(service, "service_id").select(
         "service_name", F.lower("username").alias("username")
     )
     return bots.select("service_name", F.lower("username").alias("username")).join(

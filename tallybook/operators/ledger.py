@@ -132,21 +132,34 @@ def _pending_tips(action: DataFrame) -> DataFrame:
     )
 
 
-def _responded(responses: DataFrame, action: DataFrame, state: str, credited: str) -> DataFrame:
-    """Pending tips addressed to responding names, with the transition they make."""
-    # One response per name, the earliest: the join cannot multiply rows.
-    first = responses.groupBy(
-        F.col("service_id").alias("_sid"), F.lower("from_user").alias("_name")
-    ).agg(F.min("ts").alias("settled_at"))
-    tips = _pending_tips(action)
-    joined = tips.join(
-        first, (F.col("service_id") == F.col("_sid")) & (F.lower("to_user") == F.col("_name"))
+def _responded(
+    responses: DataFrame, action: DataFrame, state: str, credited: str, hours: int = DEFAULT.expire_hours
+) -> DataFrame:
+    """Pending tips whose recipient responds in time, with the transition they make.
+
+    The response that counts is the next one of that name at or after the tip, if it
+    comes before the tip expires.  Tips and responses share one line per name, read
+    backwards, so a name with many of both forms no pairs.
+    """
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    tips = _pending_tips(action).select("*", F.lower("to_user").alias("_name"), t.alias("_t"), F.lit(1).alias("_tip"))
+    moves = responses.select(
+        "service_id", F.lower("from_user").alias("_name"), F.col("action_id"), F.col("ts"), t.alias("_t"), F.lit(0).alias("_tip")
     )
-    return joined.select(
+    # Backwards in time; of one instant the responses come first.
+    line = tips.unionByName(moves, allowMissingColumns=True).withColumns(
+        {"_back": -F.col("_t"), "_back_id": -F.col("action_id").cast("long")}
+    )
+    keys = ("service_id", "_name")
+    limits = plan_chunks(line, F.col("_back"), F.col("_back_id"), keys)
+    at = F.when(F.col("_tip") == 0, F.struct(F.col("_t").alias("t"), F.col("ts").alias("ts")))
+    scanned = running(line, keys, ("_back", "_tip", "_back_id"), {"_next": Running("last", at)}, limits)
+    in_time = F.col("_next.t") <= F.col("_t") + F.lit(hours * 3600 * 1_000_000)
+    return scanned.where((F.col("_tip") == 1) & in_time).select(
         "action_id",
         "service_id",
         F.lit(state).alias("state"),
-        "settled_at",
+        F.col("_next.ts").alias("settled_at"),
         F.lit(ESCROW).alias("debit"),
         F.lower(credited).alias("credit"),
         "coin_val",
@@ -168,7 +181,7 @@ def decline_pending(declines: DataFrame, action: DataFrame) -> tuple[DataFrame,
 
 
 def expire_pending(action: DataFrame, now: Column, hours: int = DEFAULT.expire_hours) -> DataFrame:
-    """Pending tips older than ``hours`` at ``now``: escrow back to sender; time kept."""
+    """Pending tips older than ``hours`` at ``now``: escrow back to sender, as of their limit."""
     limit = now - F.make_interval(hours=F.lit(hours))
     return (
         _pending_tips(action)
@@ -177,7 +190,7 @@ def expire_pending(action: DataFrame, now: Column, hours: int = DEFAULT.expire_h
             "action_id",
             "service_id",
             F.lit("expired").alias("state"),
-            F.col("ts").alias("settled_at"),
+            (F.col("ts") + F.make_interval(hours=F.lit(hours))).alias("settled_at"),
             F.lit(ESCROW).alias("debit"),
             F.lower("from_user").alias("credit"),
             "coin_val",

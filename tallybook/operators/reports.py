@@ -155,8 +155,8 @@ def global_page(action: DataFrame, top: int = 10, settings: Settings = DEFAULT)
     return head.unionByName(body)
 
 
-def tips_page(action: DataFrame, limit: int = 1000, settings: Settings = DEFAULT) -> DataFrame:
-    """Lines of the page with the newest completed tips."""
+def tips_page(action: DataFrame, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """Lines of the page with all completed tips, or the newest ``limit``."""
     tips = tips_list(action, limit)
     viewer = F.lit("")
     columns = ("row_no", "ts", "from_user", "to_user", "to_addr", "coin_val", "fiat_val")

@@ -21,12 +21,10 @@ for actions, id of the causing action.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.lineage import Workspace
@@ -212,16 +210,15 @@ def settle(
     claims: DataFrame,
     granted: DataFrame | None = None,
     settings: Settings = DEFAULT,
-    tail_rows: int = 2000,
     chunks: int | None = None,
-    min_hot_rows: int = 1_000_000,
     on_round: Callable[[int, int], None] | None = None,
 ) -> Settlement:
     """Decide ``claims`` in order against ``opening`` (account, balance).
 
     ``granted`` are claims without a sender that are decided already: deposits
-    and tips held since an earlier run.  Once at most ``tail_rows`` claims are open, one ordered pass ends
-    the loop; that many rows are a fixed small amount whatever the input.
+    and tips held since an earlier run.  Rounds go on until no claim is open: each decides at least
+    the earliest open claim of every account, so their number follows the longest chain of claims
+    that wait for each other.
     """
     spark = claims.sparkSession
     space = Workspace(spark, "settle")
@@ -249,12 +246,12 @@ def settle(
     # Built once: every round uses the same expressions.
     entries, sums, decision = _entries(), _sums(), _decision(settings)
     by_account = plan_chunks(
-        _entry_rows(state, entries).select("account", "o_t", "o_id"), F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks, min_hot_rows=min_hot_rows
+        _entry_rows(state, entries).select("account", "o_t", "o_id"), F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks
     )
     held = state.where(F.col("held") & F.col("pair").isNotNull())
     any_held = not held.isEmpty()
     by_pair = (
-        plan_chunks(held, F.col("t"), F.col("action_id"), ("pair",), chunks=chunks, min_hot_rows=min_hot_rows)
+        plan_chunks(held, F.col("t"), F.col("action_id"), ("pair",), chunks=chunks)
         if any_held
         else Chunking(hot_keys=[])
     )
@@ -265,30 +262,29 @@ def settle(
             _entry_rows(work, entries), ("account",), ("o_t", "o_phase", "o_id"), sums, by_account, inclusive=False
         )
 
+    columns = ["action_id", "amount", "status", "error"]
     rounds, counts = 0, []
-    decided_paths: list[str] = []
+    stored = state.where("status in ('spent', 'rejected')")  # no claim is decided yet
     open_rows = state.where("status = 'open'").count()
-    while open_rows > tail_rows:
+    while open_rows:
         rounds += 1
-        result = bounded(state).where("probe").select(*decision)
-        name = f"round-{rounds}"
-        stored = space.store(result.where("status <> 'spent'"), name)
-        decided_paths.append(space.path(name))
+        result = bounded(state).where("probe").select(*decision).where("status <> 'spent'")
+        # The write itself counts what is left.
+        left = Observation()
+        stored = space.store(result.observe(left, F.count(F.when(F.col("status") == "open", 1)).alias("n")), f"round-{rounds}")
         state = _normal(stored.where("status in ('open', 'new')"))
-        open_rows = stored.where("status = 'open'").count()
+        open_rows = left.get["n"]
         counts.append(open_rows)
         if on_round:
             on_round(rounds, open_rows)
 
-    columns = ["action_id", "amount", "status", "error"]
-    tail = _finish(bounded(state), settings).select(*columns)
-    parts = tail
-    if decided_paths:
-        done = spark.read.schema(stored.schema).parquet(*decided_paths)
-        parts = done.where("status in ('new', 'rejected')").select(*columns).unionByName(tail)
+    paths = [space.path(f"round-{k}") for k in range(1, rounds + 1)]
+    done = spark.read.schema(stored.schema).parquet(*paths) if paths else stored
+    parts = done.where("status in ('new', 'rejected')").select(*columns)
     decided = space.store(
         parts.select("action_id", (F.col("status") == "new").alias("accepted"), "error", "amount"), "decisions"
     )
+    space.drop("start", *(f"round-{k}" for k in range(1, rounds + 1)))
     decisions = claims.drop("amount").join(decided, "action_id")
     return Settlement(decisions, rounds, tuple(counts))
 
@@ -300,80 +296,6 @@ def _normal(state: DataFrame) -> DataFrame:
     )
 
 
-_TAIL_DDL = "action_id bigint, amount decimal(38,8), status string, error string"
-
-
-def _finish(bounded: DataFrame, settings: Settings) -> DataFrame:
-    """One ordered pass over the last open claims, whose bases are up to date."""
-    minimum = settings.minimum
-    rows = bounded.where(F.col("probe") & (F.col("status") == "open")).select(
-        "action_id", "t", "src", "dst", "amount", "take_all", "held", *_END, "refund", "pair", "short_error",
-        _base().alias("base"),
-        F.col("block_end.end_t").alias("block_t"),
-        F.col("block_end.end_phase").alias("block_phase"),
-        F.col("block_end.end_id").alias("block_id"),
-    )
-
-    def sequential(table: pa.Table) -> pa.Table:
-        decided = _sequential(table.to_pylist(), minimum)
-        return pa.Table.from_pylist(decided, schema=_TAIL_SCHEMA)
-
-    # Bounded: the caller leaves at most ``tail_rows`` open claims.
-    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(sequential, _TAIL_DDL)
-
-
-_TAIL_SCHEMA = pa.schema(
-    [
-        ("action_id", pa.int64()),
-        ("amount", pa.decimal128(38, 8)),
-        ("status", pa.string()),
-        ("error", pa.string()),
-    ]
-)
-
-
-def _sequential(rows: list[dict], minimum) -> list[dict]:
-    change: dict[int, object] = {}
-    blocked: dict[str, tuple] = {}
-    ends: list[tuple] = []
-    out = []
-
-    def add(account, amount) -> None:
-        if account is not None:
-            change[account] = change.get(account, 0) + amount
-
-    for row in sorted(rows, key=lambda r: (r["t"], r["action_id"])):
-        now = (row["t"], 1, row["action_id"])
-        while ends and ends[0][0] < now:
-            _, account, amount = heapq.heappop(ends)
-            add(account, amount)
-        balance = row["base"] + change.get(row["src"], 0)
-        amount = balance if row["take_all"] else row["amount"]
-        status, error = "rejected", None
-        pair = row["pair"] if row["held"] else None
-        block = blocked.get(pair)
-        if row["block_t"] is not None:
-            earlier = (row["block_t"], row["block_phase"], row["block_id"])
-            block = max(block, earlier) if block else earlier
-        if row["take_all"] and balance < minimum:
-            error = "tip_below_minimum"
-        elif balance < amount:
-            error = row["short_error"]
-        elif pair is None or block is None or block <= now:
-            status = "new"
-            end = (row["end_t"], row["end_phase"], row["end_id"])
-            if row["held"]:
-                add(row["src"], -amount)
-                heapq.heappush(ends, (end, row["src"] if row["refund"] else row["dst"], amount))
-                if pair is not None:
-                    blocked[pair] = max(blocked.get(pair, end), end)
-            elif row["src"] != row["dst"]:
-                add(row["src"], -amount)
-                add(row["dst"], amount)
-        out.append({"action_id": row["action_id"], "amount": amount, "status": status, "error": error})
-    return out
-
-
 def accepted_entries(decisions: DataFrame, until: Column | None = None) -> DataFrame:
     """Balance changes (account, o_t, o_id, d) of accepted claims, up to ``until``."""
     state = decisions.where("accepted").select(

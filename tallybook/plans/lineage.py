@@ -7,6 +7,7 @@ earlier rounds.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="run-")
     spark.conf.set("spark.checkpoint.dir", own)
@@ -43,3 +44,10 @@ class Workspace:
         """Write ``df`` and return it as read back from storage."""
         df.write.mode("error").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later step reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(conf).delete(path, True)

@@ -100,7 +100,6 @@ def plan_chunks(
     tie: Column,
     keys: Sequence[str] = (),
     chunks: int | None = None,
-    min_hot_rows: int = 1_000_000,
 ) -> Chunking:
     """Measure ``df`` once: quantiles of the order and the keys worth cutting.
 
@@ -112,7 +111,7 @@ def plan_chunks(
     hot: list[int] | None = None
     if keys:
         total = df.count()
-        floor = max(min_hot_rows, total // n)
+        floor = max(1, total // n)
         if total < floor:
             return Chunking(hot_keys=[])
         counts = df.groupBy(_key_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.plans.asof import asof_join
-from tallybook.plans.scan import Chunking, Running, number_rows, plan_chunks, running
+from tallybook.plans.scan import Running, number_rows, plan_chunks, running
 from tallybook.plans.topk import top_per_key
 
 
@@ -43,7 +43,7 @@ def test_running(spark, keyed, inclusive, chunks):
     rows = rows_of(chunks)
     df = spark.createDataFrame(rows, "k long, t long, phase int, id long, v long").repartition(4)
     keys = ("k",) if keyed else ()
-    limits = plan_chunks(df, F.col("t"), F.col("id"), keys, chunks=chunks, min_hot_rows=10)
+    limits = plan_chunks(df, F.col("t"), F.col("id"), keys, chunks=chunks)
     assert limits.cuts
     values = {
         "total": Running("sum", F.col("v")),
@@ -72,10 +72,9 @@ def test_chunks_follow_the_order_and_stay_small(spark):
 
 def test_only_hot_keys_are_cut(spark):
     df = spark.createDataFrame(rows_of(5), "k long, t long, phase int, id long, v long")
-    limits = plan_chunks(df, F.col("t"), F.col("id"), ("k",), chunks=5, min_hot_rows=10)
+    limits = plan_chunks(df, F.col("t"), F.col("id"), ("k",), chunks=5)
     hot = df.where("k = 0").select(F.xxhash64("k")).first()[0]
     assert limits.hot_keys == [hot]
-    assert plan_chunks(df, F.col("t"), F.col("id"), ("k",)) == Chunking(hot_keys=[])
 
 
 def test_number_rows(spark):
