@@ -83,14 +83,16 @@ _HISTORY_SECTION = 5
 
 
 def user_pages(username: DataFrame, action: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Lines of one page per user name: totals by unit and the whole history.
+    """Lines of one page per name of a service: totals by unit and the whole history.
+
+    People of one name on two services are two people and have a page each.
 
     Every page has all headings, so they come from the names alone and the
     totals and the history are each computed once.
     """
-    page = F.concat(F.lit(settings.stats_page + "_"), F.col("name"))
-    names = username.select("user_id", F.lower("username").alias("name")).distinct()
-    pages = names.select("name").distinct()
+    page = F.concat(F.lit(settings.stats_page + "_"), F.col("service_id").cast("string"), F.lit("_"), F.col("name"))
+    names = username.select("user_id", "service_id", F.lower("username").alias("name")).distinct()
+    pages = names.select("service_id", "name").distinct()
 
     heads = [(0, 0, F.concat(F.lit("### Tipping summary for "), F.col("name"))), (0, 1, F.lit(""))]
     tables = {s: (title, (kind, "total")) for s, (_, kind, title) in _TOTALS.items()}
@@ -122,14 +124,15 @@ def user_pages(username: DataFrame, action: DataFrame, settings: Settings = DEFA
         page.alias("page"),
         section.alias("section"),
         F.lit(0).cast("bigint").alias("k1"),
-        F.xxhash64("unit").alias("k2"),
+        # The first seven bytes of a unit, as a number, sort like the unit.
+        F.conv(F.rpad(F.hex(F.substring("unit", 1, 7)), 14, "0"), 16, 10).cast("bigint").alias("k2"),
         F.concat(F.lit("**"), F.col("unit"), F.lit("**|"), shown).alias("line"),
     )
 
     kept = action.where(F.col("type").isin(*HISTORY_TYPES))
     sender, receiver = F.lower("from_user"), F.lower("to_user")
     both = F.array_distinct(F.array_compact(F.array(sender, receiver)))
-    mine = kept.select("*", F.explode(both).alias("name")).join(pages, "name", "left_semi")
+    mine = kept.select("*", F.explode(both).alias("name")).join(pages, ["service_id", "name"], "left_semi")
     cells = history_cells(F.col("name"), HISTORY_COLUMNS, compact=False, settings=settings)
     newest = (-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("action_id"))
     history = mine.select(*_line(page, _HISTORY_SECTION, *newest, F.concat_ws("|", *cells.values())))

@@ -298,3 +298,11 @@ def test_checkpoint_folder_is_the_session_setting(spark):
 def test_queries_do_not_touch_views(spark):
     assert isinstance(Tables(spark, "/root/testdata/sf0.001").service.count(), int)
     assert not [t for t in spark.catalog.listTables() if not t.name.startswith("tallybook_stream")]
+
+
+def test_pages_belong_to_a_name_of_a_service(tables):
+    from tallybook.operators.reports import user_pages
+
+    known = tables.username.select("service_id", F.lower("username").alias("name")).distinct()
+    pages = user_pages(tables.username, tables.action)
+    assert pages.select("page").distinct().count() == known.count() > known.select("name").distinct().count()
