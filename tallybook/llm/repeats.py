@@ -15,8 +15,9 @@ the entry before, and the tail) by ranges. A range merges its runs with a loser
 that keeps the common prefix with the last output: entries that differ in it need no
 comparison, others are compared from there on, and an entry equal to the last output
 shows by its prefix alone. All but the earliest of equal segments go as a whole. Where
-segments differ but share 66 bytes around their anchors, their single windows are
-filtered by hash and sorted the same way. A text equal to that of a smaller doc_id goes
+segments differ but share 66 bytes on a side of their anchors, the match ends inside
+them: the single windows on that side are told apart by 96 bits of hash, and all but the
+earliest of equal ones go; they are dealt like the anchors. A text equal to that of a smaller doc_id goes
 whole (if long enough) without being sorted.
 
 Sizes: ranges and anchor parts grow in number with the candidates, runs are bounded.
@@ -127,46 +128,70 @@ def run_number(counter: int) -> int:
     return (TaskContext.get().partitionId() << 24) | counter
 
 
-def _anchors(parts: int):
-    """Anchors dealt by hash: kind 0 one segment of each anchor string, kind 1 the other segments of it here."""
-
-    def flush(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, counter: int) -> pa.RecordBatch:
-        order = np.argsort(keys, kind="stable")
-        keys, docs, at = keys[order], docs[order], at[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        often = np.append(~first[1:], False)[first]  # its next is a copy
-        owner = (keys % np.uint64(parts)).astype(np.int64)
-        rows = []
-        one = np.flatnonzero(first)
-        deal = np.argsort(owner[one], kind="stable")
-        one, often = one[deal], often[deal]
-        for p, (a, b) in slices(owner[one]):
-            s = one[a:b]
-            rows.append({"part": p, "kind": 0, "run": run_number(counter), "blob": packed(keys[s], docs[s], at[s], often[a:b])})
-        more = np.flatnonzero(~first)
-        for i in range(0, len(more), PART_SEGMENTS):
-            s = more[i : i + PART_SEGMENTS]
-            rows.append({"part": (run_number(counter) + i) % parts, "kind": 1, "run": run_number(counter), "blob": packed(docs[s], at[s])})
-        return pa.RecordBatch.from_pylist(rows, _BLOBS)
+def dealt(parts: int, keys: np.ndarray, docs: np.ndarray, at: np.ndarray, counter: int, settle: bool) -> pa.RecordBatch:
+    """Blobs of a task's keys, sorted: kind 0 one place of each key, to the key's part; kind 1 the other places.
+
+    ``keys`` has a second column that only tells keys of one hash apart. The place sent
+    is the earliest. To ``settle`` is to need no more of the others than that there is
+    an earlier one; else the place sent says whether it has others, which makes it
+    repeated whatever its part finds.
+    """
+    order = np.lexsort((at, docs, keys[:, 1], keys[:, 0]))
+    keys, docs, at = keys[order], docs[order], at[order]
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
+    often = np.append(~first[1:], False)[first] & (not settle)
+    one = np.flatnonzero(first)
+    owner = (keys[one, 0] % np.uint64(parts)).astype(np.int64)
+    deal = np.argsort(owner, kind="stable")
+    one, often, owner = one[deal], often[deal], owner[deal]
+    rows = []
+    for p, (a, b) in slices(owner):
+        i = one[a:b]
+        rows.append({"part": p, "kind": 0, "run": run_number(counter), "blob": packed(keys[i, 0], keys[i, 1].astype("<u4"), docs[i], at[i], often[a:b])})
+    same = np.zeros(len(at), bool)
+    same[1:] = ~first[1:] & (docs[1:] == docs[:-1]) & (at[1:] == at[:-1])  # a row that is repeated as it is
+    more = np.flatnonzero(~first & ~same)
+    for i in range(0, len(more), PART_SEGMENTS):
+        some = more[i : i + PART_SEGMENTS]
+        rows.append({"part": (run_number(counter) + i) % parts, "kind": 1, "run": run_number(counter), "blob": packed(docs[some], at[some])})
+    return pa.RecordBatch.from_pylist(rows, _BLOBS)
+
+
+def _dealt(parts: int, settle: bool, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, int, np.ndarray]]]):
+    """Keys of all places of the batches, dealt in runs of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = counter = 0
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                keys = segments(text.encode("utf-8", "surrogatepass"))[3]
-                if len(keys):
-                    held.append((keys, np.full(len(keys), doc), np.arange(len(keys), dtype=np.int32)))
-                    size += len(keys)
-            if size > 4 * PART_SEGMENTS:
-                yield flush(*map(np.concatenate, zip(*held, strict=True)), counter)
+            for keys, doc, at in places(b):
+                held.append((keys, np.full(len(keys), doc), at.astype("<i4")))
+                size += len(keys)
+            if size > 2 * PART_SEGMENTS:
+                yield dealt(parts, *map(np.concatenate, zip(*held, strict=True)), counter, settle)
                 held, size, counter = [], 0, counter + 1
-        if held:
-            yield flush(*map(np.concatenate, zip(*held, strict=True)), counter)
+        if size:
+            yield dealt(parts, *map(np.concatenate, zip(*held, strict=True)), counter, settle)
 
     return run
 
 
+def anchor_places(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        keys = segments(text.encode("utf-8", "surrogatepass"))[3]
+        yield np.column_stack([keys, np.zeros_like(keys)]), doc, np.arange(len(keys))
+
+
+def window_places(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Windows on the shared sides of a segment: after its anchor those that reach ``SIDE`` bytes before it at most."""
+    for doc, start, off, string, behind, before in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "anchor", "string", "after", "ahead")), strict=True):
+        low = 0 if before else max(0, off - SIDE)
+        high = len(string) - LEAST + 1 if behind else min(len(string) - LEAST, off - SIDE) + 1
+        hashes = [xxhash.xxh3_128_intdigest(string[j : j + LEAST]) for j in range(low, high)]
+        keys = np.array([(h >> 64, h & 0xFFFFFFFF) for h in hashes], np.uint64).reshape(-1, 2)
+        yield keys, doc, np.arange(start + low, start + low + len(keys))
+
+
 def slices(sorted_: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
     """Runs of equal values: (value, (from, to))."""
     cuts = [0, *(np.flatnonzero(np.diff(sorted_)) + 1).tolist(), len(sorted_)]
@@ -188,24 +213,35 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield held[0]["part"], held
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in by_part(batches):
-        docs, at = [], []
-        once = [unpacked(r["blob"], "<u8", "<i8", "<i4", "?")[0] for r in rows if r["kind"] == 0]
-        for r in rows:
-            if r["kind"] == 1:
-                d, a = unpacked(r["blob"], "<i8", "<i4")[0]
-                docs.append(d)
-                at.append(a)
-        if once:
-            keys, d, a, often = map(np.concatenate, zip(*once, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, d, a, often = keys[order], d[order], a[order], often[order]
-            same = keys[1:] == keys[:-1]
-            keep = often | np.append(same, False) | np.append(False, same)
-            docs.append(d[keep])
-            at.append(a[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(at), pa.int32())], ["doc", "at"])
+def _repeated(settle: bool):
+    """Places of keys that occur again; to ``settle``, of those that occur earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_part(batches):
+            docs, at = [], []
+            once = [unpacked(r["blob"], "<u8", "<u4", "<i8", "<i4", "?")[0] for r in rows if r["kind"] == 0]
+            for r in rows:
+                if r["kind"] == 1:
+                    d, a = unpacked(r["blob"], "<i8", "<i4")[0]
+                    docs.append(d)
+                    at.append(a)
+            if once:
+                keys, check, d, a, often = map(np.concatenate, zip(*once, strict=True))
+                order = np.lexsort((a, d, check, keys))
+                keys, check, d, a, often = keys[order], check[order], d[order], a[order], often[order]
+                same = (keys[1:] == keys[:-1]) & (check[1:] == check[:-1])
+                if settle:
+                    keep = np.append(False, same)
+                    # The earliest place may have come from two tasks, as a row that is repeated as it is.
+                    first = np.maximum.accumulate(np.where(keep, 0, np.arange(len(keep))))
+                    keep &= (d != d[first]) | (a != a[first])
+                else:
+                    keep = often | np.append(same, False) | np.append(False, same)
+                docs.append(d[keep])
+                at.append(a[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(at), pa.int32())], ["doc", "at"])
+
+    return run
 
 
 Entry = tuple[bytes, int, int, int]  # string, doc, start, offset of the anchor
@@ -407,24 +443,6 @@ def segment_strings(b: pa.RecordBatch) -> Iterator[list[Entry]]:
         yield [(data[a : z + LEAST], doc, a, p - a) for a, z, p in zip(first[at].tolist(), last[at].tolist(), anchor[at].tolist(), strict=True)]
 
 
-def window_strings(b: pa.RecordBatch) -> Iterator[list[Entry]]:
-    for doc, start, string, at in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "string", "at")), strict=True):
-        yield [(string[j : j + LEAST], doc, start + j, 0) for j in at]
-
-
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key, doc, start, at = [], [], [], []
-        for d, s, string in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "string")), strict=True):
-            n = len(string) - LEAST + 1
-            key += [xxhash.xxh3_64_intdigest(string[j : j + LEAST]) for j in range(n)]
-            doc += [d] * n
-            start += [s] * n
-            at += range(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(at, pa.int32())],
-                                         ["key", "doc", "start", "at"])
-
-
 class Repeats:
     """One run; keeps its tables in the shared folder."""
 
@@ -443,12 +461,17 @@ class Repeats:
 
     def splitters(self, parts: int) -> list[bytes]:
         """Cuts between ranges, from windows of a bounded sample of texts; they only steer the balance."""
-        found = self.docs.where(f"octet_length(text) >= {LEAST}").select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE)
         # A place of each sampled text by its hash; the sample has a fixed size.
-        place = F.expr("cast(pmod(h, greatest(1, length(text) - 40)) AS int) + 1")
-        sample = sorted(r[0].encode() for r in found.select(F.substring("text", place, F.lit(24))).collect())
+        luck = F.xxhash64("doc_id")
+        place = (F.pmod(luck, F.greatest(F.lit(1), F.length("text") - 40)) + 1).cast("int")
+        found = self.docs.where(f"octet_length(text) >= {LEAST}").select(F.substring("text", place, F.lit(24)).alias("piece"), luck.alias("luck"))
+        sample = sorted(r.piece.encode() for r in found.orderBy("luck", "piece").limit(SAMPLE).collect())
         return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
+    def repeated(self, places: DataFrame, parts: int, settle: bool, of: Callable) -> DataFrame:
+        sent = places.mapInArrow(_dealt(parts, settle, of), BLOBS).repartition(self.tasks, "part").sortWithinPartitions("part")
+        return sent.mapInArrow(_repeated(settle), "doc long, at int")
+
     def sort(self, runs: DataFrame, with_classes: bool, name: str) -> DataFrame:
         dealt = runs.repartition(self.tasks, "part").sortWithinPartitions("part")
         return self.stage.store(dealt.mapInArrow(_merge(with_classes), FOUND), name)
@@ -458,7 +481,7 @@ class Repeats:
         texts = self.docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {LEAST}")
         total = self.stage.spark.read.parquet(self.stage.path("known")).agg(F.sum("size")).first()[0] or 0
         parts = max(self.tasks, total // (SPAN // 2 * PART_SEGMENTS) + 1)
-        anchors = texts.mapInArrow(_anchors(parts), BLOBS).repartition(self.tasks, "part").sortWithinPartitions("part").mapInArrow(_repeated_anchors, "doc long, at int")
+        anchors = self.repeated(texts, parts, False, anchor_places)
         candidates = self.stage.store(anchors.join(self.left_out.withColumnRenamed("doc_id", "doc"), "doc", "left_anti").distinct(), "candidates")
         self.stage.release()
 
@@ -469,14 +492,17 @@ class Repeats:
 
         classes = found.where("kind = 0")
         around = classes.select(F.explode(F.array("behind", "before")).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        near = classes.select("doc", "start", F.explode(F.array("behind", "before")).alias("key")).join(around, "key").select("doc", "start").distinct()
-        loose = self.stage.store(classes.join(near, ["doc", "start"], "left_semi").select("doc", "start", "string"), "loose")
-        windows = self.stage.store(loose.mapInArrow(_window_hashes, "key long, doc long, start long, at int"), "windows")
-        often = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        places = windows.join(often, "key").groupBy("doc", "start").agg(F.collect_set("at").alias("at"))
-        single = self.sort(loose.join(places, ["doc", "start"]).mapInArrow(_runs(splitters, window_strings), BLOBS), False, "single")
+        side = F.posexplode(F.array("behind", "before")).alias("side", "key")
+        near = classes.select("doc", "start", side).join(around, "key").groupBy("doc", "start").agg((F.min("side") == 0).alias("after"), (F.max("side") == 1).alias("ahead"))
+        loose = self.stage.store(classes.join(near, ["doc", "start"]).select("doc", "start", "anchor", "string", "after", "ahead"), "loose")
+        self.stage.release()
+        windows = loose.agg(F.sum(F.octet_length("string") - LEAST + 1)).first()[0] or 0
+        single = self.repeated(loose, max(self.tasks, windows // PART_SEGMENTS + 1), True, window_places)
+        # Neighbouring windows come from many parts; they are merged per document below.
+        single = self.stage.store(single.select("doc", F.col("at").cast("long").alias("start"), F.lit(LEAST).alias("size")), "single")
+        self.stage.drop("loose")
         self.stage.release()
-        return found.where("kind = 1").union(single).select("doc", "start", "size")
+        return found.where("kind = 1").select("doc", "start", "size").union(single)
 
     def cuts(self) -> DataFrame:
         """(doc, cuts): the merged spans of every document that loses bytes, in order."""
