@@ -51,25 +51,20 @@ class Stage(Workspace):
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def drop(self, *names: str) -> None:
-        """Remove tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
-
 
 def checksum(df: DataFrame) -> tuple:
     row = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
     return row[0], row[1]
 
 
-def components(stage: Stage, links: DataFrame, label: str = "links") -> DataFrame:
+def components(stage: Stage, links: DataFrame, label: str = "links", steps: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b), for every id in a link.
 
     Alternating large and small stars: every id hooks to its smallest neighbour until
     all links point to a root. Rounds grow with the logarithm of the longest path. A
     hot id costs a combined minimum and a join that adaptive execution can split.
+    With ``steps`` it stops after so many: labels are then members of the component, but
+    one component may have several.
     """
     edges = stage.store(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -91,9 +86,11 @@ def components(stage: Stage, links: DataFrame, label: str = "links") -> DataFram
         now = checksum(after)
         stage.drop(f"{label}-{step - 1}")
         edges = after
-        if now == seen:
+        if now == seen or step == steps:
             break
         seen = now
+    if steps:
+        edges = edges.groupBy("u").agg(F.min("v").alias("v"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -15,8 +15,10 @@ their full sets.
 Many alike. A group of near copies is not taken apart into all its pairs: in two rounds,
 blocks of bounded size propose only the edges of a spanning forest of best estimates, and
 verified links join components. What is left to settle are candidate pairs between
-different components; those are all verified, so no link between components is missed.
-Hot groups are dealt in blocks over tasks.
+different components. In groups of more than ``FEW`` members those are compared inside
+the task on 32 bits of each hash, and only pairs that may be links come out; those are
+all verified, so no link between components is missed. Hot groups are dealt in blocks
+over tasks.
 
 Null and empty texts have empty sets and link with nothing. Rows with a null doc_id link
 with nothing. Repeated rows and equal texts share a class; rows that share a doc_id count
@@ -45,6 +47,9 @@ MANTISSA = 10
 BLOCK = 1024
 ROUNDS = 2
 ERRORS = 5.0
+FEW = 32
+SHORT = 4096  # hashes of a text that travel with it into a large group
+SHARED = 1 << 16  # distinct hashes that a block compares at once; a sample of them beyond
 MEMORY = 200_000  # words kept by a worker
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -129,6 +134,39 @@ def possible(similarity: np.ndarray, seen: np.ndarray, threshold: float) -> np.n
     return similarity >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.maximum(seen, 1))
 
 
+def overlaps(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarities of all sets, and the size of the samples they rest on (infinite where exact).
+
+    Hashes of one set alone only count towards its size; the others make a table of
+    sets by hashes whose product with itself has the sizes of the intersections.
+    """
+    owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    values = np.concatenate(hashes)
+    size = np.bincount(owner, minlength=len(hashes)).astype(np.float32)
+    found, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = int((count > 1).sum())
+    exact = shared <= SHARED
+    if not exact:
+        bits = int(np.ceil(np.log2(shared / SHARED)))
+        keep = (values & np.uint32(2**bits - 1)) == 0
+        owner, values = owner[keep], values[keep]
+        size = np.bincount(owner, minlength=len(hashes)).astype(np.float32)
+        found, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    twice = count[place] > 1
+    owner, column = owner[twice], column[place][twice]
+    common = np.zeros((len(hashes), len(hashes)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        part = np.zeros((len(hashes), 4096), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    union = np.maximum(size[:, None] + size[None] - common, 1)
+    return common / union, np.full_like(union, np.inf) if exact else union
+
+
 def forest(similarity: np.ndarray, allowed: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join the components by their best allowed estimates (a maximum spanning forest)."""
     label = np.unique(component, return_inverse=True)[1]
@@ -185,6 +223,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rep"), sets], ["rep", "hashes"])
 
 
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """32 bits of every hash."""
+    for b in batches:
+        half = [np.unique(np.frombuffer(h, np.uint64).astype(np.uint32)).tobytes() for h in b.column("hashes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(half, pa.binary())], ["rep", "hashes"])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
 
@@ -204,10 +249,20 @@ def _proposals(threshold: float, whole: bool):
             estimate, seen = estimates(regs, regs, size, size)
             found = forest(estimate, possible(estimate, seen, threshold), comp)
             return np.array([(reps[i], reps[j]) for i, j in found], np.int64).reshape(-1, 2)
-        left = side == 0
-        right = ~left if (~left).any() else left
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side != 0) if (side != 0).any() else left
         estimate, seen = estimates(regs[left], regs[right], size[left], size[right])
-        i, j = np.nonzero(possible(estimate, seen, threshold) & (comp[left][:, None] != comp[right][None]))
+        likely = possible(estimate, seen, threshold) & (comp[left][:, None] != comp[right][None])
+        told = np.array([h is not None for h in rows["hashes"]])
+        if told.any() and likely.any():
+            known = np.flatnonzero(told)
+            exact, seen = overlaps([np.frombuffer(h, np.uint32) for h in rows["hashes"][known]])
+            at = np.cumsum(told) - 1
+            both = told[left][:, None] & told[right][None]
+            # Hashes of 32 bits may agree by chance, which only raises a similarity.
+            sure = possible(exact, seen, threshold - 1e-4)[np.ix_(at[left], at[right])]
+            likely &= ~both | sure
+        i, j = np.nonzero(likely)
         return np.column_stack([reps[left][i], reps[right][j]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +276,7 @@ def _proposals(threshold: float, whole: bool):
         for b in batches:
             cols = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n_shingles", "side")}
             cols["registers"] = matrix(b.column("registers"))
+            cols["hashes"] = np.array([*b.column("hashes").to_pylist(), None], object)[:-1]
             band, part = b.column("band").to_numpy(), b.column("part").to_numpy()
             cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(part) != 0)) + 1
             out = []
@@ -280,7 +336,9 @@ class Grouping:
         """(band, rep) of the bands that more than one representative has."""
         bands = self.reps.mapInArrow(_bands, "band long, rep long")
         often = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        return self.stage.store(bands.join(often.select("band"), "band"), "groups")
+        found = self.stage.store(bands.join(often.select("band"), "band"), "groups")
+        self.stage.release()
+        return found
 
     def members(self, groups: DataFrame, label: DataFrame | None) -> DataFrame:
         """Group members with component, size and registers, of the groups that span components."""
@@ -297,7 +355,8 @@ class Grouping:
         """Members dealt into blocks of about ``BLOCK``, as (band, part)."""
         size = members.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {BLOCK}")
         return members.join(size, "band", "left").select(
-            "band", F.expr(f"cast(pmod(xxhash64(rep), ceil(coalesce(n, 1) / {BLOCK})) AS bigint)").alias("part"), "rep", "component", "n_shingles", F.lit(0).alias("side"), "registers"
+            "band", F.expr(f"cast(pmod(xxhash64(rep), ceil(coalesce(n, 1) / {BLOCK})) AS bigint)").alias("part"), "rep", "component", "n_shingles", F.lit(0).alias("side"), "registers",
+            F.lit(None).cast("binary").alias("hashes"),
         )
 
     def halves(self, members: DataFrame) -> DataFrame:
@@ -307,18 +366,22 @@ class Grouping:
         largest component meet each other and the blocks of that component, whose own
         members need not meet.
         """
+        many = members.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {FEW}").select("band")
+        short = self.sets.where(f"octet_length(hashes) <= {8 * SHORT}").mapInArrow(_halved, "rep long, hashes binary")
+        told = members.select("band", "rep").join(many, "band").join(short, "rep")
+        members = members.join(told, ["band", "rep"], "left")
         by_component = members.groupBy("band", "component").agg(F.count("*").alias("n"))
         size = by_component.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).where(f"n > {BLOCK}")
         size = size.select("band", F.col("top.component").alias("major"), F.expr(f"ceil(top.n / {BLOCK})").alias("of_major"), F.expr(f"ceil((n - top.n) / {BLOCK})").alias("of_others"))
         rows = members.join(size, "band", "left")
-        small = rows.where("major IS NULL").select("band", F.lit(0).cast("long").alias("part"), "rep", "component", "n_shingles", F.lit(0).alias("side"), "registers")
+        small = rows.where("major IS NULL").select("band", F.lit(0).cast("long").alias("part"), "rep", "component", "n_shingles", F.lit(0).alias("side"), "registers", "hashes")
         # Parts are numbered by (block of others, 0 or 1 + the block it meets); the side tells the two apart.
         large = rows.where("major IS NOT NULL").selectExpr(
-            "band", "rep", "component", "n_shingles", "registers", "of_major", "of_others", "component = major AS major",
+            "band", "rep", "component", "n_shingles", "registers", "hashes", "of_major", "of_others", "component = major AS major",
             "pmod(xxhash64(rep), CASE WHEN component = major THEN of_major ELSE of_others END) AS block",
         )
         met = large.selectExpr(
-            "band", "rep", "component", "n_shingles", "registers",
+            "band", "rep", "component", "n_shingles", "registers", "hashes",
             """explode(CASE WHEN major THEN transform(sequence(0L, of_others - 1), o -> named_struct('part', o * (of_major + of_others) + block, 'side', 1))
             ELSE concat(
               transform(sequence(0L, of_major - 1), m -> named_struct('part', block * (of_major + of_others) + m, 'side', 0)),
@@ -326,7 +389,7 @@ class Grouping:
               transform(filter(sequence(0L, of_others - 1), o -> o < block), o -> named_struct('part', o * (of_major + of_others) + of_major + block, 'side', 1)))
             END) AS at""",
         )
-        return small.union(met.select("band", "at.part", "rep", "component", "n_shingles", "at.side", "registers"))
+        return small.union(met.select("band", "at.part", "rep", "component", "n_shingles", "at.side", "registers", "hashes"))
 
     def proposed(self, dealt: DataFrame, whole: bool) -> DataFrame:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -346,6 +409,7 @@ class Grouping:
         wanted = groups.select("rep").distinct()
         texts = self.docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text")
         self.sets = self.stage.store(texts.mapInArrow(_sets, "rep long, hashes binary").dropDuplicates(["rep"]), "sets")
+        self.stage.release()
         tested, label = None, None
         for k in range(ROUNDS + 1):
             whole = k == ROUNDS
@@ -355,7 +419,8 @@ class Grouping:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             now = self.stage.store(self.verify(pairs), f"tested-{k}")
             tested = now if tested is None else tested.union(now)
-            label = components(self.stage, tested.where("linked").select("a", "b"), f"components-{k}")
+            # Between rounds any labels that links bear out will do; only the last must be the roots.
+            label = components(self.stage, tested.where("linked").select("a", "b"), f"components-{k}", None if whole else 2)
         self.label = label
         return tested.where("linked").select("a", "b")
 
