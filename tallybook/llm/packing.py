@@ -39,7 +39,7 @@ from .common import Stage, columns, ready
 
 LENGTH = 4096
 END = 1
-MEMORY = 400_000  # words, and parts of words, kept by a worker
+MEMORY = 400_000  # words, and parts of words, kept by a worker; as many older ones stay at hand
 LONGEST = 64  # characters of a word worth keeping
 SHARD = 20_000  # pieces that one task packs
 # The blanks of Unicode, as a part of a character class.
@@ -61,12 +61,17 @@ class Words:
         self.split = regex.compile(rule.replace(r"\s", BLANKS))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        # A full memory becomes the older one, from which what is still met moves on.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
-        if ids is None:
+        if ids is None and (ids := self.older_parts.get(part)) is not None:
+            self.parts[part] = ids
+        elif ids is None:
             tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
             ids = np.array([t.id for t in tokens], "<u4").tobytes()
             if len(part) <= LONGEST:
@@ -79,11 +84,13 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        for memory in (self.known, self.parts):
-            if len(memory) > MEMORY:
-                memory.clear()
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
+        if len(self.parts) > MEMORY:
+            self.older_parts, self.parts = self.parts, {}
         new = set().union(*split) - self.known.keys()
-        self.known.update((word, self.word(word)) for word in new)
+        older = self.older
+        self.known.update((word, older[word] if word in older else self.word(word)) for word in new)
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > LONGEST:
