@@ -85,6 +85,7 @@ def components(stage: Stage, links: DataFrame, label: str = "links", steps: int
         after = stage.store(small, f"{label}-{step}")
         now = checksum(after)
         stage.drop(f"{label}-{step - 1}")
+        stage.release()
         edges = after
         if now == seen or step == steps:
             break
