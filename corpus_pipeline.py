@@ -22,8 +22,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return near_text.drop_near_copies(docs)
+    """One document of each group of near copies stays: texts that share 0.8 or more of their five-word shingles."""
+    return near_text.drop_near_copies(docs, 80, 100)
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

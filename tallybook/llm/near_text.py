@@ -5,9 +5,9 @@ shorter text: its whole word sequence). Texts with equal sets form a class, and
 the smallest doc_id of a class, its representative, is compared with others.
 
 Sketch. Each of 128 buckets keeps the smallest hash that falls into it, stored as the
-number of leading zeros and ten bits of mantissa. Bands of five compressed registers
-give the candidate groups: texts at the threshold of 0.85 share no band with a chance
-of 4e-7. Within a group the share of equal registers, corrected for the collisions
+number of leading zeros and ten bits of mantissa. Bands of compressed registers give
+the candidate groups, as wide as the threshold allows: at 0.85 bands of five, texts at
+the threshold share no band with a chance of 4e-7; at 0.8 bands of four, 5e-8. Within a group the share of equal registers, corrected for the collisions
 that the compression causes, estimates the Jaccard similarity; pairs more than five
 standard errors below the threshold are not verified. All others are compared on
 their full sets.
@@ -41,8 +41,8 @@ from .common import Stage, columns, components, ready
 
 WORDS = 5
 BUCKETS = 128
-BAND = 5
-BANDS = BUCKETS // BAND
+BAND = 5  # registers of a band at most
+MISS = 1e-6  # chance that texts at the threshold share no band
 MANTISSA = 10
 BLOCK = 1024
 ROUNDS = 2
@@ -53,7 +53,12 @@ SHARED = 1 << 16  # distinct hashes that a block compares at once; a sample of t
 MEMORY = 200_000  # words kept by a worker
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_SEEDS = np.random.default_rng(5).integers(2**63, size=BANDS, dtype=np.uint64)
+_SEEDS = np.random.default_rng(5).integers(2**63, size=BUCKETS, dtype=np.uint64)
+
+
+def band_width(threshold: float) -> int:
+    """Registers of a band: the most at which texts at the threshold hardly ever share none."""
+    return next((w for w in range(BAND, 1, -1) if (1 - threshold**w) ** (BUCKETS // w) <= MISS), 1)
 
 
 class Hashes(dict):
@@ -204,16 +209,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "n_shingles", "digest", "registers"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        regs = matrix(b.column("registers"))
-        keys, used = np.empty((len(regs), BANDS), np.int64), np.empty((len(regs), BANDS), bool)
-        for k in range(BANDS):
-            part = regs[:, k * BAND : (k + 1) * BAND].astype(np.uint64)
-            keys[:, k] = mixed(part @ _FACTORS[:BAND] + _SEEDS[k]).view(np.int64)
-            used[:, k] = part.any(1)
-        ids = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), BANDS)[used.ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[used], pa.int64()), pa.array(ids, pa.int64())], ["band", "rep"])
+def _bands(width: int):
+    n = BUCKETS // width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            regs = matrix(b.column("registers"))
+            keys, used = np.empty((len(regs), n), np.int64), np.empty((len(regs), n), bool)
+            for k in range(n):
+                part = regs[:, k * width : (k + 1) * width].astype(np.uint64)
+                keys[:, k] = mixed(part @ _FACTORS[:width] + _SEEDS[k]).view(np.int64)
+                used[:, k] = part.any(1)
+            ids = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), n)[used.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[used], pa.int64()), pa.array(ids, pa.int64())], ["band", "rep"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +304,7 @@ def _proposals(threshold: float, whole: bool):
             yield batch(flush())
 
     def batch(found: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found.min(1, initial=2**62), pa.int64()), pa.array(found.max(1, initial=-(2**62)), pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(found.min(1), pa.int64()), pa.array(found.max(1), pa.int64())], ["a", "b"])
 
     return run
 
@@ -334,7 +344,7 @@ class Grouping:
 
     def groups(self) -> DataFrame:
         """(band, rep) of the bands that more than one representative has."""
-        bands = self.reps.mapInArrow(_bands, "band long, rep long")
+        bands = self.reps.mapInArrow(_bands(band_width(self.threshold)), "band long, rep long")
         often = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         found = self.stage.store(bands.join(often.select("band"), "band"), "groups")
         self.stage.release()
@@ -441,12 +451,25 @@ def group_texts(docs: DataFrame, numerator: int = 85, denominator: int = 100) ->
 
 
 def drop_near_copies(docs: DataFrame, numerator: int = 85, denominator: int = 100) -> DataFrame:
-    """``docs`` with one document of each group: the row of the smallest doc_id, once.
+    """``docs`` with one row of each group of texts: one of the smallest doc_id.
 
-    Rows without a doc_id and rows without words link with nothing and stay.
+    Rows without a doc_id and rows without words link with nothing and stay. Where doc_ids
+    repeat, texts are grouped by (doc_id, text), so that none goes for another's doc_id.
     """
-    found = group_texts(docs, numerator, denominator).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti")
+    doc_id = F.col("`doc_id`").cast("long")
+    ids = docs.where(doc_id.isNotNull()).groupBy(doc_id.alias("doc_id"))
+    if ids.count().where("count > 1").isEmpty():
+        found = group_texts(docs, numerator, denominator).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(found, doc_id == F.col("__gone"), "left_anti")
+    keyed = docs.withColumn("__row", F.when(doc_id.isNotNull(), F.xxhash64(doc_id, F.col("`text`"))))
+    grouped = group_texts(keyed.select(F.col("__row").alias("doc_id"), "text"), numerator, denominator)
+    grouped = grouped.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count("*").alias("n"))
+    owner = keyed.select("__row", doc_id.alias("owner")).where("__row IS NOT NULL").distinct()
+    first = F.min(F.struct("owner", "__row", "n")).alias("first")
+    stays = grouped.join(owner, "__row").groupBy("component_id").agg(first).select("first.__row", "first.n")
+    gone = grouped.join(stays.where("n = 1"), "__row", "left_anti").select("__row")
+    once = keyed.join(stays.where("n > 1"), "__row", "left_semi").dropDuplicates(["__row"])
+    return keyed.join(gone, "__row", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

@@ -98,3 +98,55 @@ def test_estimates_and_collisions():
             errors.append(N.estimates(a, b, np.array([len(x)]), np.array([len(y)]))[0][0, 0] - true)
         assert abs(np.mean(errors)) < 0.02
     assert 0 < N.collision(5, 5) < 2e-3
+
+
+def groups_of_rows(rows, threshold):
+    """Brute force over rows: lists of the rows of each group, without those that stay in any case."""
+    sets = [shingles(t) for _, t in rows]
+    some = [i for i, (d, _) in enumerate(rows) if d is not None and sets[i]]
+    root = {i: i for i in some}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in some:
+        for j in some[: some.index(i)]:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= threshold * (len(sets[i]) + len(sets[j]) - common):
+                root[find(i)] = find(j)
+    out = {}
+    for i in some:
+        out.setdefault(find(i), []).append(rows[i])
+    return list(out.values())
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pipeline_stage_drops_at_four_fifths(spark, seed):
+    """Near copies at 0.80 to 0.85 go, repeated rows stay once, and a text stays though another of its doc_id goes."""
+    import corpus_pipeline
+
+    rng = random.Random(seed)
+    rows = [r for r in corpus(seed) if r[0] is not None]
+    words = [f"v{i}" for i in range(204)]  # 200 shingles; a changed word takes five of them
+    rows += [(1000, " ".join(words)), (1001, edited(rng, words[:100] + ["c"] + words[101:150] + ["d"] + words[151:], 0))]
+    rows += [(1001, "a text of its own that shares nothing with others"), (1002, " ".join(words[:170]))]
+    rows += [(1000, " ".join(words)), (1003, ""), (1003, ""), (None, "one"), (None, "one")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, gone string")
+    out = corpus_pipeline.near_copies(spark, df, "")
+    assert out.columns == df.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    groups = groups_of_rows(rows, 80)
+    assert len(groups) < len(groups_of_rows(rows, 85))
+    for g in groups:
+        low = min(d for d, _ in g)
+        assert sum(r in g for r in left) == 1 and any(r in g and r[0] == low for r in left)
+    assert sorted((r for r in left if r[0] is None or not shingles(r[1])), key=repr) == sorted((r for r in rows if r[0] is None or not shingles(r[1])), key=repr)
+
+
+def test_bands_fit_the_threshold():
+    for threshold in (0.6, 0.8, 0.85, 0.95):
+        width = N.band_width(threshold)
+        assert (1 - threshold**width) ** (N.BUCKETS // width) <= 1e-6
+    assert N.band_width(0.85) == 5
