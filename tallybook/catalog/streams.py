@@ -11,7 +11,7 @@ from ..sources.tickers import read_tickers
 from ..streaming.commands import stream_commands as commands_of
 from ..streaming.confirmations import DETAIL_COLUMNS, ConfirmationStream
 from ..streaming.ledger_stream import LedgerStream, stream_settle as start_settling
-from ..streaming.rates import stream_rates as rates_of
+from ..streaming.rates import RateStream, last_quotes, stream_rates as rates_of
 from .accounts import _DETAILS, _RECORDED
 from .rates import PATHS
 from .registry import query
@@ -126,4 +126,13 @@ def rates_by_window(t: Tables) -> DataFrame:
 def stream_rates(t: Tables) -> DataFrame:
     space = Workspace(t.spark, "stream-rates")
     tickers = _stream_sql(t, "events", RECIPES["fx_ticker"])
-    return _drain(rates_of(read_tickers(tickers, PATHS)), space, "rates")
+    sink = RateStream(t.spark, space.path("state"))
+    started = (
+        last_quotes(read_tickers(tickers, PATHS)).writeStream.foreachBatch(sink)
+        .option("checkpointLocation", space.path("checkpoint"))
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    return sink.rates(1 << 30)

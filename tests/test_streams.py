@@ -135,3 +135,30 @@ def test_rates(spark, tables):
     whole = lambda rows: sorted(tuple(r) for r in rows if r["window_start"] < edge)
     assert whole(got) == whole(want)
     assert not average_rates(quotes).isEmpty()
+
+
+def test_rates_of_all_windows(spark, tables):
+    """The stream has every window of the table when its input ends, the last ones included."""
+    from tallybook.catalog import streams
+    from tallybook.streaming.rates import RateStream, last_quotes
+
+    shown = lambda df: sorted(tuple(r) for r in df.select("window_start", "thing_from", "thing_to", "rate").collect())
+    assert shown(streams.stream_rates(tables)) == shown(streams.rates_by_window(tables))
+
+    space = Workspace(spark, "t-rates-all")
+    quotes = read_tickers(tables.ticker, {e: ["return.markets.k"] for e in ("ex_a", "ex_b", "ex_c")}).withColumn(
+        "fiat_date", F.col("fiat_date").cast("timestamp")
+    )
+    source = space.path("quotes")
+    files(quotes, "fiat_date", source)
+    stream = spark.readStream.schema(quotes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink = RateStream(spark, space.path("state"))
+    started = (
+        last_quotes(stream).writeStream.foreachBatch(sink).option("checkpointLocation", space.path("checkpoint"))
+        .outputMode("update").trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    assert shown(sink.rates(FAR)) == shown(stream_rates(quotes))
+    again = sink.table.at(1)
+    sink(spark.createDataFrame(again.collect(), again.schema), 1)  # a batch that is run again
+    assert shown(sink.rates(FAR)) == shown(stream_rates(quotes))
