@@ -38,7 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text becomes pieces in sequences of 4096 tokens."""
-    return packing.packed(docs, VOCABULARY)
+    return packing.packed(docs, VOCABULARY, encode_special_tokens=False)
 
 
 STAGES = [("toxicity", toxic), ("near_dedup", near_copies), ("repeated_passages", repeated), ("secrets", secrets), ("packing", pack)]

@@ -1,7 +1,9 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
 Tokens. A text is split at ASCII blanks, which the tokenizer drops and which no token
-spans, so the ids of a text are those of its words. A worker keeps the ids of the words
+spans, so the ids of a text are those of its words. The added tokens of the vocabulary
+(<|endoftext|> and its like) are cut out of the words first and get their own ids, unless
+``encode_special_tokens`` asks for them as plain text. A worker keeps the ids of the words
 that it has met in a bounded memory. Every document ends with an end id; only documents
 longer than a sequence are cut.
 
@@ -54,10 +56,18 @@ class Words:
     that the vocabulary file names, and its parts are looked up or merged by its model.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, encode_special_tokens: bool = True):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as file:
-            rule = json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            rules = json.load(file)
+        rule = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        added = [] if encode_special_tokens else rules["added_tokens"]
+        for t in added:
+            if len(t["content"].split()) != 1 or t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]:
+                raise ValueError(f"added token {t['content']!r} is more than a fixed part of a word")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        # The leftmost match, of several the longest, as the library has it.
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.split = regex.compile(rule.replace(r"\s", BLANKS))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
@@ -79,6 +89,11 @@ class Words:
         return ids
 
     def word(self, word: str) -> bytes:
+        if any(t in word for t in self.added):
+            return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.cut.split(word))
+        return self.plain(word)
+
+    def plain(self, word: str) -> bytes:
         plain = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
         return b"".join(map(self.part, self.split.findall(plain)))
 
@@ -99,17 +114,20 @@ class Words:
 
 
 @lru_cache(1)
-def words(vocabulary: str) -> Words:
-    return Words(vocabulary)
+def words(vocabulary: str, encode_special_tokens: bool) -> Words:
+    return Words(vocabulary, encode_special_tokens)
+
 
+def tokenize(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool = True, encode_special_tokens: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32 [, ids]): the pieces of every document, in their order.
 
-def tokenize(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32 [, ids]): the pieces of every document, in their order."""
+    ``encode_special_tokens`` is the library's setting, which it has off unless told otherwise.
+    """
     ready(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = words(vocabulary)
+        w = words(vocabulary, encode_special_tokens)
         for b in batches:
             out: dict[str, list] = defaultdict(list)
             for doc, ids in zip(b.column("doc_id").to_pylist(), w.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
@@ -297,6 +315,6 @@ def pack(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
     return out.drop("full")
 
 
-def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, encode_special_tokens: bool = True) -> DataFrame:
     """Per piece: its document, place, checksum of ids, sequence and offset."""
-    return pack(tokenize(docs, vocabulary, length, with_ids=False), length)
+    return pack(tokenize(docs, vocabulary, length, with_ids=False, encode_special_tokens=encode_special_tokens), length)

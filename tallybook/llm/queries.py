@@ -25,7 +25,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return packing.packed(table(spark, sf_dir, "documents"), WORD_VOCABULARY, encode_special_tokens=False)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,20 @@ def test_search_empties_a_bin():
     bins = P.Bins([60, 55, 45, 40], 100)
     bins.improve()
     assert bins.used() == 2
+
+
+def test_added_tokens_as_the_library_has_them(spark, documents, tmp_path):
+    """The query and the pipeline's stage against a tokenizer with default settings."""
+    import corpus_pipeline
+    from tallybook.llm.queries import op4_best_fit_packing
+
+    rng = random.Random(5)
+    pool = ["a", "Tree", "É", "e", "'s", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|<|endoftext|>|>", "1", "\u0301", "$", "x" * 70]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "e<|startoftext|>\u0301 \u0085<|endoftext|>\xa0", None, ""]
+    texts += ["".join(rng.choice(pool) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    default = Tokenizer.from_file(VOCABULARY)
+    assert 49407 in default.encode(texts[0], add_special_tokens=False).ids
+    docs = documents(texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (op4_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        check(rows.collect(), texts, default, P.LENGTH)
