@@ -5,10 +5,10 @@ by hash (``SHARDS`` at least, more where a shard would pass ``SHARD_ROWS``); a t
 each shard's graph. Every representative queries every shard, in blocks. A beam that
 ends full of links is widened, up to the whole shard, so no number of partners is cut
 off. Before that, an audit compares the shard's answers to a set of its own vectors with
-brute force and widens the beam of all queries until ``RECALL`` is reached. Links are
-verified by cosine in double precision. Tasks count each query's partners (copies
-included) and put out a spanning forest of the links that they found, not all pairs;
-the forests are united to components.
+brute force and widens the beam of all queries until ``RECALL`` is reached. Links are verified by
+cosine in double precision, a bounded slice of pairs at a time. Tasks count each query's
+partners (copies included) and put out a spanning forest of the links that they found, not
+all pairs; the forests are united to components.
 
 Null vectors, and those with null or non-finite components or of length zero, link with
 nothing; nor do rows without vec_id. Vectors of different dimension never link. Rows that
@@ -38,6 +38,8 @@ BEAM = 64
 BUILD = 48
 AUDIT = 128
 RECALL = 0.999
+PAIRS = 1 << 16  # pairs that are verified at once
+MEETINGS = 1 << 22  # similarities that a widened search holds at once
 LOOSE = 1e-5  # what single precision may hide
 
 
@@ -216,28 +218,33 @@ class Graph:
         return np.take_along_axis(found, rank, 1), np.take_along_axis(near, rank, 1)
 
     def within(self, queries: np.ndarray, least: float, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all found rows with a similarity of ``least``; full beams are widened up to the whole shard."""
+        """(query, row) of all found rows with a similarity of ``least``."""
+        found = list(self.slices(queries, least, beam))
+        if not found:
+            return np.empty(0, int), np.empty(0, int)
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def slices(self, queries: np.ndarray, least: float, beam: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``within`` has, a few queries at a time; full beams are widened up to the whole shard."""
         beam = beam or self.beam
-        left, out = np.arange(len(queries)), []
+        left = np.arange(len(queries))
         while len(left):
             if 4 * beam >= len(self.x):
-                for i in range(0, len(left), BLOCK):
-                    q, r = np.nonzero(queries[left[i : i + BLOCK]] @ self.x.T >= least)
-                    out.append((left[i + q], r))
-                break
+                step = max(1, min(BLOCK, MEETINGS // len(self.x)))
+                for i in range(0, len(left), step):
+                    q, r = np.nonzero(queries[left[i : i + step]] @ self.x.T >= least)
+                    yield left[i + q], r
+                return
             again = []
-            step = max(1, min(BLOCK, (1 << 25) // len(self.x)))
+            step = max(1, min(BLOCK, (1 << 25) // len(self.x), MEETINGS // beam))
             for i in range(0, len(left), step):
                 part = left[i : i + step]
                 found, near = self.search(queries[part], beam)
                 full = near[:, -1] >= least
                 again.append(part[full])
                 q, k = np.nonzero((near >= least) & ~full[:, None])
-                out.append((part[q], found[q, k]))
+                yield part[q], found[q, k]
             left, beam = np.concatenate(again), 4 * beam
-        if not out:
-            return np.empty(0, int), np.empty(0, int)
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def audit(self, least: float) -> None:
         """Widen the beam until the answers to a set of own rows agree with brute force."""
@@ -323,24 +330,51 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                  ["dim", "size", "block", "queries"])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indexes of links that connect whatever all of them connect."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root.setdefault(x, x)
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for i, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = find(p), find(q)
-        if p != q:
-            root[p] = q
-            kept.append(i)
-    return np.array(kept, int)
+class Forest:
+    """Links that connect whatever all links connect. A shard's rows stay, the queries of a block come and go."""
+
+    def __init__(self, n: int):
+        self.n, self.root = n, np.arange(n)  # the smallest row that a row is joined with
+
+    def ask(self, n: int) -> None:
+        self.root = np.concatenate([self.root[: self.n], np.arange(self.n, self.n + n)])
+
+    def join(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Indexes of the links (query, row) that join what was apart."""
+        a, b = self.root[self.n + q], self.root[r]
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return apart
+        low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        first = np.unique(low * len(self.root) + high, return_index=True)[1]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(p, p)
+            return x
+
+        kept = []
+        for i, x, y in zip(apart[first].tolist(), low[first].tolist(), high[first].tolist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(i)
+        to = np.arange(len(self.root))
+        touched = list(parent)
+        to[touched] = [find(x) for x in touched]
+        self.root = to[self.root]
+        return np.array(kept, int)
+
+
+def partners(g: Graph, queries: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified (query, row), at most ``PAIRS`` at a time."""
+    lengths, own = np.linalg.norm(x, axis=1), np.linalg.norm(queries, axis=1)
+    for i, j in g.slices(unit(queries), least - LOOSE):
+        for at in range(0, len(i), PAIRS):
+            q, r = i[at : at + PAIRS], j[at : at + PAIRS]
+            good = np.einsum("ij,ij->i", queries[q], x[r]) / (own[q] * lengths[r]) >= least
+            yield q[good], r[good]
 
 
 def _searched(least: float):
@@ -352,17 +386,20 @@ def _searched(least: float):
             for r in b.to_pylist():
                 if key != (r["dim"], r["shard"]):
                     key, held = (r["dim"], r["shard"]), loaded(r["graph"], r["dim"])
+                    tree = Forest(len(held[1]))
                 g, ids, sizes, x = held
                 own = np.frombuffer(r["queries"], "<i8", r["size"])
                 q = np.frombuffer(r["queries"], "<f8", offset=8 * r["size"]).reshape(r["size"], r["dim"])
-                i, j = g.within(unit(q), least - LOOSE)
-                cosine = np.einsum("ij,ij->i", q[i], x[j]) / (np.linalg.norm(q[i], axis=1) * np.linalg.norm(x[j], axis=1))
-                good = (cosine >= least) & (own[i] != ids[j])
-                i, j = i[good], j[good]
-                count = np.bincount(i, sizes[j], len(own)).astype(np.int64)
+                tree.ask(len(own))
+                count, links = np.zeros(len(own), np.int64), [np.empty((2, 0), np.int64)]
+                for i, j in partners(g, q, x, least):
+                    other = own[i] != ids[j]
+                    i, j = i[other], j[other]
+                    count += np.bincount(i, sizes[j], len(own)).astype(np.int64)
+                    new = tree.join(i, j)
+                    links.append(np.stack([own[i[new]], ids[j[new]]]))
                 some = np.flatnonzero(count)
-                tree = forest(own[i], ids[j])
-                a, b_ = own[i][tree], ids[j][tree]
+                a, b_ = np.concatenate(links, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([np.zeros(len(some), np.int32), np.ones(len(a), np.int32)])), pa.array(np.concatenate([own[some], a])), pa.array(np.concatenate([count[some], b_]))],
                     ["kind", "a", "b"],

@@ -69,3 +69,28 @@ def test_recall_and_widening():
     assert truth[q, r].all() and len(q) >= 0.995 * truth.sum()
     # The group of 900 is far wider than any first beam.
     assert np.bincount(q, minlength=len(x))[-900:].min() >= 890
+
+
+def test_bounded_slices_of_a_large_group(monkeypatch):
+    """A block inside a large group is verified in bounded slices, and its forest connects what all pairs connect."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([near(rng, rng.normal(size=16), 0.02, 3000), near(rng, rng.normal(size=16), 0.02, 40), rng.normal(size=(500, 16))])
+    monkeypatch.setattr(V, "PAIRS", 1 << 12)
+    monkeypatch.setattr(V, "MEETINGS", 1 << 16)
+    g = V.Graph.build(V.unit(x))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tree, links = V.Forest(len(x)), []
+    for block in (np.arange(0, 3040, 12), np.arange(3000, 3100)):
+        count = np.zeros(len(block), int)
+        tree.ask(len(block))
+        for q, r in V.partners(g, x[block], x, 0.9):
+            assert len(q) <= 1 << 12
+            count += np.bincount(q, minlength=len(block))
+            new = tree.join(q, r)
+            links += zip(block[q[new]].tolist(), r[new].tolist(), strict=True)
+        assert (count == (unit[block] @ unit.T >= 0.9).sum(1)).all()
+        # A query joins its own row, or one that is joined with it.
+        assert (tree.root[len(x) :] == tree.root[block]).all()
+    assert len(links) < len(x) + 400
+    assert len(set(tree.root[:3000].tolist())) == 1 and len(set(tree.root[3000:3040].tolist())) == 1 and tree.root[0] != tree.root[3000]
+    assert max(len(q) for q, _ in g.slices(g.x[:256], 0.9)) <= 1 << 16
