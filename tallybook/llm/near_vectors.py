@@ -4,8 +4,10 @@ Equal vectors form a class with one representative. Representatives are dealt ov
 by hash (``SHARDS`` at least, more where a shard would pass ``SHARD_ROWS``); a task builds
 each shard's graph. Every representative queries every shard, in blocks. A beam that
 ends full of links is widened, up to the whole shard, so no number of partners is cut
-off. Before that, an audit compares the shard's answers to a set of its own vectors with
-brute force and widens the beam of all queries until ``RECALL`` is reached. Links are verified by
+off. Before that, an audit compares the shard's answers to sets of its own vectors with
+brute force and widens the beam of all queries until the mean recall of a vector, hits on
+itself left out, reaches ``RECALL``: among vectors with fewer partners than the beam is
+wide, of which it draws up to ``AUDIT``, and among the others. Links are verified by
 cosine in double precision, a bounded slice of pairs at a time. Tasks count each query's
 partners (copies included) and put out a spanning forest of the links that they found, not
 all pairs; the forests are united to components.
@@ -37,6 +39,7 @@ DEGREE = 16
 BEAM = 64
 BUILD = 48
 AUDIT = 128
+DRAWS = 8192  # vectors of a shard among which the audit looks for some with few partners
 RECALL = 0.999
 PAIRS = 1 << 16  # pairs that are verified at once
 MEETINGS = 1 << 22  # similarities that a widened search holds at once
@@ -247,12 +250,36 @@ class Graph:
             left, beam = np.concatenate(again), 4 * beam
 
     def audit(self, least: float) -> None:
-        """Widen the beam until the answers to a set of own rows agree with brute force."""
-        queries = self.x[np.linspace(0, len(self.x) - 1, min(len(self.x), AUDIT)).astype(int)]
-        truth = int((queries @ self.x.T >= least).sum())
-        while 4 * self.beam < len(self.x) and len(self.within(queries, least)[0]) < RECALL * truth:
+        """Widen the beam until the answers to own rows agree with brute force, for rows of few partners and of many."""
+        few, many = self._audited(least)
+        while 4 * self.beam < len(self.x) and min(self._recall(*few, least), self._recall(*many, least)) < RECALL:
             self.beam *= 2
 
+    def _audited(self, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows with fewer partners than the beam is wide and rows with more, up to ``AUDIT`` of each, and their partners' number."""
+        order = np.random.default_rng(len(self.x)).permutation(len(self.x))[:DRAWS]
+        drawn, number, enough = [], [], 0
+        for i in range(0, len(order), AUDIT):
+            part = order[i : i + AUDIT]
+            partners = (self.x[part] @ self.x.T >= least).sum(1) - 1
+            drawn.append(part)
+            number.append(partners)
+            enough += int(((partners > 0) & (partners < self.beam)).sum())
+            if enough >= AUDIT:
+                break
+        rows, partners = np.concatenate([*drawn, order[:0]]), np.concatenate([*number, order[:0]])
+        kinds = [np.flatnonzero((partners > 0) & (partners < self.beam))[:AUDIT], np.flatnonzero(partners >= self.beam)[:AUDIT]]
+        return [(rows[k], partners[k]) for k in kinds]
+
+    def _recall(self, rows: np.ndarray, partners: np.ndarray, least: float) -> float:
+        """Mean share of their partners that ``rows`` find."""
+        if not len(rows):
+            return 1.0
+        found = np.zeros(len(rows), int)
+        for q, r in self.slices(self.x[rows], least):
+            found += np.bincount(q[r != rows[q]], minlength=len(rows))
+        return float((found / partners).mean())
+
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the doubles of every vector that can link, and their digest."""

@@ -94,3 +94,28 @@ def test_bounded_slices_of_a_large_group(monkeypatch):
     assert len(links) < len(x) + 400
     assert len(set(tree.root[:3000].tolist())) == 1 and len(set(tree.root[3000:3040].tolist())) == 1 and tree.root[0] != tree.root[3000]
     assert max(len(q) for q, _ in g.slices(g.x[:256], 0.9)) <= 1 << 16
+
+
+def test_audit_sees_small_groups_beside_a_large_one():
+    """A graph that finds no link of small groups must not pass for all that a large group brings."""
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(300, 32))
+    x = V.unit(np.vstack([near(rng, centers[0], 0.02, 1500)] + [near(rng, c, 0.05, 2) for c in centers[1:]]))
+
+    class Blind(V.Graph):
+        def search(self, queries, beam):
+            found, near = super().search(queries, beam)
+            if beam >= 256:
+                return found, near
+            own = near >= 1 - 1e-6
+            large = (near >= 0.9).all(1)[:, None]
+            return np.where(own | large, found, -1), np.where(own | large, near, -3.0)
+
+    g = V.Graph.build(x)
+    blind = Blind(x, 64)
+    blind.layers = g.layers
+    blind.audit(0.9)
+    assert blind.beam >= 256
+    truth = x[1500:] @ x.T >= 0.9
+    q, _ = blind.within(x[1500:], 0.9)
+    assert len(q) >= 0.99 * truth.sum()
