@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, near_text, near_vectors, packing, quality, repeats, secret_scan, toxicity, warc
+from . import bpe, langid, near_text, near_vectors, packing, pieces, quality, repeats, secret_scan, toxicity, warc
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -52,10 +53,15 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperminhash, op2_hnsw, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_byte_bpe, op8_warc, op9_quality_rules, op10_suffix_array,
+        op11_sentencepiece,
     )
 }
 ORACLES = {"op1_hyperminhash": near_text.ORACLE, "op2_hnsw": near_vectors.ORACLE, "op3_secret_scan": secret_scan.oracle()}
