@@ -39,6 +39,17 @@ def learns_from(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side``, whose rows have keys of their own, without dealing a hot key's rows to one task.
+
+    ``hot`` marks the rows of ``side`` whose key holds more than a fixed share of ``rows``. A
+    share bounds their number, so they are broadcast; the other keys meet by a shuffle.
+    """
+    few = F.broadcast(side.where(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(side.where(~hot), keys, how)
+    return rows.join(few, keys).unionByName(rest)
+
+
 class Stage(Workspace):
     """Intermediate tables of one run below the shared checkpoint folder."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, near_text, near_vectors, packing, pieces, quality, repeats, secret_scan, toxicity, warc, whitening
+from . import bpe, langid, near_text, near_vectors, packing, pieces, quality, repeats, secret_scan, toxicity, turns, warc, whitening
 from .common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,11 +61,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hyperminhash, op2_hnsw, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_toxicity, op7_byte_bpe, op8_warc, op9_quality_rules, op10_suffix_array,
-        op11_sentencepiece, op12_whitening,
+        op11_sentencepiece, op12_whitening, op13_conversation_repair,
     )
 }
 ORACLES = {"op1_hyperminhash": near_text.ORACLE, "op2_hnsw": near_vectors.ORACLE, "op3_secret_scan": secret_scan.oracle()}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, columns, ready
+from .common import Stage, columns, ready, spread_join
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
@@ -235,14 +235,10 @@ def whiten(
 
     # Vectors that hold more than this many rows: at most 4 for every partition, so they can be sent whole.
     share = total / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = F.broadcast(done.where(F.col("copies") > F.lit(share)))
-    ids = rows.select("vec_id", "key")
-    some = ids.join(hot, "key")
-    rest = ids.join(hot.select("key"), "key", "left_anti").join(done.where(F.col("copies") <= F.lit(share)), "key")
+    values = spread_join(rows.select("vec_id", "key"), done, ["key"], F.col("copies") > F.lit(share))
     explained = F.array(*map(F.lit, model.explained))
     return (
-        some.unionByName(rest)
-        .select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+        values.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
         .select(
             "vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
             F.get(explained, F.col("k")).alias("explained"), F.lit(error).alias("identity_error"),
