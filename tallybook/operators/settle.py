@@ -15,6 +15,10 @@ Each round is one shuffle by account with running sums.  Rows that are decided
 leave the loop; an accepted one stays for one more round to be added to the
 decided balances of later actions.  Rounds are written to the checkpoint folder.
 
+A claim may name a second account, ``via``, that must cover the same amount: a hot
+wallet.  It is bounded in the same way; the claim is accepted when both cover it and
+is rejected without an error when only the second is short.
+
 Time order is (t, phase, id): t in microseconds, phase 0 for time limits and 1
 for actions, id of the causing action.
 """
@@ -54,6 +58,7 @@ def claim(
     refund: Column | None = None,
     pair: Column | None = None,
     short_error: Column | None = None,
+    via: Column | None = None,
 ) -> list[Column]:
     """Claim columns; an action with ``end_t`` is held in escrow until then."""
     null = F.lit(None)
@@ -72,6 +77,7 @@ def claim(
         F.coalesce(F.lit(False) if refund is None else refund, F.lit(False)).alias("refund"),
         (null if pair is None else pair).cast("string").alias("pair"),
         (null if short_error is None else short_error).cast("string").alias("short_error"),
+        *([] if via is None else [via.cast("bigint").alias("via")]),
     ]
 
 
@@ -162,6 +168,23 @@ def _with_pairs(state: DataFrame, limits: Chunking) -> DataFrame:
     return blocked.drop("_sure").unionByName(rest.withColumn("_maybe", missing))
 
 
+def _with_second(state: DataFrame, limits: Chunking) -> DataFrame:
+    """Bounds of the second account of claims that have one, from its own earlier claims and credits."""
+    some, rest = state.where(F.col("via").isNotNull()), state.where(F.col("via").isNull())
+    zero, is_open = F.lit(0).cast(MONEY), F.col("status") == "open"
+    amount = F.coalesce("amount", zero)
+    # A granted credit raises it; whatever has a sender lowers it.
+    sign = F.when(F.col("src").isNull(), 1).otherwise(-1)
+    values = {
+        "v_d": Running("sum", F.when(is_open, zero).otherwise((amount * sign).cast(MONEY)), MONEY),
+        "v_lo": Running("sum", F.when(is_open & ~F.col("take_all"), -amount).otherwise(zero).cast(MONEY), MONEY),
+        "v_all": Running("sum", F.when(is_open & F.col("take_all"), 1).otherwise(0), "bigint"),
+    }
+    scanned = running(some, ("via",), ("t", "action_id"), values, limits, inclusive=False)
+    based = scanned.withColumn("via_base", (F.col("via_base") + F.coalesce("v_d", zero)).cast(MONEY)).drop("v_d")
+    return based.unionByName(rest, allowMissingColumns=True)
+
+
 def _base() -> Column:
     return (F.col("base") + F.coalesce("s_d", F.lit(0).cast(MONEY))).cast(MONEY)
 
@@ -181,12 +204,16 @@ def _decision(settings: Settings) -> list[Column]:
     whole = F.col("take_all")
     exact = lo_known & hi_known & (lo == hi)
     covered = F.when(whole, exact & (lo >= minimum)).otherwise(lo_known & (lo >= F.col("amount")))
+    needed = F.when(whole, base).otherwise(F.col("amount"))
+    second_lo = (F.col("via_base") + F.coalesce("v_lo", zero)).cast(MONEY)
+    second_covers = F.col("via").isNull() | ((F.coalesce("v_all", F.lit(0)) == 0) & (second_lo >= needed))
+    second_short = F.col("via").isNotNull() & F.coalesce(F.col("via_base") < needed, F.lit(False))
     short = F.when(whole, hi_known & (hi < minimum)).otherwise(hi_known & (hi < F.col("amount")))
     status = (
         F.when(F.col("status") != "open", "spent")
         .when(short, "rejected")
-        .when(covered & sure_block, "rejected")
-        .when(covered & ~maybe_block, "new")
+        .when(covered & (sure_block | second_short), "rejected")
+        .when(covered & ~maybe_block & second_covers, "new")
         .otherwise("open")
     )
     error = F.when(short, F.when(whole, "tip_below_minimum").otherwise(F.col("short_error")))
@@ -197,7 +224,7 @@ def _decision(settings: Settings) -> list[Column]:
         F.col("dst"),
         F.when(whole & (status == "new"), base).otherwise(F.col("amount")).cast(MONEY).alias("amount"),
         (whole & (status != "new")).alias("take_all"),
-        *[F.col(c) for c in ("held", *_END, "refund", "pair", "short_error")],
+        *[F.col(c) for c in ("held", *_END, "refund", "pair", "short_error", "via", "via_base")],
         base.alias("base"),
         F.col("block_end"),
         error.alias("error"),
@@ -212,11 +239,13 @@ def settle(
     settings: Settings = DEFAULT,
     chunks: int | None = None,
     on_round: Callable[[int, int], None] | None = None,
+    second: DataFrame | None = None,
 ) -> Settlement:
     """Decide ``claims`` in order against ``opening`` (account, balance).
 
     ``granted`` are claims without a sender that are decided already: deposits
-    and tips held since an earlier run.  Rounds go on until no claim is open: each decides at least
+    and tips held since an earlier run.  ``second`` (account, balance) opens the
+    accounts that ``via`` names; one it does not list is empty.  Rounds go on until no claim is open: each decides at least
     the earliest open claim of every account, so their number follows the longest chain of claims
     that wait for each other.
     """
@@ -238,6 +267,13 @@ def settle(
             }
         )
     )
+    if "via" not in claims.columns:
+        state = state.withColumn("via", F.lit(None).cast("bigint"))
+    if second is None:
+        state = state.withColumn("via_base", F.lit(0).cast(MONEY))
+    else:
+        wallets = second.groupBy(F.col("account").cast("bigint").alias("via")).agg(F.sum("balance").cast(MONEY).alias("_v"))
+        state = state.join(wallets, "via", "left").withColumn("via_base", F.coalesce("_v", F.lit(0)).cast(MONEY)).drop("_v")
     if granted is not None:
         state = state.unionByName(granted.withColumn("status", F.lit("new")), allowMissingColumns=True)
     state = _normal(state)
@@ -249,15 +285,27 @@ def settle(
         _entry_rows(state, entries).select("account", "o_t", "o_id"), F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks
     )
     held = state.where(F.col("held") & F.col("pair").isNotNull())
-    any_held = not held.isEmpty()
-    by_pair = (
-        plan_chunks(held, F.col("t"), F.col("action_id"), ("pair",), chunks=chunks)
-        if any_held
-        else Chunking(hot_keys=[])
-    )
+    is_open = F.col("status") == "open"
+    # Open claims, and those among them that are held or have a second account.
+    counted = {
+        "n": F.count(F.when(is_open, 1)),
+        "held": F.count(F.when(is_open & F.col("held") & F.col("pair").isNotNull(), 1)),
+        "second": F.count(F.when(is_open & F.col("via").isNotNull(), 1)),
+    }
+    todo = state.agg(*[c.alias(n) for n, c in counted.items()]).first().asDict()
+    none = Chunking(hot_keys=[])
+    by_pair = plan_chunks(held, F.col("t"), F.col("action_id"), ("pair",), chunks=chunks) if todo["held"] else none
+    with_second = state.where(F.col("via").isNotNull())
+    by_second = plan_chunks(with_second, F.col("t"), F.col("action_id"), ("via",), chunks=chunks) if todo["second"] else none
 
     def bounded(rows: DataFrame) -> DataFrame:
-        work = _with_pairs(rows, by_pair) if any_held else rows.withColumn("_maybe", F.col("block_end"))
+        # What no open claim depends on any more is not scanned.
+        work = _with_pairs(rows, by_pair) if todo["held"] else rows.withColumn("_maybe", F.col("block_end"))
+        work = (
+            _with_second(work, by_second)
+            if todo["second"]
+            else work.withColumns({"v_lo": F.lit(0).cast(MONEY), "v_all": F.lit(0).cast("bigint")})
+        )
         return running(
             _entry_rows(work, entries), ("account",), ("o_t", "o_phase", "o_id"), sums, by_account, inclusive=False
         )
@@ -265,18 +313,17 @@ def settle(
     columns = ["action_id", "amount", "status", "error"]
     rounds, counts = 0, []
     stored = state.where("status in ('spent', 'rejected')")  # no claim is decided yet
-    open_rows = state.where("status = 'open'").count()
-    while open_rows:
+    while todo["n"]:
         rounds += 1
         result = bounded(state).where("probe").select(*decision).where("status <> 'spent'")
         # The write itself counts what is left.
         left = Observation()
-        stored = space.store(result.observe(left, F.count(F.when(F.col("status") == "open", 1)).alias("n")), f"round-{rounds}")
+        stored = space.store(result.observe(left, *[c.alias(n) for n, c in counted.items()]), f"round-{rounds}")
         state = _normal(stored.where("status in ('open', 'new')"))
-        open_rows = left.get["n"]
-        counts.append(open_rows)
+        todo = left.get
+        counts.append(todo["n"])
         if on_round:
-            on_round(rounds, open_rows)
+            on_round(rounds, todo["n"])
 
     paths = [space.path(f"round-{k}") for k in range(1, rounds + 1)]
     done = spark.read.schema(stored.schema).parquet(*paths) if paths else stored
@@ -292,7 +339,7 @@ def settle(
 def _normal(state: DataFrame) -> DataFrame:
     return state.select(
         "action_id", "t", "src", "dst", "amount", "take_all", "held", *_END, "refund", "pair",
-        "short_error", "base", "block_end", "error", "status",
+        "short_error", "via", "via_base", "base", "block_end", "error", "status",
     )
 
 
