@@ -271,8 +271,10 @@ def ledger_claims(validated: DataFrame, declines: DataFrame, settings: Settings
     is_held = to_name & ~F.col("to_registered")
     short = F.when(to_name, F.lit("balance_too_low"))
     base = [F.col("action_id"), F.col("ts"), F.col("from_id")]
+    # A withdrawal may have to be covered by a wallet too.
+    via = F.col("via") if "via" in validated.columns else None
     direct = good.where(~is_held).select(
-        *claim(*base, F.col("to_id"), F.col("coin_val"), F.col("take_all"), short_error=short)
+        *claim(*base, F.col("to_id"), F.col("coin_val"), F.col("take_all"), short_error=short, via=via)
     )
     ended = response_ends(good.where(is_held), declines, settings)
     pair = F.concat_ws(
@@ -285,7 +287,7 @@ def ledger_claims(validated: DataFrame, declines: DataFrame, settings: Settings
             refund=F.col("_end.refund"), pair=pair, short_error=F.lit("balance_too_low"),
         )
     )
-    return direct.unionByName(held)
+    return direct.unionByName(held, allowMissingColumns=True)
 
 
 def response_ends(held: DataFrame, declines: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
