@@ -67,6 +67,32 @@ def validate_actions(t: Tables) -> DataFrame:
     )
 
 
+# Settling events ``ev`` one after another from ``start_balance`` (acct, bal).  An event is settled when it
+# is the next one of every account it touches, so no balance is ever guessed or bounded.
+_IN_ORDER = """
+od as (select *, row_number() over (order by ts, phase, oid, id, kind) as k from ev),
+tc as (select distinct k, acct from (select k, unnest([src, dst, via, pair]) as acct from od) where acct is not null),
+tp as (select k, acct, row_number() over (partition by acct order by k) as pos, count(*) over (partition by k) as n from tc),
+run(acct, pos, bal, ok, error) using key (acct) as (
+ select t.acct, cast(0 as bigint), cast(coalesce(s.bal, 0) as decimal(38,8)), false, cast(null as varchar)
+  from (select distinct acct from tp) t left join start_balance s on s.acct = t.acct
+ union all (
+ with hd as (select t.k from tp t join recurring.run r on r.acct = t.acct and t.pos = r.pos + 1 group by t.k, t.n having count(*) = t.n),
+ st as (select o.*, s.bal as have, w.bal as wallet, p.bal as live, c.ok as was, c.bal as paid from hd join od o on o.k = hd.k
+   left join recurring.run s on s.acct = o.src left join recurring.run w on w.acct = o.via left join recurring.run p on p.acct = o.pair
+   left join recurring.run c on o.kind = 'end' and c.acct = 'c' || o.id),
+ ds as (select *, case when kind = 'claim' and take_all then have else amount end as need,
+   case when kind <> 'claim' then 0 when take_all and have < 4 then 1 when not take_all and have < amount then 2
+    when coalesce(live, 0) > 0 then 3 when coalesce(wallet, need) < need then 3 else 0 end as verdict from st)
+ select t.acct, t.pos, cast(r.bal + case
+   when d.verdict > 0 then 0
+   when d.kind = 'in' then d.amount
+   when d.kind = 'end' then case when not d.was then 0 when t.acct = d.pair then -1 else d.paid end
+   else case when t.acct = d.src and d.src is distinct from d.dst then -d.need when t.acct = d.src then 0 when t.acct = d.dst then d.need
+     when t.acct = d.via then -d.need else 1 end end as decimal(38,8)), false, null
+  from ds d join tp t on t.k = d.k join recurring.run r on r.acct = t.acct
+ union all select 'c' || id, -2, cast(need as decimal(38,8)), verdict = 0, case verdict when 1 then 'tip_below_minimum' when 2 then short end from ds where kind = 'claim'))"""
+
 def _transfers(t: Tables):
     opening = t.opening.select(F.col("user_id").alias("account"), "balance")
     claims = t.transfer.select(
@@ -78,13 +104,32 @@ def _transfers(t: Tables):
     return opening, settle(opening, claims)
 
 
-@query("T2 (plain transfers)")
+_TRANSFER_EVENTS = """
+ev as (select action_id as id, 'claim' as kind, ts, 1 as phase, action_id as oid, 'u' || from_id as src, 'u' || to_id as dst, cast(null as varchar) as via,
+  cast(null as varchar) as pair, cast(amount as decimal(38,8)) as amount, false as take_all, 'balance_too_low' as short from fx_transfer),
+start_balance as (select 'u' || user_id as acct, sum(balance) as bal from fx_opening group by 1)"""
+
+
+@query(
+    "T2 (plain transfers)",
+    f"""
+select * from (with recursive {_TRANSFER_EVENTS}, {_IN_ORDER}
+select x.action_id, x.from_id as src, x.to_id as dst, cast(x.amount as decimal(38,8)) as amount, r.ok as accepted, r.error
+from fx_transfer x join run r on r.acct = 'c' || x.action_id) settled""",
+)
 def settle_transfers(t: Tables) -> DataFrame:
     decisions = _transfers(t)[1].decisions
     return decisions.select("action_id", "src", "dst", "amount", "accepted", "error")
 
 
-@query("T2 (closing balances)")
+@query(
+    "T2 (closing balances)",
+    f"""
+select * from (with recursive {_TRANSFER_EVENTS}, {_IN_ORDER}
+select cast(substr(coalesce(r.acct, b.acct), 2) as bigint) as account, cast(coalesce(r.bal, b.bal) as decimal(38,8)) as balance
+from (select * from run where acct like 'u%') r full join start_balance b on b.acct = r.acct
+where b.acct is not null or exists (select 1 from ev join run k on k.acct = 'c' || ev.id and k.ok where ev.dst = r.acct or ev.src = r.acct)) settled""",
+)
 def settle_balances(t: Tables) -> DataFrame:
     opening, settled = _transfers(t)
     return closing_balances(opening, settled.decisions)
@@ -137,8 +182,7 @@ from orders where o_orderkey % 10 = 0"""
 
 _BOOK_OPENING = "select user_id as account, cast(balance * 4 as decimal(38,8)) as balance from fx_address"
 
-# The same ledger one event after another: claims, deposits and ends of held tips.  An event is settled
-# when it is the next one of every account it touches, so no balance is ever guessed or bounded.
+# The same ledger one event after another: claims, deposits and ends of held tips.
 _BOOK_EVENTS = f"""
 lg as ({_BOOK_LOG}),
 mk as (select *, type in ('givetip','withdraw') and service_id = 1 and config1 is not null
@@ -185,33 +229,11 @@ ev as (
  union all select action_id, 'claim', ts, 1, action_id, src, null, null, null, price, false, 'balance_too_low' from gp where src is not null and price is not null
  union all select f.action_id, 'in', f.ts, 1, f.action_id, null, f.src, coalesce(x.via, 'w'), null, cast(f.coin_val as decimal(38,8)), false, null
   from fm f join wx x on x.action_id = f.action_id where f.type = 'deposit' and f.src is not null and f.coin_val > 0),
-od as (select *, row_number() over (order by ts, phase, oid, id, kind) as k from ev),
-tc as (select distinct k, acct from (select k, unnest([src, dst, via, pair]) as acct from od) where acct is not null),
-tp as (select k, acct, row_number() over (partition by acct order by k) as pos, count(*) over (partition by k) as n from tc),
 start_balance as (select 'u' || account as acct, sum(balance) as bal from ({_BOOK_OPENING}) group by 1
-  union all select 'w' || epoch_us(ts), max(amount) from wl group by 1),
-run(acct, pos, bal, ok, error) using key (acct) as (
- select t.acct, cast(0 as bigint), cast(coalesce(s.bal, 0) as decimal(38,8)), false, cast(null as varchar)
-  from (select distinct acct from tp) t left join start_balance s on s.acct = t.acct
- union all (
- with hd as (select t.k from tp t join recurring.run r on r.acct = t.acct and t.pos = r.pos + 1 group by t.k, t.n having count(*) = t.n),
- st as (select o.*, s.bal as have, w.bal as wallet, p.bal as live, c.ok as was, c.bal as paid from hd join od o on o.k = hd.k
-   left join recurring.run s on s.acct = o.src left join recurring.run w on w.acct = o.via left join recurring.run p on p.acct = o.pair
-   left join recurring.run c on o.kind = 'end' and c.acct = 'c' || o.id),
- ds as (select *, case when kind = 'claim' and take_all then have else amount end as need,
-   case when kind <> 'claim' then 0 when take_all and have < 4 then 1 when not take_all and have < amount then 2
-    when coalesce(live, 0) > 0 then 3 when coalesce(wallet, need) < need then 3 else 0 end as verdict from st)
- select t.acct, t.pos, cast(r.bal + case
-   when d.verdict > 0 then 0
-   when d.kind = 'in' then d.amount
-   when d.kind = 'end' then case when not d.was then 0 when t.acct = d.pair then -1 else d.paid end
-   else case when t.acct = d.src and d.src is distinct from d.dst then -d.need when t.acct = d.src then 0 when t.acct = d.dst then d.need
-     when t.acct = d.via then -d.need else 1 end end as decimal(38,8)), false, null
-  from ds d join tp t on t.k = d.k join recurring.run r on r.acct = t.acct
- union all select 'c' || id, -2, cast(need as decimal(38,8)), verdict = 0, case verdict when 1 then 'tip_below_minimum' when 2 then short end from ds where kind = 'claim'))"""
+  union all select 'w' || epoch_us(ts), max(amount) from wl group by 1)"""
 
 _BOOK = f"""
-select * from (with recursive {_BOOK_EVENTS},
+select * from (with recursive {_BOOK_EVENTS}, {_IN_ORDER},
 rs as (select cast(substr(acct, 2) as bigint) as action_id, ok, bal as paid, error from run where acct like 'c%'),
 mv as (select c.*, e.fin, coalesce(r.ok, false) as ok, r.paid, case when coalesce(r.ok, false) then cast(r.paid as decimal(20,8)) else c.coin_val end as value,
   case when c.failed then c.early else r.error end as why from ck c left join ce e on e.action_id = c.action_id left join rs r on r.action_id = c.action_id),
@@ -323,7 +345,25 @@ def price_gold(t: Tables) -> DataFrame:
     return priced.select("action_id", "from_user", "rate", "price", "error")
 
 
-@query("T8")
+_GOLD_EVENTS = f"""
+gd as ({_GOLD}),
+pr as (select g.*, u.user_id, case when n - n % 100 >= 10000 then cast(n - n % 100 as decimal(38,8)) end as price
+  from (select *, case when rate > 0 then cast(floor(cast(4 as double) / cast(rate as double)) as bigint) end as n from gd) g
+  left join fx_username u on u.service_id = g.service_id and u.username = g.from_user),
+ev as (select action_id as id, 'claim' as kind, ts, 1 as phase, action_id as oid, 'u' || user_id as src, cast(null as varchar) as dst, cast(null as varchar) as via,
+  cast(null as varchar) as pair, price as amount, false as take_all, 'balance_too_low' as short from pr where user_id is not null and price is not null),
+start_balance as (select 'u' || user_id as acct, sum(balance * 100) as bal from fx_address group by 1)"""
+
+
+@query(
+    "T8",
+    f"""
+select * from (with recursive {_GOLD_EVENTS}, {_IN_ORDER}
+select p.action_id, p.ts, p.service_id, p.from_user, p.to_user, cast(p.price as decimal(20,8)) as price, cast(4 as decimal(20,10)) as fiat_val,
+ case when r.ok then 'completed' else 'failed' end as state,
+ case when p.user_id is null then 'not_registered' when p.price is null then 'fiat_error' when not r.ok then r.error end as error
+from pr p left join run r on r.acct = 'c' || p.action_id) gold""",
+)
 def buy_gold(t: Tables) -> DataFrame:
     opening = t.address.select(F.col("user_id").alias("account"), (F.col("balance") * 100).alias("balance"))
     return g.buy_gold(t.sql(_GOLD), g.timed_names(t.username), opening, F.lit(BOT_ID))

@@ -103,3 +103,98 @@ def test_whole_balance_against_a_small_wallet(spark):
 def test_a_wallet_without_opening_is_empty(spark):
     got = decided(spark, {10: Decimal(500)}, {}, [row(1, 1, 10, None, Decimal(4), 7)], [])
     assert got == {1: (False, None, None)}
+
+
+T0 = dt.datetime(2024, 1, 1)
+LOG = [
+    # action_id, hours, type, from, to, address, amount, everything, message
+    (1, 1, "givetip", "bob", "ann", None, 40, False, "m1"),      # bob has nothing yet
+    (2, 2, "deposit", "bob", None, "DB", 100, False, None),
+    (3, 3, "givetip", "bob", "ann", None, 40, False, "m3"),      # deposited coins can be tipped
+    (4, 4, "givetip", "bob", "ann", None, 40, False, "m3"),      # the same message again
+    (5, 5, "gold", "ann", "bob", None, None, False, None),       # costs 10,000
+    (6, 6, "givetip", "ann", "bob", None, 5000, False, "m6"),    # spent on gold
+    (7, 7, "givetip", "bob", "cat", None, 10, False, "m7"),      # held, accepted at 9 at another rate
+    (8, 8, "withdraw", "bob", None, "DX", None, True, "m8"),     # 50 through a wallet of 30
+    (9, 9, "accept", "cat", None, None, None, False, None),
+    (10, 10, "withdraw", "bob", None, "DX", 20, False, "m10"),   # leaves 10 in the wallet
+    (11, 11, "withdraw", "bob", None, "DX", 20, False, "m11"),   # the wallet is too low
+    (12, 12, "deposit", "ann", None, "DA", 25, False, None),     # raises the wallet as well
+    (13, 13, "withdraw", "bob", None, "DX", 20, False, "m13"),
+    (14, 14, "history", "zed", None, None, None, False, None),
+    (15, 15, "register", "zed", None, None, None, False, None),
+    (16, 16, "register", "zed", None, None, None, False, None),
+    (17, 17, "history", "zed", None, None, None, False, None),
+    (18, 18, "decline", "zed", None, None, None, False, None),
+    (19, 19, "deposit", "nobody", None, "DN", 7, False, None),
+]
+DDL = (
+    "action_id long, ts timestamp, service_id long, type string, from_user string, to_user string, to_addr string, "
+    "coin_val decimal(20,8), take_all boolean, config1 string"
+)
+
+
+def at(hours):
+    return T0 + dt.timedelta(hours=hours)
+
+
+def book_of(spark, log, **options):
+    from tallybook.operators.book import settle_book
+
+    user = spark.createDataFrame([(1, T0), (2, T0)], "user_id long, joindate timestamp")
+    names = spark.createDataFrame([(1, 1, 1, "ann"), (2, 2, 1, "bob")], "username_id long, user_id long, service_id long, username string")
+    address = spark.createDataFrame(
+        [(1, 1, None, "dog", "DA", Decimal(10_010)), (2, 2, None, "dog", "DB", Decimal(0))],
+        "address_id long, user_id long, user_id_alias long, coin string, address string, balance decimal(20,8)",
+    )
+    rates = spark.createDataFrame(
+        [(1, at(0), Decimal("0.0004")), (2, at(8.5), Decimal("0.0010")), (3, at(9), Decimal(0))], "snap_id long, fiat_date timestamp, rate decimal(20,8)"
+    )
+    wallet = spark.createDataFrame([(at(0), Decimal(5)), (at(7.5), Decimal(30))], "ts timestamp, amount decimal(20,8)")
+    rows = [(i, at(h), 1, k, f, u, a, None if v is None else Decimal(v), w, m) for i, h, k, f, u, a, v, w, m in log]
+    opening = address.select(F.col("user_id").alias("account"), "balance")
+    return settle_book(
+        spark.createDataFrame(rows, DDL), user, names, address, opening, rates, F.lit(99), wallet,
+        address_check=lambda a: a.startswith("D"), **options,
+    )
+
+
+def test_whole_log(spark):
+    book = book_of(spark, LOG)
+    got = {r.action_id: (r.state, r.error, r.coin_val, r.fiat_val) for r in book.outcomes.collect()}
+    money = lambda v: None if v is None else Decimal(str(v))
+    want = {
+        1: ("failed", "balance_too_low", 40, "0.016"), 2: ("completed", None, 100, "0.04"), 3: ("completed", None, 40, "0.016"),
+        4: ("ignored", None, 40, None), 5: ("completed", None, 10_000, 4), 6: ("failed", "balance_too_low", 5000, 2),
+        7: ("completed", None, 10, "0.01"), 8: ("failed", None, None, 0), 9: ("completed", None, None, None),
+        10: ("pending", None, 20, "0.02"), 11: ("failed", None, 20, "0.02"), 12: ("completed", None, 25, "0.025"),
+        13: ("pending", None, 20, "0.02"), 14: ("failed", "not_registered", None, None), 15: ("completed", None, None, None),
+        16: ("failed", "already_registered", None, None), 17: ("completed", None, None, None), 18: ("failed", None, None, None),
+        19: ("failed", "not_registered", 7, None),
+    }
+    for i, (state, error, coins, fiat) in want.items():
+        assert got[i][:3] == (state, error, money(coins)), i
+        assert fiat is None and got[i][3] in (None, Decimal("0.007")) or got[i][3] == money(fiat), i
+    balances = {r.account: r.balance for r in book.balances().collect()}
+    # No coin is made or lost: openings and deposits are balances, gold included, and what was sent out.
+    assert balances[1] == 10_010 + 40 - 10_000 + 25 and balances[2] == 100 - 40 - 10 - 20 - 20 and balances[99] == 10_000
+    assert sum(balances.values()) == 10_010 + 125 - 40
+
+
+def test_a_log_delivered_twice(spark):
+    """The same rows again, and the same messages under new ids, change neither balances nor outcomes."""
+    once = book_of(spark, LOG)
+    messages = [(i + 100, h + 30, *rest) for i, h, *rest in LOG if rest[-1]]
+    twice = book_of(spark, LOG + LOG + messages)
+    pick = lambda df: {r.account: r.balance for r in df.collect()}
+    assert pick(once.balances()) == pick(twice.balances())
+    rows = lambda book: {r.action_id: tuple(r) for r in book.outcomes.collect()}
+    first, second = rows(once), rows(twice)
+    assert {i: second[i] for i in first} == first
+    assert {second[i][10] for i in second if i > 100} == {"ignored"}
+
+
+def test_messages_recorded_earlier(spark):
+    recorded = spark.createDataFrame([("givetip", 1, "m3"), ("givetip", 1, None)], "type string, service_id long, config1 string")
+    states = {r.action_id: r.state for r in book_of(spark, LOG, recorded=recorded).outcomes.collect()}
+    assert states[3] == states[4] == "ignored" and states[1] == "failed" and states[7] == "completed"
