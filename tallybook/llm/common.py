@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import Workspace
@@ -63,9 +65,33 @@ class Stage(Workspace):
         self.spark._jvm.System.gc()
 
 
-def checksum(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def stored_once(stage: Stage, df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The written table with its number of rows and the sum of their hashes, both taken while it is written."""
+    seen = Observation()
+    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    out = stage.store(df.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the machine; other workers of it may need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker, which lives on, gives back what it has freed."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def components(stage: Stage, links: DataFrame, label: str = "links", steps: int | None = None) -> DataFrame:
@@ -77,11 +103,12 @@ def components(stage: Stage, links: DataFrame, label: str = "links", steps: int
     With ``steps`` it stops after so many: labels are then members of the component, but
     one component may have several.
     """
-    edges = stage.store(
+    edges, seen = stored_once(
+        stage,
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         f"{label}-0",
     )
-    seen, step = checksum(edges), 0
+    step = 0
     while seen[0]:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -93,8 +120,7 @@ def components(stage: Stage, links: DataFrame, label: str = "links", steps: int
             .distinct()
         )
         step += 1
-        after = stage.store(small, f"{label}-{step}")
-        now = checksum(after)
+        after, now = stored_once(stage, small, f"{label}-{step}")
         stage.drop(f"{label}-{step - 1}")
         stage.release()
         edges = after

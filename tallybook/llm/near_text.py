@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, columns, components, ready
+from .common import Stage, columns, components, ready, tidy
 
 WORDS = 5
 BUCKETS = 128
@@ -335,7 +335,7 @@ class Grouping:
         self.threshold = numerator / denominator
         self.docs = columns(docs, ("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.rows = self.stage.store(
-            self.docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest string, registers binary"), "sketches"
+            self.docs.mapInArrow(tidy(_sketch), "doc_id long, n_shingles long, digest string, registers binary"), "sketches"
         )
         self.classes = self.stage.store(self.rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
         self.reps = self.stage.store(
@@ -344,7 +344,7 @@ class Grouping:
 
     def groups(self) -> DataFrame:
         """(band, rep) of the bands that more than one representative has."""
-        bands = self.reps.mapInArrow(_bands(band_width(self.threshold)), "band long, rep long")
+        bands = self.reps.mapInArrow(tidy(_bands(band_width(self.threshold))), "band long, rep long")
         often = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
         found = self.stage.store(bands.join(often.select("band"), "band"), "groups")
         self.stage.release()
@@ -377,7 +377,7 @@ class Grouping:
         members need not meet.
         """
         many = members.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {FEW}").select("band")
-        short = self.sets.where(f"octet_length(hashes) <= {8 * SHORT}").mapInArrow(_halved, "rep long, hashes binary")
+        short = self.sets.where(f"octet_length(hashes) <= {8 * SHORT}").mapInArrow(tidy(_halved), "rep long, hashes binary")
         told = members.select("band", "rep").join(many, "band").join(short, "rep")
         members = members.join(told, ["band", "rep"], "left")
         by_component = members.groupBy("band", "component").agg(F.count("*").alias("n"))
@@ -404,32 +404,36 @@ class Grouping:
     def proposed(self, dealt: DataFrame, whole: bool) -> DataFrame:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         sorted_ = dealt.repartition(n, "band", "part").sortWithinPartitions("band", "part")
-        return sorted_.mapInArrow(_proposals(self.threshold, whole), "a long, b long").where("a < b").distinct()
+        return sorted_.mapInArrow(tidy(_proposals(self.threshold, whole)), "a long, b long").where("a < b").distinct()
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         sets = self.sets
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(
             sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hashes_b")), "b"
         )
-        return both.mapInArrow(_verified(self.numerator, self.denominator), "a long, b long, linked boolean")
+        return both.mapInArrow(tidy(_verified(self.numerator, self.denominator)), "a long, b long, linked boolean")
 
     def links(self) -> DataFrame:
         """Verified links (a, b) that connect representatives as all links would."""
         groups = self.groups()
         wanted = groups.select("rep").distinct()
         texts = self.docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text")
-        self.sets = self.stage.store(texts.mapInArrow(_sets, "rep long, hashes binary").dropDuplicates(["rep"]), "sets")
+        self.sets = self.stage.store(texts.mapInArrow(tidy(_sets), "rep long, hashes binary").dropDuplicates(["rep"]), "sets")
         self.stage.release()
-        tested, label = None, None
+        label, paths = None, []
         for k in range(ROUNDS + 1):
             whole = k == ROUNDS
             members = self.members(groups, label)
             pairs = self.proposed(self.halves(members) if whole else self.blocks(members), whole)
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            now = self.stage.store(self.verify(pairs), f"tested-{k}")
+            if paths:
+                # Linked pairs are within a component by now and are not proposed again.
+                pairs = pairs.join(tested.where("NOT linked").select("a", "b"), ["a", "b"], "left_anti")
+            name = f"tested-{k}"
+            schema = self.stage.store(self.verify(pairs), name).schema
+            paths.append(self.stage.path(name))
+            # One scan of all rounds' tables, so that plans do not grow with the rounds.
+            tested = self.spark.read.schema(schema).parquet(*paths)
             self.stage.release()
-            tested = now if tested is None else tested.union(now)
             # Between rounds any labels that links bear out will do; only the last must be the roots.
             label = components(self.stage, tested.where("linked").select("a", "b"), f"components-{k}", None if whole else 2)
         self.label = label
