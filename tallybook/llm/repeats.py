@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, columns, ready
+from .common import Stage, columns, ready, tidy
 
 LEAST = 100
 GRAM = 32
@@ -469,12 +469,12 @@ class Repeats:
         return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
     def repeated(self, places: DataFrame, parts: int, settle: bool, of: Callable) -> DataFrame:
-        sent = places.mapInArrow(_dealt(parts, settle, of), BLOBS).repartition(self.tasks, "part").sortWithinPartitions("part")
-        return sent.mapInArrow(_repeated(settle), "doc long, at int")
+        sent = places.mapInArrow(tidy(_dealt(parts, settle, of)), BLOBS).repartition(self.tasks, "part").sortWithinPartitions("part")
+        return sent.mapInArrow(tidy(_repeated(settle)), "doc long, at int")
 
     def sort(self, runs: DataFrame, with_classes: bool, name: str) -> DataFrame:
         dealt = runs.repartition(self.tasks, "part").sortWithinPartitions("part")
-        return self.stage.store(dealt.mapInArrow(_merge(with_classes), FOUND), name)
+        return self.stage.store(dealt.mapInArrow(tidy(_merge(with_classes)), FOUND), name)
 
     def spans(self) -> DataFrame:
         """(doc, start, size) of strings that also start earlier; whole copies are not among them."""
@@ -487,7 +487,7 @@ class Repeats:
 
         splitters = self.splitters(max(self.tasks, candidates.count() // PART_STRINGS + 1))
         wanted = candidates.groupBy("doc").agg(F.collect_list("at").alias("at"))
-        found = self.sort(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "at").mapInArrow(_runs(splitters, segment_strings), BLOBS), True, "segments")
+        found = self.sort(texts.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "at").mapInArrow(tidy(_runs(splitters, segment_strings)), BLOBS), True, "segments")
         self.stage.release()
 
         classes = found.where("kind = 0")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, learns_from, ready
+from .common import columns, learns_from, ready, tidy
 
 SAMPLE = 15_000
 LEXICON = 300
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return Model({}, None, (np.zeros(1), np.zeros(1)), float(bool(toxic)))
-    words = rows.mapInArrow(_counted, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = rows.mapInArrow(tidy(_counted), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     # A word counts by how far its odds exceed what so few documents could show by chance.
     sure = odds - 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = model.score([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return columns(docs, ("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return columns(docs, ("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -244,10 +244,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     """``docs`` without the rows that the model rejects; columns stay as they are."""
     model = fit(docs, labels, sample)
 
-    @F.pandas_udf("double")
-    def scored(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(model.score([t or "" for t in texts]), index=texts.index, dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = model.score([t or "" for t in b.column("text").to_pylist()])
+            yield b.filter(pa.array(np.asarray(found) < TOXIC_FROM, pa.bool_()))
 
-    return docs.where(scored(F.col("text")) < TOXIC_FROM)
+    return docs.mapInArrow(tidy(run), docs.schema)
