@@ -10,8 +10,10 @@ from ..plans.lineage import Workspace
 from ..sources.tickers import read_tickers
 from ..streaming.commands import stream_commands as commands_of
 from ..streaming.confirmations import DETAIL_COLUMNS, ConfirmationStream
+from ..streaming.expiry import stream_expiry as ending
 from ..streaming.ledger_stream import LedgerStream, stream_settle as start_settling
 from ..streaming.rates import RateStream, last_quotes, stream_rates as rates_of
+from ..streaming.withdrawals import stream_confirmed
 from .accounts import _DETAILS, _RECORDED
 from .rates import PATHS
 from .registry import query
@@ -107,6 +109,59 @@ def _ledger(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "ST4 (withdrawals that meet their reports)",
+    f"""
+with d as ({_DETAILS}),
+h as (select txid, first(category order by n, address, amount, category) as category, first(fee order by n, address, amount, category) as fee
+ from d group by txid having max(confirmations) >= 6)
+select a.action_id, a.txid, 'completed' as state, cast(abs(h.fee) as decimal(20,8)) as txfee
+from h join fx_action a on a.txid = h.txid where h.category = 'send'""",
+)
+def stream_withdrawals(t: Tables) -> DataFrame:
+    space = Workspace(t.spark, "stream-withdrawals")
+    actions = _stream_sql(t, "orders", f"select action_id, txid from ({RECIPES['fx_action'].strip()})")
+    reports = _stream_sql(t, "lineitem", _DETAILS.replace("from fx_chain_tx", f"from ({RECIPES['fx_chain_tx'].strip()})"))
+    return _drain(stream_confirmed(actions, reports), space, "confirmed")
+
+
+# Held tips of the log, and answers of two of three recipients from at once to three days later.
+_HELD = """
+select action_id, ts, service_id, type, state, from_user, to_user, coin_val from fx_action
+ where type='givetip' and state='pending' and to_user is not null
+union all
+select action_id + 1000000000000, ts + interval '1' hour * cast(action_id % 72 as int), service_id,
+ case when action_id % 3 = 1 then 'accept' else 'decline' end, 'completed', to_user, null, null
+ from fx_action where type='givetip' and state='pending' and to_user is not null and action_id % 3 <> 0"""
+
+
+@query(
+    "ST3",
+    f"""
+with l as ({_HELD}),
+p as (select *, ts + interval '48' hour as ends from l where type = 'givetip'),
+x as (select p.action_id, arg_min(q.type, (q.ts, q.action_id)) as how, min(q.ts) as at from p
+ join l q on q.type <> 'givetip' and q.service_id = p.service_id and q.from_user = p.to_user and q.ts >= p.ts and q.ts <= p.ends group by 1)
+select p.action_id, cast(p.service_id as bigint) as service_id,
+ case when x.how = 'accept' then 'completed' when x.how = 'decline' then 'declined' else 'expired' end as state,
+ coalesce(x.at, p.ends) as settled_at, 'escrow' as debit, case when x.how = 'accept' then p.to_user else p.from_user end as credit, p.coin_val
+from p left join x on x.action_id = p.action_id where x.at is not null or p.ends < (select max(ts) from l)""",
+)
+def stream_expiry(t: Tables) -> DataFrame:
+    space = Workspace(t.spark, "stream-expiry")
+    log = _stream_sql(t, "orders", f"select * from ({RECIPES['fx_action'].strip()})")
+    tips = log.where("type = 'givetip' AND state = 'pending' AND to_user IS NOT NULL").select(
+        "action_id", "ts", "service_id", "type", "state", "from_user", "to_user", "coin_val"
+    )
+    answers = tips.where("action_id % 3 <> 0").select(
+        (F.col("action_id") + 1_000_000_000_000).alias("action_id"),
+        (F.col("ts") + F.make_interval(hours=(F.col("action_id") % 72).cast("int"))).alias("ts"), "service_id",
+        F.when(F.col("action_id") % 3 == 1, "accept").otherwise("decline").alias("type"), F.lit("completed").alias("state"),
+        F.col("to_user").alias("from_user"), F.lit(None).cast("string").alias("to_user"), F.lit(None).cast("decimal(20,8)").alias("coin_val"),
+    )
+    return _drain(ending(tips.unionByName(answers), clock="event"), space, "transitions")
+
+
 @query(
     "ST5",
     """

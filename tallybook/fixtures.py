@@ -110,6 +110,7 @@ from orders group by o_orderdate""",
 select c_custkey+2 as user_id_main, c_custkey+1 as user_id_merge, 1 as seq from customer where c_custkey % 100 = 10
 union all
 select c_custkey+3, c_custkey+2, 2 from customer where c_custkey % 100 = 10""",
+    # Keywords with the bounds and divisor of their amounts.
     "fx_keyword": """
 select * from (values ('flip',4,4,1),('megaflip',4,80,1),('gigaflip',4,800,1),('roll',4,4,1),
  ('megaroll',4,240,1),('gigaroll',4,2400,1),('random250',0,250000,1000),('random500',0,500000,1000),

@@ -15,6 +15,7 @@ from .history import user_history
 from .identity import linked_account_parts, linked_accounts, resolve_users
 from .stats import account_info, user_totals
 
+# Names of errors as the ledger records them.
 REPORTED_ERRORS = ("not_registered", "balance_too_low", "tip_below_minimum", "addr_invalid")
 
 
@@ -149,6 +150,7 @@ def notify_account(
 # --- messages ----------------------------------------------------------------
 
 # (audience, channel, subject, template) per notification type that becomes a message.
+# Names of notification types.
 _PLAIN = {
     "not_registered": ("from", "message", "+info failed", "not_registered"),
     "tip_incoming": ("to", "message", "+tip incoming", "tip_incoming"),
