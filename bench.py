@@ -21,7 +21,7 @@ HEADLINE = (
     "average_rates_hourly", "chained_rate", "rates_last_good", "value_actions", "wallet_solvency",
     "extract_commands", "build_action", "stage_actions", "read_commands", "triage_pending",
     "register_users", "merge_accounts", "upsert_actions", "reconcile_deposits", "confirm_withdrawals",
-    "validate_actions", "settle_transfers", "settle_ledger", "audit_postings",
+    "validate_actions", "settle_transfers", "settle_ledger", "buy_gold", "audit_postings",
     "notify", "select_messages", "render", "notify_account", "user_pages", "rates_by_window",
 )
 
