@@ -37,7 +37,7 @@ class ConfirmationStream:
         self.spark, self.settings = spark, settings
         self.address, self.username, self.service, self.action = address, username, service, action
         names = ("waiting", "deposits", "withdrawals")
-        self.tables = {name: VersionedTable(spark, root, name) for name in names}
+        self.tables = {name: VersionedTable(spark, root, name, snapshot=name == "waiting") for name in names}
 
     def seed(self) -> None:
         self.tables["waiting"].write(self.spark.createDataFrame([], DETAIL_DDL), SEED)

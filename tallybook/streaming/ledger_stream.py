@@ -3,6 +3,11 @@
 Every batch is settled like a small ledger of its own against the balances left
 by the batches before it.  Tips that are still held at the end of a batch are
 carried with their time limit; the clock is the latest event time seen.
+
+Rows that were delivered before are found ahead of settlement by keys kept from all
+earlier batches: the same action_id again is dropped, and a tip or withdrawal whose
+message was another row's ends as ``ignored``.  With ``guard_days`` keys are kept for so
+long only, by event time, and rows that are older than that end as ``ignored`` too.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.address import valid_address
+from ..operators.book import mark_repeats
 from ..operators.identity import addresses_to_assign
 from ..operators.ledger import (
     ledger_claims,
@@ -33,7 +39,23 @@ PENDING_DDL = (
     "action_id bigint, ts timestamp, service_id bigint, from_id bigint, to_user string, "
     "amount decimal(38,8), end_t bigint, pair string"
 )
+SEEN_DDL = "action_id bigint, t bigint, type string, service_id bigint, config1 string"
 APPENDED = ("user", "username", "address")
+DAY = 86_400_000_000  # in microseconds
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """Changes of balances, one per account."""
+    return rows.groupBy("account").agg(F.sum("balance").cast(MONEY).alias("balance"), F.max("v").alias("v"))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The last state of each action with what its first row says about it."""
+    first, last = ("type", "error", "coin_val", "was_pending"), ("state", "settled_at")
+    found = rows.groupBy("action_id").agg(
+        F.min_by(F.struct(*first), "v").alias("_first"), F.max_by(F.struct(*last), "v").alias("_last"), F.max("v").alias("v")
+    )
+    return found.select("action_id", "_first.*", "_last.*", "v")
 
 
 class LedgerStream:
@@ -46,15 +68,20 @@ class LedgerStream:
         settings: Settings = DEFAULT,
         address_check: Callable[[Column], Column] = valid_address,
         compact_every: int = 20,
+        guard_days: int | None = None,
         **options,
     ):
         self.spark = spark
         self.settings = settings
         self.address_check = address_check
-        self.compact_every = compact_every
+        self.guard_days = guard_days
         self.options = options
-        names = (*APPENDED, "balances", "deltas", "pending", "outcomes", "clock")
-        self.tables = {name: VersionedTable(spark, root, name) for name in names}
+        folds = {"deltas": _added, "outcomes": _latest, "seen": self._kept}
+        names = (*APPENDED, "deltas", "pending", "outcomes", "clock", "seen")
+        self.tables = {
+            name: VersionedTable(spark, root, name, compact_every, folds.get(name), snapshot=name in ("pending", "clock"))
+            for name in names
+        }
 
     def seed(self, user: DataFrame, username: DataFrame, address: DataFrame) -> None:
         """Write the starting tables."""
@@ -63,34 +90,53 @@ class LedgerStream:
         clock = self.spark.createDataFrame([(None,)], "horizon bigint")
         for name, table in (("user", user), ("username", username), ("address", address)):
             self.tables[name].write(conform(table, LEDGER_TABLES[name]), SEED)
-        self.tables["balances"].write(start.groupBy("account").agg(F.sum("balance").cast(MONEY).alias("balance")), SEED)
-        self.tables["deltas"].write(start.where("false"), SEED)
+        self.tables["deltas"].write(start.groupBy("account").agg(F.sum("balance").cast(MONEY).alias("balance")), SEED)
+        self.tables["seen"].write(self.spark.createDataFrame([], fields(SEEN_DDL)), SEED)
         self.tables["pending"].write(empty, SEED)
         self.tables["clock"].write(clock, SEED)
 
-    def _snapshot_version(self, batch_id: int) -> int:
-        """Latest version whose balances were written whole."""
-        full = batch_id - batch_id % self.compact_every
-        return full - 1 if full > 0 else SEED
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """Keys that the guard still needs after the last of them."""
+        if self.guard_days is None:
+            return rows
+        last = rows.agg(F.max("t")).first()[0]
+        return rows if last is None else rows.where(F.col("t") >= F.lit(last - self.guard_days * DAY))
 
     def opening(self, batch_id: int, accounts: DataFrame | None = None) -> DataFrame:
-        """Balances before a batch: the last whole table plus the changes since.
+        """Balances before a batch: those of the start plus all changes since.
 
         With ``accounts`` only those are looked up, so a batch does not shuffle
         the balances of everyone.
         """
-        base = self._snapshot_version(batch_id)
-        deltas = self.tables["deltas"].versions(batch_id).where(F.col("v") > base).drop("v")
-        rows = self.tables["balances"].at(base).unionByName(deltas)
+        rows = self.tables["deltas"].appended(batch_id)
         if accounts is not None:
             rows = rows.join(accounts, "account", "left_semi")
         return rows.groupBy("account").agg(F.sum("balance").cast(MONEY).alias("balance"))
 
+    def _marked(self, batch: DataFrame, batch_id: int, before: int | None) -> DataFrame:
+        """``batch`` without actions that were there before, with ``repeated`` for those not to be settled.
+
+        Keys of earlier batches are only scanned for those of this one, not moved.
+        """
+        seen = self.tables["seen"].appended(batch_id)
+        known = seen.join(batch.select("action_id").distinct(), "action_id", "left_semi").select("action_id").distinct()
+        rows = batch.join(known, "action_id", "left_anti")
+        recorded = None
+        if "config1" in batch.columns:
+            keys = ["type", "service_id", "config1"]
+            recorded = seen.join(batch.where("config1 IS NOT NULL").select(*keys).distinct(), keys, "left_semi")
+        marked = mark_repeats(rows, recorded)
+        if self.guard_days is None or before is None:
+            return marked
+        late = F.unix_micros(F.col("ts").cast("timestamp")) < F.lit(before - self.guard_days * DAY)
+        return marked.withColumn("repeated", F.col("repeated") | late)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         settings, tables = self.settings, self.tables
         space = Workspace(self.spark, f"batch-{batch_id}")
-        actions = space.store(batch, "actions")
         before = tables["clock"].at(batch_id - 1).first()["horizon"]
+        received = space.store(self._marked(space.store(batch, "received"), batch_id, before), "actions")
+        actions = received.where("NOT repeated").drop("repeated")
         latest = actions.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
         known = [t for t in (before, latest) if t is not None]
         horizon = max(known) if known else 0
@@ -100,7 +146,7 @@ class LedgerStream:
         username, address = self._relevant(actions, batch_id, all_names, all_addresses, space)
         names = timed_names(username, made)
         validated = space.store(
-            validate_actions(actions, names, address, username, None, settings, self.address_check), "validated"
+            validate_actions(actions.drop("config1"), names, address, username, None, settings, self.address_check), "validated"
         )
         declines = responses(actions)
         claims = space.store(ledger_claims(validated, declines, settings), "claims")
@@ -135,7 +181,13 @@ class LedgerStream:
             F.timestamp_micros("end_t").alias("settled_at"),
         )
 
-        tables["outcomes"].write(outcomes.unionByName(resolved, allowMissingColumns=True), batch_id)
+        ignored = received.where("repeated").select(
+            "action_id", "type", F.col("coin_val").cast("decimal(20,8)").alias("coin_val"),
+            F.lit(False).alias("was_pending"), F.lit("ignored").alias("state"),
+        )
+        for part in (resolved, ignored):
+            outcomes = outcomes.unionByName(part, allowMissingColumns=True)
+        tables["outcomes"].write(outcomes, batch_id)
         tables["pending"].write(held.unionByName(still), batch_id)
         # New accounts ask for an address at once: the wallet name is the request.
         wallets = addresses_to_assign(made.address, made.username).select("address_id", "wallet_name")
@@ -143,11 +195,13 @@ class LedgerStream:
         for name, rows in (("user", made.user), ("username", made.username), ("address", asked)):
             tables[name].write(conform(rows, LEDGER_TABLES[name]), batch_id)
         tables["deltas"].write(change, batch_id)
-        if (batch_id + 1) % self.compact_every == 0:
-            whole = self.opening(batch_id).unionByName(change)
-            tables["balances"].write(
-                whole.groupBy("account").agg(F.sum("balance").cast(MONEY).alias("balance")), batch_id
-            )
+        message = F.col("config1") if "config1" in received.columns else F.lit(None)
+        keys = {
+            "action_id": F.col("action_id"), "t": F.unix_micros(F.col("ts").cast("timestamp")), "type": F.col("type"),
+            "service_id": F.col("service_id"), "config1": message,
+        }
+        types = {f.name: f.dataType for f in fields(SEEN_DDL).fields}
+        tables["seen"].write(received.select(*[c.cast(types[n]).alias(n) for n, c in keys.items()]), batch_id)
         tables["clock"].write(self.spark.createDataFrame([(horizon,)], "horizon bigint"), batch_id)
 
     def _relevant(
@@ -213,12 +267,7 @@ class LedgerStream:
 
     def outcomes(self, before: int) -> DataFrame:
         """Latest state of every action seen before batch ``before``."""
-        rows = self.tables["outcomes"].versions(before)
-        last = rows.groupBy("action_id").agg(
-            F.max_by(F.struct("state", "settled_at"), "v").alias("_last"),
-            F.min_by(F.struct("type", "error", "coin_val", "was_pending"), "v").alias("_first"),
-        )
-        return last.select("action_id", "_first.*", "_last.*")
+        return _latest(self.tables["outcomes"].versions(before)).drop("v")
 
 
 def stream_settle(actions: DataFrame, sink: LedgerStream, checkpoint: str, **trigger):

@@ -49,12 +49,15 @@ class RateStream:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.table = VersionedTable(spark, root, "quotes")
+        self.table = VersionedTable(spark, root, "quotes", fold=self._last)
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("window", *PAIR, "exchange").agg(F.max("_last").alias("_last"), F.max("v").alias("v"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self.table.write(batch, batch_id)
 
     def rates(self, before: int) -> DataFrame:
         """Rates over all batches below ``before``."""
-        latest = self.table.appended(before).groupBy("window", *PAIR, "exchange").agg(F.max("_last").alias("_last"))
-        return mean_rates(latest)
+        return mean_rates(self._last(self.table.versions(before)))
