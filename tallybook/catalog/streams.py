@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..fixtures import RECIPES, Tables
 from ..plans.lineage import Workspace
 from ..sources.tickers import read_tickers
+from ..streaming.actions import ActionStream, ArchiveStream
 from ..streaming.commands import stream_commands as commands_of
 from ..streaming.confirmations import DETAIL_COLUMNS, ConfirmationStream
 from ..streaming.expiry import stream_expiry as ending
 from ..streaming.ledger_stream import LedgerStream, stream_settle as start_settling
 from ..streaming.rates import RateStream, last_quotes, stream_rates as rates_of
 from ..streaming.withdrawals import stream_confirmed
-from .accounts import _DETAILS, _RECORDED
+from .accounts import _DETAILS, _RECORDED, _UPDATES
 from .rates import PATHS
 from .registry import query
 from .settlement import _LOG, _shaped
@@ -191,3 +192,59 @@ def stream_rates(t: Tables) -> DataFrame:
     )
     started.awaitTermination()
     return sink.rates(1 << 30)
+
+
+@query(
+    "S7 (as a stream)",
+    f"""
+with u as (select * from ({_UPDATES}) qualify row_number() over (partition by action_id order by version desc) = 1),
+b as (select action_id, state, ts, from_user, to_user, coin_val, cast(action_id % 100 as decimal(20,8)) as txfee from fx_action)
+select b.* from b where not exists (select 1 from u where u.action_id = b.action_id)
+union all
+select u.action_id, u.state, u.ts, u.from_user, null, cast(u.coin_val as decimal(20,8)), b.txfee from u left join b on b.action_id = u.action_id""",
+)
+def stream_upserts(t: Tables) -> DataFrame:
+    space = Workspace(t.spark, "stream-upserts")
+    # Changes of the log's own rows, read as a stream; the table they change is there from the start.
+    log = _stream_sql(t, "orders", f"select * from ({RECIPES['fx_action'].strip()})")
+    columns = ("state", "ts", "from_user", "coin_val", "version")
+
+    def change(rows: DataFrame, action_id, *values) -> DataFrame:
+        return rows.select(action_id.alias("action_id"), *[v.alias(c) for c, v in zip(columns, values, strict=True)])
+
+    key, amount = F.col("action_id"), F.col("coin_val").cast("decimal(20,8)")
+    kept = (F.col("ts"), F.col("from_user"))
+    changes = (
+        change(log.where("state = 'pending'"), key, F.lit("completed"), *kept, amount, F.lit(1))
+        .unionByName(change(log.where("state = 'pending' AND type = 'givetip'"), key, F.lit("expired"), *kept, (amount * 2).cast("decimal(20,8)"), F.lit(2)))
+        .unionByName(change(log.where("state = 'declined'"), key + 700000000000, F.lit("failed"), *kept, amount, F.lit(1)))
+    )
+    sink = ActionStream(t.spark, space.path("state"))
+    sink.seed(t.action.select(
+        "action_id", "state", "ts", "from_user", "to_user", "coin_val", (key % 100).cast("decimal(20,8)").alias("txfee")
+    ))
+    started = (
+        changes.writeStream.foreachBatch(sink).option("checkpointLocation", space.path("checkpoint"))
+        .trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    return sink.actions()
+
+
+@query(
+    "S3 (as a stream)",
+    "select body as message, created_utc as timestamp, count(*) as n_ids, count(*) as n_rows from fx_message group by 1, 2",
+)
+def stream_archive(t: Tables) -> DataFrame:
+    """Messages with the ids they got; every row of the archive has one of its own."""
+    space = Workspace(t.spark, "stream-archive")
+    messages = _stream_sql(t, "events", f"select body, created_utc from ({RECIPES['fx_message'].strip()})")
+    sink = ArchiveStream(t.spark, space.path("archive"), "body", "created_utc")
+    started = (
+        messages.writeStream.foreachBatch(sink).option("checkpointLocation", space.path("checkpoint"))
+        .trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    return sink.archived().groupBy("message", "timestamp").agg(
+        F.countDistinct("message_id").alias("n_ids"), F.count(F.lit(1)).alias("n_rows")
+    )
