@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, learns_from, ready
+from .common import columns, learns_from, ready, spread_join
 
 SIZE = 4096
 SAMPLE = 6000
+# A language with one of so many rows is common: at most that many are.
+HOT = 1000
 EPOCHS = 12
 COST = 4.0
 PIECE = 1 << 20  # bytes of a text that are counted at once
@@ -150,9 +152,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     ready(docs.sparkSession)
     known = columns(docs, ("doc_id", "lang", "text")).where(learns_from(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = share.select("lang", (F.lit(float(sample)) / F.count("*").over(_everything()) / F.col("n")).alias("share"))
+    every = _everything()
+    share = share.select(
+        "lang", (F.lit(float(sample)) / F.count("*").over(every) / F.col("n")).alias("share"),
+        (F.col("n") * HOT >= F.sum("n").over(every)).alias("hot"),
+    )
     luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(share, "lang").where(luck < F.col("share")).where("text RLIKE '\\\\p{L}'").select("lang", "text")
+    # Texts of common languages stay where they are.
+    picked = spread_join(known, share, ["lang"], F.col("hot")).where(luck < F.col("share")).where("text RLIKE '\\\\p{L}'").select("lang", "text")
     rows = picked.mapInArrow(_vectors, "lang string, cells binary").collect()
     if not rows:
         return None

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tallybook.llm import langid as L
 from tallybook.llm.common import table
@@ -61,3 +62,13 @@ def test_long_texts_are_counted_whole():
         np.testing.assert_allclose(L.vector(text), whole, rtol=1e-6)
     finally:
         L.PIECE = old
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_same_sample_for_rare_languages(spark, monkeypatch, hot):
+    """Languages that meet their share by a shuffle give the training rows that a broadcast gives."""
+    docs = table(spark, SF, "documents").where("doc_id < 300")
+    shown = lambda: sorted(map(tuple, L.identify(docs, 60).collect()))
+    want = shown()
+    monkeypatch.setattr(L, "HOT", hot)
+    assert shown() == want
