@@ -163,22 +163,22 @@ def stream_expiry(t: Tables) -> DataFrame:
     return _drain(ending(tips.unionByName(answers), clock="event"), space, "transitions")
 
 
-@query(
-    "ST5",
-    """
+_RATES = """
 with q as (select time_bucket(INTERVAL '15' MINUTE, fiat_date, timestamp '1970-01-01') as window_start, fiat_date, exchange, thing_from, thing_to,
  try_cast(json_extract_string(payload, '$.return.markets.k') as double) as value from fx_ticker),
 l as (select window_start, thing_from, thing_to, exchange, max(struct_pack(a := fiat_date, b := value)).b as value
  from q where value is not null group by all),
 r as (select window_start, thing_from, thing_to,
  coalesce(cast(sum(case when value > 0 then cast(value as decimal(30,12)) end) as double) / nullif(count(case when value > 0 then 1 end), 0), 0.0) as rate from l group by all)
-select * from r""",
-)
+select * from r"""
+
+
+@query("ST5", _RATES)
 def rates_by_window(t: Tables) -> DataFrame:
     return rates_of(read_tickers(t.ticker, PATHS))
 
 
-@query("ST5 (as a stream)")
+@query("ST5 (as a stream)", _RATES)
 def stream_rates(t: Tables) -> DataFrame:
     space = Workspace(t.spark, "stream-rates")
     tickers = _stream_sql(t, "events", RECIPES["fx_ticker"])
