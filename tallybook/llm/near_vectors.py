@@ -2,15 +2,17 @@
 
 Equal vectors form a class with one representative. Representatives are dealt over shards
 by hash (``SHARDS`` at least, more where a shard would pass ``SHARD_ROWS``); a task builds
-each shard's graph. Every representative queries every shard, in blocks. A beam that
-ends full of links is widened, up to the whole shard, so no number of partners is cut
-off. Before that, an audit compares the shard's answers to sets of its own vectors with
-brute force and widens the beam of all queries until the mean recall of a vector, hits on
-itself left out, reaches ``RECALL``: among vectors with fewer partners than the beam is
-wide, of which it draws up to ``AUDIT``, and among the others. Links are verified by
-cosine in double precision, a bounded slice of pairs at a time. Tasks count each query's
-partners (copies included) and put out a spanning forest of the links that they found, not
-all pairs; the forests are united to components.
+each shard's graph. Every representative queries every shard, in blocks: a task holds two
+shards and asks each with the rows of the other, or one shard and asks it with its own
+rows. A beam that ends full of links is widened, up to ``WIDE`` and then to the whole
+shard, so no number of partners is cut off. Before that, an audit compares the shard's
+answers to sets of its own vectors with brute force and widens the beam of all queries
+until the mean recall of a vector, hits on itself left out, reaches ``RECALL``: among
+vectors with fewer partners than the beam is wide, of which it draws up to ``AUDIT``, and
+among the others. Links are verified by cosine in double precision, a bounded slice of
+pairs at a time. A link found from either end counts for both. Tasks put out each row's
+number of partners (copies included) and a spanning forest of the links that they found,
+not all pairs; the forests are united to components.
 
 Null vectors, and those with null or non-finite components or of length zero, link with
 nothing; nor do rows without vec_id. Vectors of different dimension never link. Rows that
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,10 @@ from .common import Stage, columns, components, ready
 SHARDS = 8
 SHARD_ROWS = 50_000
 BLOCK = 512
-BLOCKS_PER_TASK = 32
 DEGREE = 16
-BEAM = 64
+BEAM = 64  # first width; a quarter of a shard that has fewer than four times as many rows
+NARROW = 8
+WIDE = 256  # a beam that is still full here costs more than the whole shard
 BUILD = 48
 AUDIT = 128
 DRAWS = 8192  # vectors of a shard among which the audit looks for some with few partners
@@ -73,8 +77,8 @@ def diverse(x: np.ndarray, own: np.ndarray, found: np.ndarray, near: np.ndarray,
 class Graph:
     """Layered graphs over the rows of ``x`` (of unit length): layer 0 has all rows, each higher one a sixteenth."""
 
-    def __init__(self, x: np.ndarray, beam: int = BEAM):
-        self.x, self.beam = x, beam
+    def __init__(self, x: np.ndarray, beam: int | None = None):
+        self.x, self.beam = x, beam or min(BEAM, max(NARROW, len(x) // 4))
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # nodes, neighbours (as rows of x)
 
     @classmethod
@@ -228,15 +232,20 @@ class Graph:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def slices(self, queries: np.ndarray, least: float, beam: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """What ``within`` has, a few queries at a time; full beams are widened up to the whole shard."""
+        """What ``within`` has, a few queries at a time."""
+        for q, r, _ in self.answers(queries, least, beam):
+            yield q, r
+
+    def answers(self, queries: np.ndarray, least: float, beam: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(query, row, whether these queries saw the whole shard); full beams are widened up to the whole shard."""
         beam = beam or self.beam
         left = np.arange(len(queries))
         while len(left):
-            if 4 * beam >= len(self.x):
+            if beam >= len(self.x):
                 step = max(1, min(BLOCK, MEETINGS // len(self.x)))
                 for i in range(0, len(left), step):
                     q, r = np.nonzero(queries[left[i : i + step]] @ self.x.T >= least)
-                    yield left[i + q], r
+                    yield left[i + q], r, True
                 return
             again = []
             step = max(1, min(BLOCK, (1 << 25) // len(self.x), MEETINGS // beam))
@@ -246,13 +255,13 @@ class Graph:
                 full = near[:, -1] >= least
                 again.append(part[full])
                 q, k = np.nonzero((near >= least) & ~full[:, None])
-                yield part[q], found[q, k]
-            left, beam = np.concatenate(again), 4 * beam
+                yield part[q], found[q, k], False
+            left, beam = np.concatenate(again), 4 * beam if 4 * beam <= WIDE else len(self.x)
 
     def audit(self, least: float) -> None:
         """Widen the beam until the answers to own rows agree with brute force, for rows of few partners and of many."""
         few, many = self._audited(least)
-        while 4 * self.beam < len(self.x) and min(self._recall(*few, least), self._recall(*many, least)) < RECALL:
+        while self.beam < len(self.x) and min(self._recall(*few, least), self._recall(*many, least)) < RECALL:
             self.beam *= 2
 
     def _audited(self, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -326,8 +335,14 @@ def _indexed(least: float):
     return run
 
 
-def loaded(blob: bytes, dim: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    """(graph, ids, class sizes, vectors) of a stored shard."""
+class Shard(NamedTuple):
+    graph: Graph
+    ids: np.ndarray
+    sizes: np.ndarray  # copies of each vector, itself included
+    x: np.ndarray
+
+
+def loaded(blob: bytes, dim: int) -> Shard:
     data, at = zlib.decompress(blob), 0
 
     def take(kind: str, *shape: int) -> np.ndarray:
@@ -342,19 +357,7 @@ def loaded(blob: bytes, dim: int) -> tuple[Graph, np.ndarray, np.ndarray, np.nda
     for _ in range(layers):
         rows, width = take("<i8", 2).tolist()
         g.layers.append((take("<i4", rows), take("<i4", rows, width)))
-    return g, ids, sizes, x
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of one dimension packed by the block."""
-    for b in batches:
-        rows = sorted(b.to_pylist(), key=lambda r: r["dim"])
-        for i in range(0, len(rows), BLOCK):
-            for dim in sorted({r["dim"] for r in rows[i : i + BLOCK]}):
-                part = [r for r in rows[i : i + BLOCK] if r["dim"] == dim]
-                data = np.array([r["rep"] for r in part], "<i8").tobytes() + b"".join(r["vector"] for r in part)
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(part)], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(data) >> 1], pa.int64()), pa.array([data], pa.binary())],
-                                                 ["dim", "size", "block", "queries"])
+    return Shard(g, ids, sizes, x)
 
 
 class Forest:
@@ -396,41 +399,91 @@ class Forest:
 
 def partners(g: Graph, queries: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified (query, row), at most ``PAIRS`` at a time."""
+    for q, r, _ in verified(g, queries, x, least):
+        yield q, r
+
+
+def verified(g: Graph, queries: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """What ``partners`` has, and whether the queries saw the whole shard."""
     lengths, own = np.linalg.norm(x, axis=1), np.linalg.norm(queries, axis=1)
-    for i, j in g.slices(unit(queries), least - LOOSE):
+    for i, j, whole in g.answers(unit(queries), least - LOOSE):
         for at in range(0, len(i), PAIRS):
             q, r = i[at : at + PAIRS], j[at : at + PAIRS]
             good = np.einsum("ij,ij->i", queries[q], x[r]) / (own[q] * lengths[r]) >= least
-            yield q[good], r[good]
+            yield q[good], r[good], whole
+
 
+def weighed(rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(rows, weights, n).astype(np.int64)
 
-def _searched(least: float):
-    """Per query its number of partners in the shard (kind 0), and links of a forest (kind 1)."""
+
+def meet(one: Shard, two: Shard, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """((id, partners), links of a forest) between two shards, or within one if both are the same.
+
+    A link counts for both of its rows whichever of them found it. Rows that saw the whole
+    other shard count their partners themselves and add themselves to their partners'
+    number. Other rows have fewer partners than a beam is wide; their links are held until
+    both sides have searched, and repeated ones count once.
+    """
+    same, n, m = one is two, len(one.ids), len(two.ids)
+    tree, links = Forest(m), [np.empty((2, 0), np.int64)]
+    tree.ask(n)
+    shards = [one] if same else [one, two]
+    if same:
+        tree.join(np.arange(n), np.arange(n))
+    saw = [np.zeros(len(s.ids), bool) for s in shards]
+    counted, added = ([np.zeros(len(s.ids), np.int64) for s in shards] for _ in range(2))
+    held = [np.empty(0, np.int64)]
+    for side, own in enumerate(shards):
+        across = len(shards) - 1 - side
+        other = shards[across]
+        for at in range(0, len(own.ids), BLOCK):
+            for q, r, whole in verified(other.graph, own.x[at : at + BLOCK], other.x, least):
+                q = q + at
+                apart = own.ids[q] != other.ids[r]
+                q, r = q[apart], r[apart]
+                i, j = (r, q) if side else (q, r)
+                new = tree.join(i, j)
+                links.append(np.stack([one.ids[i[new]], two.ids[j[new]]]))
+                if whole:
+                    saw[side][q] = True
+                    counted[side] += weighed(q, other.sizes[r], len(own.ids))
+                    added[across] += weighed(r, own.sizes[q], len(other.ids))
+                else:
+                    held.append(i * np.int64(m) + j)
+                    if same:
+                        held.append(j * np.int64(m) + i)
+    ends = np.divmod(np.unique(np.concatenate(held)), m)
+    numbers = []
+    for side, own in enumerate(shards):
+        across = len(shards) - 1 - side
+        rows, others = ends[side], ends[1 - side]
+        unseen = ~saw[across][others]
+        total = np.where(saw[side], counted[side], added[side] + weighed(rows[unseen], shards[across].sizes[others[unseen]], len(own.ids)))
+        numbers.append(np.stack([own.ids, total])[:, total > 0])
+    return np.concatenate(numbers, axis=1), np.concatenate(links, axis=1)
+
+
+def _met(least: float):
+    """Numbers of partners (kind 0) and links of forests (kind 1). A pair of shards follows each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
+        first: tuple[tuple, Shard] | None = None
         for b in batches:
             for r in b.to_pylist():
-                if key != (r["dim"], r["shard"]):
-                    key, held = (r["dim"], r["shard"]), loaded(r["graph"], r["dim"])
-                    tree = Forest(len(held[1]))
-                g, ids, sizes, x = held
-                own = np.frombuffer(r["queries"], "<i8", r["size"])
-                q = np.frombuffer(r["queries"], "<f8", offset=8 * r["size"]).reshape(r["size"], r["dim"])
-                tree.ask(len(own))
-                count, links = np.zeros(len(own), np.int64), [np.empty((2, 0), np.int64)]
-                for i, j in partners(g, q, x, least):
-                    other = own[i] != ids[j]
-                    i, j = i[other], j[other]
-                    count += np.bincount(i, sizes[j], len(own)).astype(np.int64)
-                    new = tree.join(i, j)
-                    links.append(np.stack([own[i[new]], ids[j[new]]]))
-                some = np.flatnonzero(count)
-                a, b_ = np.concatenate(links, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.zeros(len(some), np.int32), np.ones(len(a), np.int32)])), pa.array(np.concatenate([own[some], a])), pa.array(np.concatenate([count[some], b_]))],
-                    ["kind", "a", "b"],
-                )
+                key, own = (r["dim"], r["one"], r["two"]), loaded(r["graph"], r["dim"])
+                if r["one"] == r["two"]:
+                    pair = own, own
+                elif first and first[0] == key:
+                    pair = first[1], own
+                else:
+                    first = key, own
+                    continue
+                first = None
+                numbers, links = meet(*pair, least)
+                kinds = np.repeat(np.array([0, 1], np.int32), [numbers.shape[1], links.shape[1]])
+                a, b_ = np.concatenate([numbers, links], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(a), pa.array(b_)], ["kind", "a", "b"])
 
     return run
 
@@ -451,14 +504,12 @@ def group_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     dealt = reps.withColumn("shard", F.pmod("luck", F.lit(shards))).repartition(max(tasks, shards), "dim", "shard").sortWithinPartitions("dim", "shard", "luck")
     index = stage.store(dealt.select("dim", "shard", "rep", "n", "vector").mapInArrow(_indexed(least - LOOSE), "dim int, shard long, graph binary"), "index")
 
-    blocks = stage.store(reps.select("rep", "dim", "vector").mapInArrow(_blocks, "dim int, size long, block long, queries binary"), "blocks")
-    salts = -(-blocks.count() // BLOCKS_PER_TASK) or 1
-    asked = blocks.withColumn("salt", F.pmod("block", F.lit(salts))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    shown = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    # Graphs are repeated for every 32 blocks of queries; a task holds one graph and a block.
-    met = asked.join(shown, ["dim", "shard", "salt"]).select("dim", "shard", "graph", "size", "queries")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = stage.store(met.mapInArrow(_searched(least), "kind int, a long, b long"), "found")
+    # Every pair of shards meets in one task; a graph is dealt once for each shard there is.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    pairs = index.withColumn("other", other).select("dim", F.least("shard", "other").alias("one"), F.greatest("shard", "other").alias("two"), "shard", "graph")
+    pairs = pairs.repartition(max(tasks, shards * (shards + 1) // 2), "dim", "one", "two").sortWithinPartitions("dim", "one", "two", "shard")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    found = stage.store(pairs.select("dim", "one", "two", "graph").mapInArrow(_met(least), "kind int, a long, b long"), "found")
     ready(spark)
 
     label = components(stage, found.where("kind = 1").select("a", "b"))

@@ -34,7 +34,6 @@ def near(rng, center, spread, n):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(V, "BLOCK", 64)
-    monkeypatch.setattr(V, "BLOCKS_PER_TASK", 3)
     rng = np.random.default_rng(seed)
     vectors = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [-0.0] * 15 + [1.0], [0.0] * 15 + [2.0]]
     for spread in (0.05, 0.2, 0.4, 1.0):
@@ -119,3 +118,85 @@ def test_audit_sees_small_groups_beside_a_large_one():
     truth = x[1500:] @ x.T >= 0.9
     q, _ = blind.within(x[1500:], 0.9)
     assert len(q) >= 0.99 * truth.sum()
+
+
+def shard(x, first, sizes, beam=None):
+    g = V.Graph.build(V.unit(x))
+    if beam:
+        g.beam = beam
+    else:
+        g.audit(0.9)
+    return V.Shard(g, np.arange(first, first + len(x)), sizes, x)
+
+
+def linked(x, sizes):
+    """Weights of all partners of each row, by brute force."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    return close, close @ sizes
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_links_count_for_both_ends(monkeypatch, blind):
+    """Rows of a large group, of small ones and copies; also where searches of one side miss what the other finds."""
+    monkeypatch.setattr(V, "BLOCK", 200)
+    rng = np.random.default_rng(8)
+    large, centers = rng.normal(size=24), rng.normal(size=(60, 24))
+    parts = [near(rng, large, 0.05, 500), near(rng, large, 0.45, 60)] + [near(rng, c, 0.15, 6) for c in centers]
+    x = rng.permutation(np.vstack([*parts, rng.normal(size=(120, 24))]))
+    sizes = rng.integers(1, 4, len(x))
+    half = len(x) // 2
+    one, two = shard(x[:half], 0, sizes[:half]), shard(x[half:], half, sizes[half:])
+    if blind:
+        plain = V.Graph.search
+
+        def search(self, queries, beam):
+            found, near_ = plain(self, queries, beam)
+            if self is one.graph and beam < 256:
+                few = ~(near_ >= 0.9).all(1)[:, None]
+                found, near_ = np.where(few, -1, found), np.where(few, -3.0, near_)
+            return found, near_
+
+        monkeypatch.setattr(V.Graph, "search", search)
+    numbers, links = V.meet(one, two, 0.9)
+    close, _ = linked(x, sizes)
+    want = np.concatenate([close[:half, half:] @ sizes[half:], close[half:, :half] @ sizes[:half]])
+    got = np.zeros(len(x), int)
+    got[numbers[0]] = numbers[1]
+    assert (got == want).all()
+    assert len(links.T) < len(x) and close[links[0], links[1]].all()
+    if not blind:
+        for s, at in ((one, slice(0, half)), (two, slice(half, None))):
+            numbers, _ = V.meet(s, s, 0.9)
+            got = np.zeros(len(x), int)
+            got[numbers[0]] = numbers[1]
+            assert (got[at] == close[at, at] @ sizes[at]).all()
+
+
+def test_small_shards_are_searched_by_their_graph(monkeypatch):
+    """Every query goes through the graph; only rows with more partners than the beam is wide see a whole shard."""
+    rng = np.random.default_rng(9)
+    x = np.vstack([near(rng, c, 0.1, 4) for c in rng.normal(size=(14, 32))] + [rng.normal(size=(6, 32))])
+    s = shard(x, 0, np.ones(len(x), int))
+    searched, plain = [], V.Graph.search
+    monkeypatch.setattr(V.Graph, "search", lambda self, q, beam: searched.append(len(q)) or plain(self, q, beam))
+    answers = list(s.graph.answers(s.graph.x, 0.9))
+    assert sum(searched) == len(x) and not any(whole for *_, whole in answers)
+    assert sum(len(q) for q, *_ in answers) == 14 * 16 + 6
+
+
+def test_many_vectors_with_a_hot_group(spark):
+    """A third of the rows in one group, small groups beside it; all shards are searched by their graphs."""
+    rng = np.random.default_rng(10)
+    centers = rng.normal(size=(800, 32))
+    x = np.vstack([near(rng, centers[0], 0.05, 2000)] + [near(rng, c, 0.12, 4) for c in centers[1:]] + [rng.normal(size=(800, 32))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.permutation(x))], "vec_id long, embedding array<float>")
+    rows = sorted(df.collect())
+    close, number = linked(np.array([r.embedding for r in rows], float), np.ones(len(rows), int))
+    got = {r.vec_id: r for r in V.group_vectors(df).collect()}
+    assert all(got[i].n_links <= number[i] for i in range(len(rows)))
+    assert sum(r.n_links for r in got.values()) % 2 == 0
+    assert sum(r.n_links for r in got.values()) >= 0.9999 * number.sum()
+    small = number < 100
+    assert sum(got[i].n_links for i in np.flatnonzero(small)) >= 0.999 * number[small].sum()
