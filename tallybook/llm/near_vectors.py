@@ -74,6 +74,51 @@ def diverse(x: np.ndarray, own: np.ndarray, found: np.ndarray, near: np.ndarray,
     return out
 
 
+def _connected(links: np.ndarray, to_first: bool) -> np.ndarray:
+    """Rows that have a way to row 0, or to which row 0 has one."""
+    seen = np.zeros(len(links), bool)
+    seen[:1] = True
+    new = np.flatnonzero(seen)
+    while len(new):
+        if to_first:
+            new = np.flatnonzero(~seen & (seen[links] & (links >= 0)).any(1))
+        else:
+            next_ = np.unique(links[new])
+            new = next_[(next_ >= 0) & ~seen[next_]]
+        seen[new] = True
+    return seen
+
+
+def _parts(links: np.ndarray, without: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected with, in either direction and only over rows not in ``without``."""
+    source, target = np.repeat(np.arange(len(links)), links.shape[1]), links.ravel()
+    use = (target >= 0) & ~without[source] & ~without[target]
+    source, target = source[use], target[use]
+    label = np.arange(len(links))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, source, label[target])
+        np.minimum.at(low, target, label[source])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _widened(links: np.ndarray, source: np.ndarray, target: np.ndarray, most: int = 4) -> np.ndarray:
+    """``links`` with the new ones, at most so many of a source; rows are as wide as the fullest needs."""
+    order = np.argsort(source, kind="stable")
+    source, target = source[order], target[order]
+    _, first, count = np.unique(source, return_index=True, return_counts=True)
+    place = np.arange(len(source)) - np.repeat(first, count)
+    fits = place < most
+    more = np.full((len(links), most), -1, np.int32)
+    more[source[fits], place[fits]] = target[fits]
+    out = np.hstack([links, more])
+    out = np.take_along_axis(out, np.argsort(out < 0, axis=1, kind="stable"), 1)
+    return np.ascontiguousarray(out[:, : max(links.shape[1], int((out >= 0).sum(1).max()))])
+
+
 class Graph:
     """Layered graphs over the rows of ``x`` (of unit length): layer 0 has all rows, each higher one a sixteenth."""
 
@@ -98,11 +143,13 @@ class Graph:
         first = order[: min(len(order), 1024)]
         links[first] = out._exact(first, 2 * DEGREE)
         out.layers = [(np.arange(len(x), dtype=np.int32), links), *above]
+        out._link_back(first, 2 * DEGREE)
         done = len(first)
         while done < len(order):
             new = order[done : done + min(done, 4096)]
             out._insert(new)
             done += len(new)
+        out._join_parts()
         return out
 
     def _exact(self, nodes: np.ndarray, degree: int) -> np.ndarray:
@@ -142,8 +189,13 @@ class Graph:
             rank = np.argsort(bad, axis=1, kind="stable")[:, :BUILD]
             found, near = np.where(np.take_along_axis(bad, rank, 1), -1, np.take_along_axis(found, rank, 1)), np.take_along_axis(near, rank, 1)
             links[part, :DEGREE] = diverse(self.x, part, found, near, DEGREE)
-        source = np.repeat(new, DEGREE)
-        target = links[new, :DEGREE].ravel()
+        self._link_back(new, DEGREE)
+
+    def _link_back(self, new: np.ndarray, degree: int) -> None:
+        """Offer ``new`` to the rows that they link to, which keep diverse ones of what they have and are offered."""
+        links = self.layers[0][1]
+        source = np.repeat(new, degree)
+        target = links[new, :degree].ravel()
         source, target = source[target >= 0], target[target >= 0]
         near = np.einsum("ij,ij->i", self.x[source], self.x[target])
         order = np.lexsort((-near, target))
@@ -164,6 +216,28 @@ class Graph:
             rank = np.argsort(-s, axis=1)
             links[own] = diverse(self.x, own, np.take_along_axis(both, rank, 1), np.take_along_axis(s, rank, 1), width)
 
+    def _join_parts(self) -> None:
+        """Give every row a way to every other on the ground: groups of near rows else link to themselves only.
+
+        Each part that a walk from the first row leaves out (then: that has no way to it)
+        gets a link from (to) the row outside that is most similar to one of its rows.
+        """
+        nodes, links = self.layers[0]
+        for to_first in (False, True):
+            while not (inside := _connected(links, to_first)).all():
+                out, rest = np.flatnonzero(~inside), np.flatnonzero(inside)
+                best, near = np.empty(len(out), np.int64), np.empty(len(out), np.float32)
+                step = max(1, MEETINGS // len(rest))
+                for i in range(0, len(out), step):
+                    s = self.x[out[i : i + step]] @ self.x[rest].T
+                    best[i : i + step], near[i : i + step] = rest[s.argmax(1)], s.max(1)
+                part = _parts(links, inside)[out]
+                order = np.lexsort((-near, part))
+                pick = order[np.unique(part[order], return_index=True)[1]]
+                source, target = (out[pick], best[pick]) if to_first else (best[pick], out[pick])
+                links = _widened(links, source, target)
+        self.layers[0] = nodes, links
+
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, similarities), best first, -1 where fewer were found: down the layers, then a beam on the ground."""
         top, links = self.layers[-1] if len(self.layers) > 1 else (self.layers[0][0][:0], None)

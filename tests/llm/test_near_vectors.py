@@ -200,3 +200,18 @@ def test_many_vectors_with_a_hot_group(spark):
     assert sum(r.n_links for r in got.values()) >= 0.9999 * number.sum()
     small = number < 100
     assert sum(got[i].n_links for i in np.flatnonzero(small)) >= 0.999 * number[small].sum()
+
+
+def test_parts_apart_are_joined():
+    """Groups larger than a row's links would link to themselves only: beams far below the shard must still reach all of them."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(40, 32))
+    x = V.unit(rng.permutation(np.vstack([near(rng, c, 0.02, 60) for c in centers] + [near(rng, centers[0], 0.02, 900)])))
+    g = V.Graph.build(x)
+    links = g.layers[0][1]
+    assert V._connected(links, False).all() and V._connected(links, True).all()
+    assert links.shape[1] <= 2 * V.DEGREE + 8
+    g.audit(0.9)
+    assert g.beam <= V.WIDE < len(x)
+    q, _ = g.within(x, 0.9)
+    assert len(q) >= 0.999 * (x @ x.T >= 0.9).sum()
