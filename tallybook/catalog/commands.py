@@ -175,10 +175,7 @@ select action as type, 'pending' as state, created_utc, author as from_user, tar
 from judged where reason is null""",
 )
 def stage_actions(t: Tables) -> DataFrame:
-    built = _built(t)
-    staged = c.stage_actions(built)
-    keyed = staged.join(built.select("fullname", "keyword"), "fullname")
-    return keyed.select(
+    return c.stage_actions(_built(t), "keyword").select(
         "type", "state", "created_utc", "from_user", "to_user", "to_addr", "coin", "subreddit", "verify",
         "msg_id", "fullname", "msg_body", "take_all",
         F.when(F.col("keyword").isNull(), F.col("coin_val")).alias("plain_coin_val"),

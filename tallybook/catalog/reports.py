@@ -121,8 +121,9 @@ def render(t: Tables) -> DataFrame:
 
 @query("N2")
 def notify_account(t: Tables) -> DataFrame:
-    requests = t.action.where("type = 'history'").join(t.service, "service_id").select(
-        "action_id", "type", "service_name", "from_user", "config1", "config3"
+    reports = t.action.where("type in ('history', 'info', 'register', 'accept', 'deposit')")
+    requests = reports.join(t.service, "service_id").select(
+        "action_id", "type", "service_name", "from_user", "coin_val", "config1", "config3"
     )
     return n.notify_account(requests, t.username, t.service, t.address, t.action)
 

@@ -300,8 +300,8 @@ def build_action(
     )
 
 
-def stage_actions(built: DataFrame) -> DataFrame:
-    """Staging rows, one per usable action; the body is kept for messages only."""
+def stage_actions(built: DataFrame, *extra: str) -> DataFrame:
+    """Staging rows, one per usable action, and ``extra`` columns of them; the body is kept for messages only."""
     good = built.where(F.col("reason").isNull())
     amount = lambda c, t: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast(t)
     link = F.col("permalink") if "permalink" in good.columns else F.lit(None).cast("string")
@@ -324,4 +324,5 @@ def stage_actions(built: DataFrame) -> DataFrame:
         "fullname",
         link.alias("msg_link"),
         F.when(F.col("kind") == "message", F.col("body")).alias("msg_body"),
+        *extra,
     )

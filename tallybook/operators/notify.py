@@ -90,9 +90,10 @@ def notify_account(
 ) -> DataFrame:
     """Payload of history, info, register, accept and deposit reports.
 
-    ``requests``: action_id, type, service_name, from_user and optionally error.
-    An unregistered sender gets a not_registered row.  Linked accounts come in
-    parts of bounded size, one row per part; history holds one page.
+    ``requests``: action_id, type, service_name, from_user and optionally error and
+    coin_val, the amount of a deposit.  An unregistered sender gets a not_registered
+    row.  Linked accounts come in parts of bounded size, one row per part; history holds
+    one page and goes with the first part.
     """
     space = Workspace(requests.sparkSession, "account-reports")
     resolved = space.store(resolve_users(requests, username, service), "requests")
@@ -107,17 +108,22 @@ def notify_account(
         "position", "service_name", "type", "state", "ts", "from_user", "to_user", "to_addr", "coin_val",
         "fiat_val", "coin", "fiat", *[c for c in CONFIG_COLUMNS if c in action.columns],
     ]
+    # A page is read for those who ask for it, and joined to the first part of their links only.
+    readers = resolved.where("type = 'history'").select("user_id").distinct()
     pages = (
-        user_history(username, action, service, 1, page, few_users=True)
+        user_history(username.join(readers, "user_id", "left_semi"), action, service, 1, page, few_users=True)
         .groupBy("user_id")
         .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("history"))
+        .select("user_id", F.lit("history").alias("type"), F.lit(0).alias("part"), "history")
     )
     joined = (
         resolved.join(info, "user_id", "left")
         .join(totals, "user_id", "left")
         .join(links, "user_id", "left")
-        .join(pages, "user_id", "left")
+        .withColumn("part", F.coalesce("part", F.lit(0)))
+        .join(pages, ["user_id", "type", "part"], "left")
     )
+    deposit = F.col("coin_val") if "coin_val" in requests.columns else F.lit(None)
     registered = F.col("is_registered")
     error = F.col("error") if "error" in requests.columns else F.lit(None).cast("string")
     kind = F.when(error.isNotNull(), error).when(~registered, "not_registered").otherwise(F.col("type"))
@@ -135,14 +141,15 @@ def notify_account(
         F.col("total_fiat_sent").cast("string").alias("total_fiat_sent"),
         F.col("total_fiat_received").cast("string").alias("total_fiat_received"),
         F.col("balance").cast("string").alias("balance"),
-        F.when(F.col("type") == "history", F.col("history")).alias("history"),
+        F.when(F.col("type") == "deposit", deposit.cast("string")).alias("coin_val"),
+        "history",
     )
     return joined.select(
         "action_id",
         F.col("service_name").alias("service"),
         kind.alias("type"),
         F.col("from_user").alias("u_from"),
-        F.coalesce("part", F.lit(0)).alias("part"),
+        "part",
         F.to_json(payload).alias("payload"),
     )
 

@@ -62,13 +62,17 @@ def reconcile_deposits(
             F.count(F.when(with_account, 1)).alias("_named"),
         )
     )
+    # Owners and records of what is queued only: a batch, not the ledger.
+    asked = address.join(queued.select("address").distinct(), "address", "left_semi")
+    holders = asked.select(F.explode(F.array("user_id", "user_id_alias")).alias("user_id")).distinct()
     owners = (
-        address_owner(address, username, service)
+        address_owner(asked, username.join(holders, "user_id", "left_semi"), service)
         .groupBy("address")
         .agg(F.min_by(F.struct("owner_id", "service_id", "service_name", "username"), "address_id").alias("_owner"))
     )
     recorded = (
         action.where(F.col("type") == "deposit")
+        .join(unprocessed.select("txid"), "txid", "left_semi")
         .select("txid", F.col("to_addr").alias("address"), F.lit(True).alias("_recorded"))
         .distinct()
     )
