@@ -7,13 +7,29 @@ from batch numbers or a manifest; no folder of all versions is listed in a batch
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = -1
+# Groups of a stream's state.  A call into Python takes about 15 ms however few rows it gets, so many
+# keys share a group; a batch rewrites the groups it touches, so a group stays small.
+GROUPS = 2048
+PACKED = "known binary"
+
+
+def packed(known: Any) -> tuple[bytes]:
+    """State of a group under ``PACKED``."""
+    return (zlib.compress(json.dumps(known, separators=(",", ":")).encode(), 1),)
+
+
+def unpacked(state: tuple) -> Any:
+    return json.loads(zlib.decompress(bytes(state[0])))
 
 
 class _Folder:
