@@ -1,14 +1,19 @@
 """Keys of a stream share groups of state, and their results stay their own."""
 
+import datetime as dt
 from decimal import Decimal
 
 import pandas as pd
+import pytest
+
 from tallybook.plans.lineage import Workspace
 from tallybook.streaming import withdrawals
+from tallybook.streaming.expiry import stream_expiry
 
 REPORT_DDL = (
     "txid string, n int, category string, confirmations long, address string, amount decimal(20,8), fee decimal(20,8)"
 )
+LOG_DDL = "action_id long, ts timestamp, service_id long, type string, state string, from_user string, to_user string, coin_val decimal(20,8)"
 
 
 def drained(spark, space, frame):
@@ -84,3 +89,26 @@ def test_transactions_of_a_group_are_forgotten_one_by_one():
     assert batch(1100) == [] and state.wait == 60  # a is forgotten, b is not
     assert batch(1110, withdrawal("a", 2), withdrawal("b", 3)) == [3]
     assert batch(1300) == [] and not state.exists
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_recipients_share_state(spark, groups):
+    """Names that share a group, and one name on two services, do not answer for each other."""
+    space = Workspace(spark, f"t-names-{groups}")
+    start, hour = dt.datetime(2020, 1, 1), dt.timedelta(hours=1)
+    log, want = [], {}
+    for i in range(120):
+        service, name = i % 2, f"Name{i // 4}"
+        log.append((i, start + i * hour / 60, service, "givetip", "pending", "Ann", name, Decimal(i)))
+        want[i] = ("expired", start + i * hour / 60 + 48 * hour, "ann")
+    for k in range(30):
+        if k % 3:  # the name answers on service 1 only
+            log.append((1000 + k, start + (4 + k) * hour, 1, "accept" if k % 3 == 1 else "decline", "completed", f"NAME{k}", None, None))
+            for i in (4 * k + 1, 4 * k + 3):
+                want[i] = ("completed", start + (4 + k) * hour, f"name{k}") if k % 3 == 1 else ("declined", start + (4 + k) * hour, "ann")
+    log.append((2000, start + 2000 * hour, 1, "accept", "completed", "nobody", None, None))
+    log.append((2001, None, 1, "accept", "completed", "name0", None, None))
+    rows, most = drained(spark, space, stream_expiry(*streams(spark, space, log=spark.createDataFrame(log, LOG_DDL)), clock="event", parts=2, groups=groups))
+    assert {r.action_id: (r.state, r.settled_at, r.credit) for r in rows} == want and len(rows) == 120
+    assert all(r.service_id == r.action_id % 2 and r.coin_val == r.action_id for r in rows)
+    assert most <= groups
