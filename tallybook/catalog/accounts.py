@@ -200,9 +200,9 @@ outc as (select p.txid, p.address, case when named = 0 then 'no_account' when re
 _OUTCOMES = _OUTCOMES.replace("arg_min(amount, (n, amount))", "arg_min(amount, struct_pack(a := n, b := amount))")
 
 
-def _deposits(t: Tables) -> DataFrame:
+def _deposits(t: Tables, found: DataFrame | None = None) -> DataFrame:
     return r.reconcile_deposits(
-        t.unprocessed, t.sql(_DETAILS), t.address, t.username, t.service, t.sql(_RECORDED)
+        t.unprocessed, t.sql(_DETAILS), t.address, t.username, t.service, t.sql(_RECORDED), found=found
     )
 
 
@@ -238,4 +238,5 @@ where txid not in (select txid from outc where outcome <> 'unknown_owner')
  and txid not in (select txid from q where category not in ('send','receive','generate'))""",
 )
 def unprocessed_after(t: Tables) -> DataFrame:
-    return r.unprocessed_after(t.unprocessed, t.sql(_DETAILS), _deposits(t), t.action)
+    found = r.confirmed(t.unprocessed, t.sql(_DETAILS))
+    return r.unprocessed_after(t.unprocessed, t.sql(_DETAILS), _deposits(t, found), t.action, found=found)
