@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.reconcile import confirm_withdrawals, deposit_actions, reconcile_deposits
+from ..operators.reconcile import confirm_withdrawals, deposit_actions, per_address, reconcile_deposits
 from ..plans.lineage import Workspace
 from ..settings import DEFAULT, Settings
 from .state import SEED, VersionedTable
@@ -53,26 +53,27 @@ class ConfirmationStream:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         space = Workspace(self.spark, f"confirm-{batch_id}")
         rows = batch.select(*DETAIL_COLUMNS).unionByName(self.tables["waiting"].at(batch_id - 1))
-        # A detail reported several times counts once, with its best confirmation count.
-        best = rows.groupBy(*_KEYS).agg(F.max("confirmations").alias("confirmations"))
-        details = space.store(best, "details")
-        queue = details.select("txid").distinct()
-        recorded = self._recorded(batch_id)
+        # A detail reported several times counts once, with its best confirmation count.  Dealt by transaction,
+        # a row meets both its repeats and the rest of its transaction.
+        best = rows.repartition("txid").groupBy(*_KEYS).agg(F.max("confirmations").alias("confirmations"))
+        sure = F.max("confirmations").over(Window.partitionBy("txid")) >= self.settings.confirmations
+        details = space.store(best.withColumn("_sure", F.coalesce(sure & F.col("txid").isNotNull(), F.lit(False))), "details")
+        sure_ones = details.where("_sure").drop("_sure")
+        found = space.store(per_address(sure_ones.repartition("txid"), self.settings), "found")
+        queue = found.select("txid")
         deposits = space.store(
-            reconcile_deposits(queue, details, self.address, self.username, self.service, recorded, self.settings),
+            reconcile_deposits(
+                queue, sure_ones, self.address, self.username, self.service, self._recorded(batch_id), self.settings, found
+            ),
             "deposits",
         )
-        withdrawals = space.store(confirm_withdrawals(queue, details, self.action, self.settings), "withdrawals")
-        enough = details.groupBy("txid").agg(F.max("confirmations").alias("_c")).where(
-            F.col("_c") >= self.settings.confirmations
-        )
+        withdrawals = confirm_withdrawals(queue, sure_ones, self.action, self.settings, found)
         # Confirmed ones stay only while no owner is known.
-        done = enough.select("txid").join(
-            deposits.where("outcome = 'unknown_owner'").select("txid").distinct(), "txid", "left_anti"
-        )
+        unknown = deposits.where("outcome = 'unknown_owner'").select("txid").distinct()
+        waiting = details.where("NOT _sure").drop("_sure").unionByName(sure_ones.join(unknown, "txid", "left_semi"))
         self.tables["deposits"].write(deposits, batch_id)
         self.tables["withdrawals"].write(withdrawals, batch_id)
-        self.tables["waiting"].write(details.join(done, "txid", "left_anti").select(*DETAIL_COLUMNS), batch_id)
+        self.tables["waiting"].write(waiting.select(*DETAIL_COLUMNS), batch_id)
 
     def _recorded(self, batch_id: int) -> DataFrame:
         earlier = deposit_actions(self.tables["deposits"].appended(batch_id), self.settings)
