@@ -16,8 +16,11 @@ leave the loop; an accepted one stays for one more round to be added to the
 decided balances of later actions.  Rounds are written to the checkpoint folder.
 
 A claim may name a second account, ``via``, that must cover the same amount: a hot
-wallet.  It is bounded in the same way; the claim is accepted when both cover it and
-is rejected without an error when only the second is short.
+wallet.  The claim is accepted when both cover it and is rejected without an error when
+only the second is short.  An almost empty wallet would take and refuse one claim a
+round, so its bounds follow its claims one by one, as a sorted stream: a claim whose
+sender surely covers it is settled there and then, however many do not fit.  What an
+account or a pair surely bars moves nothing any more and waits for its error only.
 
 Time order is (t, phase, id): t in microseconds, phase 0 for time limits and 1
 for actions, id of the causing action.
@@ -25,14 +28,17 @@ for actions, id of the causing action.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import decimal
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.lineage import Workspace
-from ..plans.scan import Chunking, Running, plan_chunks, running
+from ..plans.scan import Chunking, Running, chunked, plan_chunks, running
+from ..session import ship
 from ..settings import DEFAULT, Settings
 
 MONEY = "decimal(38,8)"
@@ -99,8 +105,9 @@ def _entries() -> Column:
     zero, one = F.lit(0).cast(MONEY), F.lit(1)
     is_open = F.col("status") == "open"
     amount = F.coalesce("amount", zero)
-    whole = F.when(is_open & F.col("take_all"), 1).otherwise(0)
-    fixed = F.when(F.col("take_all"), zero).otherwise(amount)
+    unknown = F.col("take_all") & F.col("need").isNull()
+    whole = F.when(is_open & unknown & ~F.col("barred"), 1).otherwise(0)
+    fixed = F.when(unknown | F.col("barred"), zero).otherwise(F.coalesce("need", "amount", zero))
 
     def entry(account, t, phase, oid, probe, sign, bound):
         open_part = F.when(is_open, fixed * sign).otherwise(zero).cast(MONEY)
@@ -136,6 +143,11 @@ def _entries() -> Column:
     )
 
 
+def _final() -> list[Column]:
+    """State columns of open claims, for those that are decided."""
+    return [F.lit(None).cast(MONEY).alias("need"), F.lit(False).alias("barred")]
+
+
 def _entry_rows(state: DataFrame, entries: Column) -> DataFrame:
     exploded = state.select("*", F.explode(entries).alias("_e")).where(F.col("_e").isNotNull())
     # Only the sender's row carries the action; the others feed the sums.
@@ -160,7 +172,7 @@ def _with_pairs(state: DataFrame, limits: Chunking) -> DataFrame:
     end = F.struct(*_END)
     values = {
         "_sure": Running("max", F.when(F.col("status") == "new", end)),
-        "_maybe": Running("max", F.when(F.col("status") == "open", end)),
+        "_maybe": Running("max", F.when((F.col("status") == "open") & ~F.col("barred"), end)),
     }
     scanned = running(held, ("pair",), ("t", "action_id"), values, limits, inclusive=False)
     blocked = scanned.withColumn("block_end", F.greatest("block_end", "_sure"))
@@ -169,20 +181,87 @@ def _with_pairs(state: DataFrame, limits: Chunking) -> DataFrame:
 
 
 def _with_second(state: DataFrame, limits: Chunking) -> DataFrame:
-    """Bounds of the second account of claims that have one, from its own earlier claims and credits."""
+    """Bounds ``v_lo`` and ``v_hi`` of the second account before each open claim that has one."""
     some, rest = state.where(F.col("via").isNotNull()), state.where(F.col("via").isNull())
     zero, is_open = F.lit(0).cast(MONEY), F.col("status") == "open"
-    amount = F.coalesce("amount", zero)
+    unknown = F.col("take_all") & F.col("need").isNull()
+    amount = F.coalesce("need", "amount", zero)
     # A granted credit raises it; whatever has a sender lowers it.
     sign = F.when(F.col("src").isNull(), 1).otherwise(-1)
+    moved = F.when(is_open, zero).otherwise((F.coalesce("amount", zero) * sign).cast(MONEY))
+    asked = is_open & ~F.col("barred")
     values = {
-        "v_d": Running("sum", F.when(is_open, zero).otherwise((amount * sign).cast(MONEY)), MONEY),
-        "v_lo": Running("sum", F.when(is_open & ~F.col("take_all"), -amount).otherwise(zero).cast(MONEY), MONEY),
-        "v_all": Running("sum", F.when(is_open & F.col("take_all"), 1).otherwise(0), "bigint"),
+        "d": Running("sum", moved, MONEY),
+        "lo": Running("sum", F.when(asked & ~unknown, -amount).otherwise(zero).cast(MONEY), MONEY),
+        "all": Running("sum", F.when(asked & unknown, 1).otherwise(0), "bigint"),
     }
-    scanned = running(some, ("via",), ("t", "action_id"), values, limits, inclusive=False)
-    based = scanned.withColumn("via_base", (F.col("via_base") + F.coalesce("v_d", zero)).cast(MONEY)).drop("v_d")
-    return based.unionByName(rest, allowMissingColumns=True)
+    work, carry = chunked(some, ("via",), ("t", "action_id"), values, limits)
+    if carry is not None:
+        work = work.join(carry, ["via", "_chunk"], "left")
+    before = {n: F.coalesce(f"_c_{n}", F.lit(0)) if carry is not None else F.lit(0) for n in values}
+    work = work.select(
+        *state.columns, "_chunk", moved.alias("_d"),
+        # What a claim asks of the account: nothing, an amount, or one not known yet (null).
+        F.when(~asked, zero).when(~unknown, amount).cast(MONEY).alias("_ask"),
+        asked.alias("_asked"),
+        # Its sender and its pair surely let it pass.
+        (F.col("need").isNotNull() & ~(F.col("held") & F.col("pair").isNotNull())).alias("_sure"),
+        before["d"].cast(MONEY).alias("_c_d"), before["lo"].cast(MONEY).alias("_c_lo"), (before["all"] > 0).alias("_c_open"),
+    )
+    # Each task reads its accounts, or chunks of them, in order and keeps a few numbers.
+    dealt = work.repartition("via", "_chunk").sortWithinPartitions("via", "_chunk", "t", "action_id")
+    ship(state.sparkSession)
+    schema = f"{dealt.schema.simpleString()[7:-1]},v_d:{MONEY},v_lo:{MONEY},v_hi:{MONEY}"
+    followed = dealt.mapInArrow(_follow, schema)
+    based = followed.withColumn("via_base", (F.col("via_base") + F.coalesce("v_d", zero)).cast(MONEY))
+    return based.select(*state.columns, "v_lo", "v_hi").unionByName(rest, allowMissingColumns=True)
+
+
+_FOLLOWED = ("via", "_chunk", "via_base", "_d", "_ask", "_asked", "_sure", "_c_d", "_c_lo", "_c_open")
+_EXACT = decimal.Context(prec=76)
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order with what is decided before them (v_d) and the bounds of their account (v_lo, unknown: null; v_hi).
+
+    An account holds lo to hi coins.  A claim that asks for n is accepted only by n or
+    more, so after one in doubt there are no fewer than lo or none, and no more than n
+    less than hi or just too few for it.
+    """
+    add, subtract = _EXACT.add, _EXACT.subtract
+    zero, least = decimal.Decimal(0), decimal.Decimal("0.00000001")
+    key, lo, hi, done, last = None, None, zero, zero, None
+    for b in batches:
+        rows = zip(*(b.column(c).to_pylist() for c in _FOLLOWED), strict=True)
+        out: list[list] = [[], [], []]
+        for via, chunk, base, d, ask, asked, sure, c_d, c_lo, c_open in rows:
+            if key != (via, chunk):
+                key, last, done = (via, chunk), None, c_d
+                lo, hi = None if c_open else add(c_d, c_lo), c_d
+            if base is not None:
+                # What was decided between two rows in earlier rounds is in the later one's base.
+                step = base if last is None else subtract(base, last)
+                last = base
+                if step:
+                    lo, hi = None if lo is None else add(lo, step), add(hi, step)
+            for values, value in zip(out, (done, lo, hi), strict=True):
+                values.append(value)
+            if d:
+                lo, hi, done = None if lo is None else add(lo, d), add(hi, d), add(done, d)
+            if not asked or (ask is not None and hi < ask):
+                continue
+            if ask is not None and lo is not None and lo >= ask:
+                lo = subtract(lo, ask)
+                if sure:
+                    hi = subtract(hi, ask)
+                continue
+            lo = None if lo is None else min(lo, zero)
+            if sure:
+                hi = max(subtract(hi, ask), subtract(ask, least))
+        money = pa.decimal128(38, 8)
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, *[pa.array(v, money) for v in out]], [*b.schema.names, "v_d", "v_lo", "v_hi"]
+        )
 
 
 def _base() -> Column:
@@ -201,18 +280,21 @@ def _decision(settings: Settings) -> list[Column]:
     now = F.struct(F.col("t").alias("end_t"), F.lit(1).alias("end_phase"), F.col("action_id").alias("end_id"))
     sure_block = F.coalesce(F.col("block_end") > now, F.lit(False))
     maybe_block = F.coalesce(F.col("_maybe") > now, F.lit(False))
-    whole = F.col("take_all")
+    sure = F.col("need").isNotNull()
+    whole = F.col("take_all") & ~sure
     exact = lo_known & hi_known & (lo == hi)
-    covered = F.when(whole, exact & (lo >= minimum)).otherwise(lo_known & (lo >= F.col("amount")))
-    needed = F.when(whole, base).otherwise(F.col("amount"))
-    second_lo = (F.col("via_base") + F.coalesce("v_lo", zero)).cast(MONEY)
-    second_covers = F.col("via").isNull() | ((F.coalesce("v_all", F.lit(0)) == 0) & (second_lo >= needed))
-    second_short = F.col("via").isNotNull() & F.coalesce(F.col("via_base") < needed, F.lit(False))
-    short = F.when(whole, hi_known & (hi < minimum)).otherwise(hi_known & (hi < F.col("amount")))
+    is_open = F.col("status") == "open"
+    covered = sure | F.when(whole, exact & (lo >= minimum)).otherwise(lo_known & (lo >= F.col("amount")))
+    needed = F.coalesce(F.col("need"), F.when(whole, base).otherwise(F.col("amount")))
+    at_least = F.when(covered | ~whole, needed).otherwise(minimum)
+    second_covers = F.col("via").isNull() | F.coalesce(F.col("v_lo") >= needed, F.lit(False))
+    second_short = F.col("via").isNotNull() & F.coalesce(F.col("v_hi") < at_least, F.lit(False))
+    barred = F.col("barred") | sure_block | second_short
+    short = ~sure & F.when(whole, hi_known & (hi < minimum)).otherwise(hi_known & (hi < F.col("amount")))
     status = (
-        F.when(F.col("status") != "open", "spent")
+        F.when(~is_open, "spent")
         .when(short, "rejected")
-        .when(covered & (sure_block | second_short), "rejected")
+        .when(covered & barred, "rejected")
         .when(covered & ~maybe_block & second_covers, "new")
         .otherwise("open")
     )
@@ -222,11 +304,13 @@ def _decision(settings: Settings) -> list[Column]:
         F.col("t"),
         F.col("src"),
         F.col("dst"),
-        F.when(whole & (status == "new"), base).otherwise(F.col("amount")).cast(MONEY).alias("amount"),
-        (whole & (status != "new")).alias("take_all"),
+        F.when(status == "new", needed).otherwise(F.col("amount")).cast(MONEY).alias("amount"),
+        (F.col("take_all") & (status != "new")).alias("take_all"),
         *[F.col(c) for c in ("held", *_END, "refund", "pair", "short_error", "via", "via_base")],
         base.alias("base"),
         F.col("block_end"),
+        F.when(is_open & covered, needed).cast(MONEY).alias("need"),
+        F.coalesce(is_open & barred, F.lit(False)).alias("barred"),
         error.alias("error"),
         status.alias("status"),
     ]
@@ -262,6 +346,8 @@ def settle(
         .withColumns(
             {
                 "block_end": F.lit(None).cast(end_type),
+                "need": F.lit(None).cast(MONEY),
+                "barred": F.lit(False),
                 "error": F.lit(None).cast("string"),
                 "status": F.lit("open"),
             }
@@ -275,7 +361,8 @@ def settle(
         wallets = second.groupBy(F.col("account").cast("bigint").alias("via")).agg(F.sum("balance").cast(MONEY).alias("_v"))
         state = state.join(wallets, "via", "left").withColumn("via_base", F.coalesce("_v", F.lit(0)).cast(MONEY)).drop("_v")
     if granted is not None:
-        state = state.unionByName(granted.withColumn("status", F.lit("new")), allowMissingColumns=True)
+        sure = granted.withColumns({"status": F.lit("new"), "barred": F.lit(False)})
+        state = state.unionByName(sure, allowMissingColumns=True)
     state = _normal(state)
     state = space.store(state, "start")
 
@@ -304,7 +391,7 @@ def settle(
         work = (
             _with_second(work, by_second)
             if todo["second"]
-            else work.withColumns({"v_lo": F.lit(0).cast(MONEY), "v_all": F.lit(0).cast("bigint")})
+            else work.withColumns({"v_lo": F.lit(None).cast(MONEY), "v_hi": F.lit(None).cast(MONEY)})
         )
         return running(
             _entry_rows(work, entries), ("account",), ("o_t", "o_phase", "o_id"), sums, by_account, inclusive=False
@@ -339,7 +426,7 @@ def settle(
 def _normal(state: DataFrame) -> DataFrame:
     return state.select(
         "action_id", "t", "src", "dst", "amount", "take_all", "held", *_END, "refund", "pair",
-        "short_error", "via", "via_base", "base", "block_end", "error", "status",
+        "short_error", "via", "via_base", "base", "block_end", "need", "barred", "error", "status",
     )
 
 
@@ -347,7 +434,7 @@ def accepted_entries(decisions: DataFrame, until: Column | None = None) -> DataF
     """Balance changes (account, o_t, o_id, d) of accepted claims, up to ``until``."""
     state = decisions.where("accepted").select(
         "action_id", "t", "src", "dst", F.col("amount").cast(MONEY).alias("amount"),
-        F.lit(False).alias("take_all"), "held", *_END, "refund", F.lit("new").alias("status"),
+        F.lit(False).alias("take_all"), "held", *_END, "refund", F.lit("new").alias("status"), *_final(),
     )
     rows = state.select(F.explode(_entries()).alias("_e")).where(F.col("_e").isNotNull()).select(
         F.col("_e.account").alias("account"),
@@ -390,7 +477,7 @@ def audit_decisions(opening: DataFrame, decisions: DataFrame, chunks: int | None
     state = decisions.select(
         "action_id", "t", "src", "dst",
         F.when(F.col("accepted"), F.col("amount")).otherwise(F.lit(0)).cast(MONEY).alias("amount"),
-        F.lit(False).alias("take_all"), "held", *_END, "refund", F.lit("new").alias("status"),
+        F.lit(False).alias("take_all"), "held", *_END, "refund", F.lit("new").alias("status"), *_final(),
         F.struct("accepted", "amount", "error", "short_error").alias("claim"),
     )
     rows = _entry_rows(state, _entries()).select("action_id", "claim", "account", "o_t", "o_phase", "o_id", "probe", "d")

@@ -141,19 +141,10 @@ def _is_hot(keys: Sequence[str], hot: list[int]) -> Column:
     return F.coalesce(_key_hash(keys).isin(hot), F.lit(False))
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, Running],
-    chunking: Chunking,
-    inclusive: bool = True,
-) -> DataFrame:
-    """Add running values over ``order`` = (t, tie) or (t, phase, tie) per key.
-
-    ``t`` and ``tie`` are integer columns.  With ``inclusive`` the current row
-    counts, otherwise only the rows before it.
-    """
+def chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Running], chunking: Chunking
+) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ``_chunk``, and per cut (key, chunk) the values ``_c_<name>`` before it; None if nothing is cut."""
     t, tie = F.col(order[0]), F.col(order[-1])
     phase = F.col(order[1]) if len(order) == 3 else None
     if not keys and not chunking.cuts:
@@ -165,25 +156,44 @@ def running(
     else:
         chunk = F.lit(0).cast("long")
     work = df.withColumn("_chunk", chunk)
-    group = [*keys, "_chunk"]
-    window = (
-        Window.partitionBy(*group)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    local = work.select("*", *[_local(v, window).alias(n) for n, v in values.items()])
     if not chunking.cuts:
-        return _finish(local.drop("_chunk"), df.columns, values)
+        return work, None
 
     # Totals per cut (key, chunk): at most hot keys x chunks rows.
+    group = [*keys, "_chunk"]
     cut = work if chunking.hot_keys is None else work.where(_is_hot(keys, chunking.hot_keys))
     totals = cut.groupBy(*group).agg(*[_total(v, order).alias(f"_c_{n}") for n, v in values.items()])
     before = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carry = totals.select(
+    return work, totals.select(
         *group, *[_carry(v, F.col(f"_c_{n}")).over(before).alias(f"_c_{n}") for n, v in values.items()]
     )
+
+
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: dict[str, Running],
+    chunking: Chunking,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Add running values over ``order`` = (t, tie) or (t, phase, tie) per key.
+
+    ``t`` and ``tie`` are integer columns.  With ``inclusive`` the current row
+    counts, otherwise only the rows before it.
+    """
+    work, carry = chunked(df, keys, order, values, chunking)
+    group = [*keys, "_chunk"]
+    window = (
+        Window.partitionBy(*group)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+    local = work.select("*", *[_local(v, window).alias(n) for n, v in values.items()])
+    if carry is None:
+        return _finish(local.drop("_chunk"), df.columns, values)
     joined = local.join(carry, group, "left")
     merged = joined.select(
         *[F.col(c) for c in df.columns],

@@ -198,3 +198,21 @@ def test_messages_recorded_earlier(spark):
     recorded = spark.createDataFrame([("givetip", 1, "m3"), ("givetip", 1, None)], "type string, service_id long, config1 string")
     states = {r.action_id: r.state for r in book_of(spark, LOG, recorded=recorded).outcomes.collect()}
     assert states[3] == states[4] == "ignored" and states[1] == "failed" and states[7] == "completed"
+
+
+def test_contested_wallet_takes_few_rounds(spark):
+    """Withdrawals that fit and that do not fit by turns, each deposit letting some more pass."""
+    rng = random.Random(5)
+    opening, wallets = {a: Decimal(100) for a in range(150)}, {w: Decimal(50) for w in (7, 8, 9)}
+    claims = [row(i, 10 * i, i, None, Decimal(rng.randrange(5, 40)), via=7 + i % 3, error=None) for i in range(150)]
+    credits = [row(1000 + i, 10 * i + 5, None, i, Decimal(9), via=7 + i // 2 % 3) for i in range(0, 150, 2)]
+    # One sender waits for another's tip, so the rows after it are in doubt for a while.
+    opening[20] = Decimal(0)
+    claims.append(row(2000, 1, 0, 20, Decimal(50)))
+    schema = fields(CLAIM_DDL + ", via bigint")
+    frame = lambda rows: spark.createDataFrame([tuple(c[f.name] for f in schema.fields) for c in rows], schema)
+    money = lambda of: spark.createDataFrame(list(of.items()), "account bigint, balance decimal(38,8)")
+    result = settle(money(opening), frame(claims), frame(credits), second=money(wallets), chunks=2)  # no wallet is cut
+    got = {r.action_id: (r.accepted, r.error, r.amount if r.accepted else None) for r in result.decisions.collect()}
+    assert got == sequential(opening, wallets, claims, credits)
+    assert result.rounds <= 6  # by bounds of sums alone: one round for each change between fitting and not fitting
