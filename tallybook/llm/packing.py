@@ -4,7 +4,7 @@ Tokens. A text is split at ASCII blanks, which the tokenizer drops and which no
 spans, so the ids of a text are those of its words. The added tokens of the vocabulary
 (<|endoftext|> and its like) are cut out of the words first and get their own ids, unless
 ``encode_special_tokens`` asks for them as plain text. A worker keeps the ids of the words
-that it has met in a bounded memory. Every document ends with an end id; only documents
+that it has met in a bounded memory; those it has not met are split many at a time. Every document ends with an end id; only documents
 longer than a sequence are cut.
 
 Packing. Pieces are dealt evenly over shards of bounded size. A shard places its pieces
@@ -22,6 +22,7 @@ empty result. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from bisect import insort
 from collections import defaultdict
@@ -43,17 +44,50 @@ LENGTH = 4096
 END = 1
 MEMORY = 400_000  # words, and parts of words, kept by a worker; as many older ones stay at hand
 LONGEST = 64  # characters of a word worth keeping
+TOGETHER = 1024  # new words of at most that length that are split in one call
+BREAK, KEPT = "\n", "\0"  # stand between words: never within one; kept by the normaliser
+MARK = b"\xff" * 4  # stands for a break among ids, all of which are smaller and end with a zero byte
 SHARD = 20_000  # pieces that one task packs
 # The blanks of Unicode, as a part of a character class.
 BLANKS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PASSES = 50  # passes of local search over a shard's underfull bins
 
 
+class Parts(dict):
+    """Little-endian 32-bit ids of a part of a word, merged by the model when it is not at hand."""
+
+    def __init__(self, model):
+        self.model, self.older = model, {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self[BREAK] = MARK
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            # Printable ASCII stands for itself.
+            plain = part.isascii() and part.isprintable()
+            tokens = self.model.tokenize(part if plain else part.encode().decode("latin-1").translate(self.letters))
+            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            if len(part) > LONGEST:
+                return ids
+        self[part] = ids
+        return ids
+
+    def turn(self) -> None:
+        """A full memory becomes the older one, from which what is still met moves on."""
+        if len(self) > MEMORY:
+            self.older = dict(self)
+            self.clear()
+            self[BREAK] = MARK
+
+
 class Words:
     """Ids of texts as little-endian 32-bit integers, by way of their words.
 
-    A word met before costs one look-up; a new one is normalised and split by the rules
-    that the vocabulary file names, and its parts are looked up or merged by its model.
+    A word met before costs one look-up. New ones are normalised and split by the rules that
+    the vocabulary file names, many in one call with breaks between them, and their parts
+    are looked up or merged by its model.
     """
 
     def __init__(self, vocabulary: str, encode_special_tokens: bool = True):
@@ -68,25 +102,14 @@ class Words:
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         # The leftmost match, of several the longest, as the library has it.
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.split = regex.compile(rule.replace(r"\s", BLANKS))
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
-        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.split = regex.compile(f"{rule}|{BREAK}".replace(r"\s", BLANKS))
+        self.parts = Parts(self.tokenizer.model)
         # A full memory becomes the older one, from which what is still met moves on.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.older_parts: dict[str, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None and (ids := self.older_parts.get(part)) is not None:
-            self.parts[part] = ids
-        elif ids is None:
-            tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-            ids = np.array([t.id for t in tokens], "<u4").tobytes()
-            if len(part) <= LONGEST:
-                self.parts[part] = ids
-        return ids
+
+    def ids(self, plain: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.split.findall(plain)))
 
     def word(self, word: str) -> bytes:
         if any(t in word for t in self.added):
@@ -94,22 +117,44 @@ class Words:
         return self.plain(word)
 
     def plain(self, word: str) -> bytes:
-        plain = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
-        return b"".join(map(self.part, self.split.findall(plain)))
+        return self.ids(word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word))
+
+    def several(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words hold no break. Two words never touch, so one does not change another."""
+        text = BREAK.join(words)
+        if any(t in text for t in self.added):
+            return [*map(self.word, words)]
+        if text.isascii():
+            return self.ids(text.lower()).split(MARK)
+        # The normaliser turns breaks into blanks, so it gets a character that it keeps.
+        if KEPT in text:
+            return [*map(self.word, words)]
+        plain = self.tokenizer.normalizer.normalize_str(text.replace(BREAK, KEPT))
+        return self.ids(plain.replace(KEPT, BREAK)).split(MARK)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > MEMORY:
             self.older, self.known = self.known, {}
-        if len(self.parts) > MEMORY:
-            self.older_parts, self.parts = self.parts, {}
-        new = set().union(*split) - self.known.keys()
-        older = self.older
-        self.known.update((word, older[word] if word in older else self.word(word)) for word in new)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.parts.turn()
+        new = set().union(*split).difference(self.known)
+        known, older = self.known, self.older
+        long, kinds = [], ([], [])
         for word in new:
-            if len(word) > LONGEST:
-                del self.known[word]
+            if word in older:
+                known[word] = older[word]
+            elif len(word) > LONGEST:
+                long.append(word)
+            else:
+                kinds[word.isascii()].append(word)
+        known.update((word, self.word(word)) for word in long)
+        for kind in kinds:
+            for at in range(0, len(kind), TOGETHER):
+                some = kind[at : at + TOGETHER]
+                known.update(zip(some, self.several(some), strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in long:
+            del known[word]
         return out
 
 

@@ -103,3 +103,38 @@ def test_added_tokens_as_the_library_has_them(spark, documents, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for rows in (op4_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
         check(rows.collect(), texts, default, P.LENGTH)
+
+
+def test_new_words_are_split_together(plain):
+    """Some calls for many words (before: one a word), with the library's ids whatever stands in them."""
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def findall(self, text):
+            self.calls += 1
+            return self.pattern.findall(text)
+
+    rng = random.Random(8)
+    pool = ["a", "É", "é", "Σ", "İ", "7", "'ll", "$$", "\0", "\x0b", "\x85", "\xff", "日本", "x" * 70]
+    texts = ["".join(rng.choice(pool[:8]) for _ in range(5)) + f" w{k} é{k}" for k in range(4000)]
+    texts += ["".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(30)) for _ in range(50)]
+    w = P.Words(VOCABULARY)
+    w.split = Counted(w.split)
+    got = w.encode(texts[:4000])
+    assert w.split.calls <= 20
+    got += w.encode(texts[4000:]) + w.encode(texts[:10])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts + texts[:10]]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+
+
+def test_full_memory_of_words(plain, monkeypatch):
+    monkeypatch.setattr(P, "MEMORY", 30)
+    monkeypatch.setattr(P, "TOGETHER", 4)
+    rng = random.Random(9)
+    w = P.Words(VOCABULARY)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["tree", "Éa", "x1,"]) + str(rng.randrange(60)) for _ in range(20)) for _ in range(3)]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in w.encode(texts)] == want
