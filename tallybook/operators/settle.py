@@ -22,6 +22,10 @@ round, so its bounds follow its claims one by one, as a sorted stream: a claim w
 sender surely covers it is settled there and then, however many do not fit.  What an
 account or a pair surely bars moves nothing any more and waits for its error only.
 
+Columns that are the same for all claims of a run (nobody holds, nobody names a pair or a
+second account) take no part in the shuffles, and sums run over whole numbers of the
+smallest coin unless an account could hold too many of them.
+
 Time order is (t, phase, id): t in microseconds, phase 0 for time limits and 1
 for actions, id of the causing action.
 """
@@ -29,7 +33,7 @@ for actions, id of the causing action.
 from __future__ import annotations
 
 import decimal
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -42,6 +46,8 @@ from ..session import ship
 from ..settings import DEFAULT, Settings
 
 MONEY = "decimal(38,8)"
+UNITS = "bigint"  # money in steps of 0.00000001, where no account can reach the ends of this type
+_REACH = 2.0**62 / 10**8
 
 # One row per action that moves coins.
 CLAIM_DDL = (
@@ -49,6 +55,7 @@ CLAIM_DDL = (
     "held boolean, end_t bigint, end_phase int, end_id bigint, refund boolean, pair string, short_error string"
 )
 _END = ("end_t", "end_phase", "end_id")
+_END_TYPE = "struct<end_t: bigint, end_phase: int, end_id: bigint>"
 
 
 def claim(
@@ -96,50 +103,62 @@ class Settlement:
     open_after: tuple[int, ...]
 
 
-def _entries() -> Column:
+def _units(money: Column) -> Column:
+    return (money.cast("decimal(20,8)") * F.lit(10**8).cast("decimal(9,0)")).cast(UNITS)
+
+
+def _money(units: Column) -> Column:
+    return (units.cast("decimal(20,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast(MONEY)
+
+
+def _entries(money: str = MONEY) -> Column:
     """Ledger entries of one state row, as an array of structs.
 
     d: change of the decided balance.  lo, hi: changes of the two bounds;
     lo_all, hi_all: open whole-balance claims, which make a bound unknown.
     """
-    zero, one = F.lit(0).cast(MONEY), F.lit(1)
+    zero, one = F.lit(0).cast(money), F.lit(1)
     is_open = F.col("status") == "open"
     amount = F.coalesce("amount", zero)
     unknown = F.col("take_all") & F.col("need").isNull()
     whole = F.when(is_open & unknown & ~F.col("barred"), 1).otherwise(0)
     fixed = F.when(unknown | F.col("barred"), zero).otherwise(F.coalesce("need", "amount", zero))
 
+    # A transfer to oneself moves nothing; it only has to be covered.
+    to_self = F.coalesce(F.col("src") == F.col("dst"), F.lit(False)) & ~F.col("held")
+
+    def signed(value, sign):
+        # Not multiplied: a product of decimals keeps six places only.
+        return value if sign == 1 else F.when(to_self, zero).otherwise(-value)
+
     def entry(account, t, phase, oid, probe, sign, bound):
-        open_part = F.when(is_open, fixed * sign).otherwise(zero).cast(MONEY)
+        open_part = F.when(is_open, signed(fixed, sign)).otherwise(zero).cast(money)
         return F.struct(
             account.alias("account"),
             t.alias("o_t"),
             phase.cast("int").alias("o_phase"),
             oid.alias("o_id"),
             F.lit(probe).alias("probe"),
-            F.when(is_open, zero).otherwise((amount * sign).cast(MONEY)).alias("d"),
+            F.when(is_open, zero).otherwise(signed(amount, sign).cast(money)).alias("d"),
             (open_part if bound == "lo" else zero).alias("lo"),
-            ((whole * -sign) if bound == "lo" else F.lit(0)).alias("lo_all"),
+            (F.lit(0) if bound == "hi" else -whole if sign == 1 else F.when(to_self, 0).otherwise(whole)).alias("lo_all"),
             (open_part if bound == "hi" else zero).alias("hi"),
             (whole if bound == "hi" else F.lit(0)).alias("hi_all"),
         )
 
-    # A transfer to oneself moves nothing; it only has to be covered.
-    to_self = F.coalesce(F.col("src") == F.col("dst"), F.lit(False)) & ~F.col("held")
-    sign = F.when(to_self, 0).otherwise(-1)
     now = (F.col("t"), one, F.col("action_id"))
     end = (F.col("end_t"), F.col("end_phase"), F.col("end_id"))
     return F.array(
-        F.when(F.col("src").isNotNull(), entry(F.col("src"), *now, True, sign, "lo")),
+        F.when(F.col("src").isNotNull(), entry(F.col("src"), *now, True, -1, "lo")),
         F.when(
             F.col("dst").isNotNull() & ~F.col("held") & ~to_self,
-            entry(F.col("dst"), *now, False, one, "hi"),
+            entry(F.col("dst"), *now, False, 1, "hi"),
         ),
         F.when(
             F.col("held") & ~F.col("refund") & F.col("dst").isNotNull(),
-            entry(F.col("dst"), *end, False, one, "hi"),
+            entry(F.col("dst"), *end, False, 1, "hi"),
         ),
-        F.when(F.col("held") & F.col("refund"), entry(F.col("src"), *end, False, one, "lo")),
+        F.when(F.col("held") & F.col("refund"), entry(F.col("src"), *end, False, 1, "lo")),
     )
 
 
@@ -148,20 +167,17 @@ def _final() -> list[Column]:
     return [F.lit(None).cast(MONEY).alias("need"), F.lit(False).alias("barred")]
 
 
-def _entry_rows(state: DataFrame, entries: Column) -> DataFrame:
+def _entry_rows(state: DataFrame, entries: Column, columns: Sequence[str] | None = None) -> DataFrame:
     exploded = state.select("*", F.explode(entries).alias("_e")).where(F.col("_e").isNotNull())
-    # Only the sender's row carries the action; the others feed the sums.
-    own = [F.when(F.col("_e.probe"), F.col(c)).alias(c) for c in state.columns]
+    # Only the sender's row carries the action, or ``columns`` of it; the others feed the sums.
+    own = [F.when(F.col("_e.probe"), F.col(c)).alias(c) for c in (state.columns if columns is None else columns)]
     return exploded.select(*own, "_e.*")
 
 
-def _sums() -> dict[str, Running]:
-    return {
-        "s_d": Running("sum", F.col("d"), MONEY),
-        "s_lo": Running("sum", F.col("lo"), MONEY),
-        "s_lo_all": Running("sum", F.col("lo_all"), "bigint"),
-        "s_hi": Running("sum", F.col("hi"), MONEY),
-        "s_hi_all": Running("sum", F.col("hi_all"), "bigint"),
+def _sums(money: str, whole: bool) -> dict[str, Running]:
+    unknown = ("lo_all", "hi_all") if whole else ()
+    return {f"s_{n}": Running("sum", F.col(n), money) for n in ("d", "lo", "hi")} | {
+        f"s_{n}": Running("sum", F.col(n), "bigint") for n in unknown
     }
 
 
@@ -264,19 +280,16 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _base() -> Column:
-    return (F.col("base") + F.coalesce("s_d", F.lit(0).cast(MONEY))).cast(MONEY)
-
-
-def _decision(settings: Settings) -> list[Column]:
-    """State columns after a round, with the new status, amount and error of a claim."""
-    zero = F.lit(0).cast(MONEY)
-    base = _base()
-    lo = (base + F.coalesce("s_lo", zero)).cast(MONEY)
-    hi = (base + F.coalesce("s_hi", zero)).cast(MONEY)
-    lo_known = F.coalesce("s_lo_all", F.lit(0)) == 0
-    hi_known = F.coalesce("s_hi_all", F.lit(0)) == 0
+def _decision(settings: Settings, money: str, known: bool) -> list[Column]:
+    """State columns after a round, with the new status, amount and error of a claim; ``known``: none takes all."""
+    zero = F.lit(0).cast(money)
+    base = (F.col("base") + F.coalesce("s_d", zero)).cast(money)
+    lo = (base + F.coalesce("s_lo", zero)).cast(money)
+    hi = (base + F.coalesce("s_hi", zero)).cast(money)
+    lo_known = F.lit(True) if known else F.coalesce("s_lo_all", F.lit(0)) == 0
+    hi_known = F.lit(True) if known else F.coalesce("s_hi_all", F.lit(0)) == 0
     minimum = F.lit(settings.minimum).cast(MONEY)
+    minimum = _units(minimum) if money == UNITS else minimum
     now = F.struct(F.col("t").alias("end_t"), F.lit(1).alias("end_phase"), F.col("action_id").alias("end_id"))
     sure_block = F.coalesce(F.col("block_end") > now, F.lit(False))
     maybe_block = F.coalesce(F.col("_maybe") > now, F.lit(False))
@@ -304,18 +317,62 @@ def _decision(settings: Settings) -> list[Column]:
         F.col("t"),
         F.col("src"),
         F.col("dst"),
-        F.when(status == "new", needed).otherwise(F.col("amount")).cast(MONEY).alias("amount"),
+        F.when(status == "new", needed).otherwise(F.col("amount")).cast(money).alias("amount"),
         (F.col("take_all") & (status != "new")).alias("take_all"),
         *[F.col(c) for c in ("held", *_END, "refund", "pair", "short_error", "via", "via_base")],
         base.alias("base"),
         F.col("block_end"),
-        F.when(is_open & covered, needed).cast(MONEY).alias("need"),
+        F.when(is_open & covered, needed).cast(money).alias("need"),
         F.coalesce(is_open & barred, F.lit(False)).alias("barred"),
         error.alias("error"),
         status.alias("status"),
     ]
 
 
+def _used() -> dict[str, Column]:
+    """What the claims of a run use at all, the largest amount, and the range of an error they may share."""
+    is_open = F.col("status") == "open"
+    sizes = [F.abs(F.col(c).cast("double")) for c in ("amount", "base")]
+    return {
+        "holds": F.count(F.when(~F.col("held").eqNullSafe(False), 1)),
+        "pairs": F.count(F.when(F.col("held") & F.col("pair").isNotNull(), 1)),
+        "via": F.count("via"),
+        "take_all": F.count(F.when(~F.col("take_all").eqNullSafe(False), 1)),
+        "largest": F.coalesce(F.max(F.greatest(*sizes)), F.lit(0.0)),
+        "errors": F.count(F.when(is_open, F.col("short_error"))),
+        "first_error": F.min(F.when(is_open, F.col("short_error"))),
+        "last_error": F.max(F.when(is_open, F.col("short_error"))),
+    }
+
+
+def _same(used: dict, money: str) -> dict[str, Column]:
+    """State columns, and bounds, with one value for all claims; only undecided ones need their error."""
+    null, no = F.lit(None), F.lit(False)
+    same: dict[str, Column] = {"error": null.cast("string")}
+    if not used["holds"]:
+        same |= {"held": no, "refund": no, "end_t": null.cast("bigint"), "end_phase": null.cast("int"), "end_id": null.cast("bigint")}
+    if not used["pairs"]:
+        same |= {"pair": null.cast("string"), "block_end": null.cast(_END_TYPE), "_maybe": null.cast(_END_TYPE)}
+    if not used["via"]:
+        same |= {"via": null.cast("bigint"), "via_base": null.cast(MONEY), "v_lo": null.cast(MONEY), "v_hi": null.cast(MONEY)}
+    if not used["take_all"]:
+        same["take_all"] = no
+    if not used["pairs"] and not used["via"]:
+        # Whatever is covered is decided at once.
+        same |= {"need": null.cast(money), "barred": no}
+    if used["errors"] == 0 or (used["errors"] == used["n"] and used["first_error"] == used["last_error"]):
+        same["short_error"] = F.lit(used["first_error"]).cast("string")
+    return same
+
+
+def _reach(state: DataFrame) -> float:
+    """The most that claims can move on one account, were all accepted or none."""
+    rough = state.withColumns({c: F.col(c).cast("double") for c in ("amount", "need")})
+    rows = _entry_rows(rough, _entries("double"), ())
+    each = rows.groupBy("account").agg(F.sum(F.abs("d") + F.abs("lo") + F.abs("hi")).alias("r"))
+    return each.agg(F.max("r")).first()[0] or 0.0
+
+
 def settle(
     opening: DataFrame,
     claims: DataFrame,
@@ -335,7 +392,6 @@ def settle(
     """
     spark = claims.sparkSession
     space = Workspace(spark, "settle")
-    end_type = "struct<end_t: bigint, end_phase: int, end_id: bigint>"
     first = opening.groupBy(F.col("account").cast("bigint").alias("_account")).agg(
         F.sum("balance").cast(MONEY).alias("_opening")
     )
@@ -345,7 +401,7 @@ def settle(
         .drop("_account", "_opening")
         .withColumns(
             {
-                "block_end": F.lit(None).cast(end_type),
+                "block_end": F.lit(None).cast(_END_TYPE),
                 "need": F.lit(None).cast(MONEY),
                 "barred": F.lit(False),
                 "error": F.lit(None).cast("string"),
@@ -366,12 +422,6 @@ def settle(
     state = _normal(state)
     state = space.store(state, "start")
 
-    # Built once: every round uses the same expressions.
-    entries, sums, decision = _entries(), _sums(), _decision(settings)
-    by_account = plan_chunks(
-        _entry_rows(state, entries).select("account", "o_t", "o_id"), F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks
-    )
-    held = state.where(F.col("held") & F.col("pair").isNotNull())
     is_open = F.col("status") == "open"
     # Open claims, and those among them that are held or have a second account.
     counted = {
@@ -379,34 +429,52 @@ def settle(
         "held": F.count(F.when(is_open & F.col("held") & F.col("pair").isNotNull(), 1)),
         "second": F.count(F.when(is_open & F.col("via").isNotNull(), 1)),
     }
-    todo = state.agg(*[c.alias(n) for n, c in counted.items()]).first().asDict()
+    todo = state.agg(*[c.alias(n) for n, c in (counted | _used()).items()]).first().asDict()
+    money = MONEY if todo["take_all"] or todo["via"] or todo["largest"] + _reach(state) > _REACH else UNITS
+    same = _same(todo, money)
+    live = [c for c in state.columns if c not in same]
+    if money == UNITS:
+        state = state.withColumns({c: _units(F.col(c)) for c in ("amount", "base", "need")})
+    state = state.select(*live)
+
+    # Built once: every round uses the same expressions.
+    entries, sums, decision = _entries(money), _sums(money, bool(todo["take_all"])), _decision(settings, money, not todo["take_all"])
+    by_account = plan_chunks(
+        _entry_rows(state.withColumns(same), entries, ()).select("account", "o_t", "o_id"),
+        F.col("o_t"), F.col("o_id"), ("account",), chunks=chunks,
+    )
+    held = state.withColumns(same).where(F.col("held") & F.col("pair").isNotNull())
     none = Chunking(hot_keys=[])
     by_pair = plan_chunks(held, F.col("t"), F.col("action_id"), ("pair",), chunks=chunks) if todo["held"] else none
-    with_second = state.where(F.col("via").isNotNull())
+    with_second = state.withColumns(same).where(F.col("via").isNotNull())
     by_second = plan_chunks(with_second, F.col("t"), F.col("action_id"), ("via",), chunks=chunks) if todo["second"] else none
 
     def bounded(rows: DataFrame) -> DataFrame:
         # What no open claim depends on any more is not scanned.
-        work = _with_pairs(rows, by_pair) if todo["held"] else rows.withColumn("_maybe", F.col("block_end"))
-        work = (
-            _with_second(work, by_second)
-            if todo["second"]
-            else work.withColumns({"v_lo": F.lit(None).cast(MONEY), "v_hi": F.lit(None).cast(MONEY)})
-        )
-        return running(
-            _entry_rows(work, entries), ("account",), ("o_t", "o_phase", "o_id"), sums, by_account, inclusive=False
-        )
+        work, carried = rows.withColumns(same), list(live)
+        if "pair" in live:
+            work = _with_pairs(work, by_pair) if todo["held"] else work.withColumn("_maybe", F.col("block_end"))
+            carried.append("_maybe")
+        if "via" in live:
+            work = (
+                _with_second(work, by_second)
+                if todo["second"]
+                else work.withColumns({"v_lo": F.lit(None).cast(MONEY), "v_hi": F.lit(None).cast(MONEY)})
+            )
+            carried += ["v_lo", "v_hi"]
+        entered = _entry_rows(work, entries, carried)
+        return running(entered, ("account",), ("o_t", "o_phase", "o_id"), sums, by_account, inclusive=False)
 
     columns = ["action_id", "amount", "status", "error"]
     rounds, counts = 0, []
-    stored = state.where("status in ('spent', 'rejected')")  # no claim is decided yet
+    stored = state.withColumns(same).where("status in ('spent', 'rejected')")  # no claim is decided yet
     while todo["n"]:
         rounds += 1
-        result = bounded(state).where("probe").select(*decision).where("status <> 'spent'")
+        result = bounded(state).where("probe").withColumns(same).select(*decision).where("status <> 'spent'")
         # The write itself counts what is left.
         left = Observation()
-        stored = space.store(result.observe(left, *[c.alias(n) for n, c in counted.items()]), f"round-{rounds}")
-        state = _normal(stored.where("status in ('open', 'new')"))
+        stored = space.store(result.observe(left, *[c.alias(n) for n, c in counted.items()]).select(*live, "error"), f"round-{rounds}")
+        state = stored.where("status in ('open', 'new')").select(*live)
         todo = left.get
         counts.append(todo["n"])
         if on_round:
@@ -415,6 +483,8 @@ def settle(
     paths = [space.path(f"round-{k}") for k in range(1, rounds + 1)]
     done = spark.read.schema(stored.schema).parquet(*paths) if paths else stored
     parts = done.where("status in ('new', 'rejected')").select(*columns)
+    if money == UNITS:
+        parts = parts.withColumn("amount", _money(F.col("amount")))
     decided = space.store(
         parts.select("action_id", (F.col("status") == "new").alias("accepted"), "error", "amount"), "decisions"
     )
@@ -485,7 +555,8 @@ def audit_decisions(opening: DataFrame, decisions: DataFrame, chunks: int | None
     net = {"_net": Running("sum", F.col("d"), MONEY)}
     summed = running(rows, ("account",), ("o_t", "o_phase", "o_id"), net, limits, inclusive=False)
     joined = summed.where("probe").join(start, F.col("account") == F.col("_account"), "left")
-    had = (F.coalesce("_opening", F.lit(0)) + F.coalesce("_net", F.lit(0))).cast(MONEY)
+    # One digit less on the left keeps all places of the sum.
+    had = (F.coalesce("_opening", F.lit(0)).cast("decimal(37,8)") + F.coalesce("_net", F.lit(0)).cast("decimal(37,8)")).cast(MONEY)
     short = F.col("claim.short_error").isNotNull() & (F.col("claim.error") == F.col("claim.short_error"))
     fits = F.when(F.col("claim.accepted"), had >= F.col("claim.amount")).when(short, had < F.col("claim.amount"))
     return joined.select(

@@ -176,3 +176,73 @@ def test_audit_finds_a_wrong_decision(spark, tables):
     )
     assert audit_decisions(opening, decisions).where("not consistent").isEmpty()
     assert rejected in [r["action_id"] for r in audit_decisions(opening, wrong).where("not consistent").collect()]
+
+
+def plain_ledger(rng, index, unit, errors):
+    """Transfers that are not held and name their amount, some to oneself or to nobody."""
+    opening, claims = random_ledger(rng, index, rng.randrange(2, 6), rng.randrange(5, 30))
+    opening = {a: b * unit for a, b in opening.items()}
+    for c in claims:
+        c.update(
+            held=False, end_t=None, end_phase=0, refund=False, pair=None, take_all=False,
+            amount=Decimal(rng.randrange(1, 30)) * unit, short_error=rng.choice(errors),
+        )
+    return opening, claims
+
+
+@pytest.mark.parametrize(
+    ("unit", "errors", "kind"),
+    [
+        ("1.00000001", ["balance_too_low"], "bigint"),
+        ("0.00000007", ["balance_too_low", None, "other"], "bigint"),
+        ("100000000", [None], "bigint"),
+        ("100000000000000.000003", ["balance_too_low"], "decimal(38,8)"),
+    ],
+)
+@pytest.mark.parametrize("chunks", [None, 64])
+def test_plain_claims_move_what_differs_only(spark, monkeypatch, unit, errors, kind, chunks):
+    """Rounds of plain transfers shuffle whole numbers and no column that is the same for all (before: all, as decimals)."""
+    from tallybook.operators import settle as S
+
+    written = {}
+    store = S.Workspace.store
+
+    def seen(space, df, name):
+        written[name] = dict(df.dtypes)
+        return store(space, df, name)
+
+    monkeypatch.setattr(S.Workspace, "store", seen)
+    rng = random.Random(unit)
+    ledgers = [plain_ledger(rng, i, Decimal(unit), errors) for i in range(30)]
+    opening, claims = build(spark, ledgers)
+    result = settle(opening, claims, chunks=chunks)
+    got = {
+        r["action_id"]: (r["accepted"], r["error"], r["amount"] if r["accepted"] else None)
+        for r in result.decisions.collect()
+    }
+    want, balances = {}, {}
+    for o, cs in ledgers:
+        decided, left = sequential(o, cs)
+        want.update(decided)
+        balances.update(left)
+    assert got == want
+    assert result.decisions.schema["amount"].dataType.simpleString() == S.MONEY
+    closing = {r["account"]: r["balance"] for r in closing_balances(opening, result.decisions).collect()}
+    assert closing == balances
+    assert written["round-1"]["amount"] == written["round-1"]["base"] == kind
+    assert not {"held", "pair", "end_t", "block_end", "via", "take_all", "need"} & written["round-1"].keys()
+    assert ("short_error" in written["round-1"]) == (len(errors) > 1)
+
+
+def test_far_amounts_that_no_account_gets(spark):
+    """A credit to nobody, or a claim on nobody's coins, beyond whole numbers keeps decimals."""
+    huge = Decimal(10) ** 20
+    base = dict(t=0, take_all=False, held=False, end_t=None, end_phase=0, end_id=0, refund=False, pair=None, short_error=None)
+    claims = [dict(base, action_id=1, src=1, dst=2, amount=Decimal(5)), dict(base, action_id=2, src=2, dst=2, amount=huge)]
+    opening, rows = build(spark, [({1: Decimal(5)}, claims)])
+    gift = build(spark, [({1: Decimal(5)}, [dict(base, action_id=3, src=None, dst=None, amount=huge)])])[1]
+    for granted in (None, gift):
+        got = {r["action_id"]: r["accepted"] for r in settle(opening, rows, granted).decisions.collect()}
+        assert got == {1: True, 2: False}
+    got = settle(opening, rows.where("action_id = 1"), gift).decisions.collect()
+    assert [r["accepted"] for r in got] == [True]
