@@ -58,6 +58,12 @@ def confirmed(unprocessed: DataFrame, details: DataFrame, settings: Settings = D
     return Workspace(details.sparkSession, "reconcile").store(per_address(queued, settings), "confirmed")
 
 
+def _filled(details: DataFrame) -> DataFrame:
+    """``details`` with the columns that only deposits need, empty where a caller has none."""
+    lacking = [(c, t) for c, t in (("account", "string"), ("blocktime", "bigint")) if c not in details.columns]
+    return details.select("*", *[F.lit(None).cast(t).alias(c) for c, t in lacking])
+
+
 def _heads(found: DataFrame) -> DataFrame:
     return found.select("txid", "head_category", "head_fee").distinct()
 
@@ -137,7 +143,7 @@ def confirm_withdrawals(
 ) -> DataFrame:
     """Ledger updates of confirmed outgoing transactions: completed, with the absolute fee."""
     if found is None:
-        found = confirmed(unprocessed, details, settings)
+        found = confirmed(unprocessed, _filled(details), settings)
     outgoing = _heads(found).where(F.col("head_category") == "send")
     return action.select("action_id", "txid").join(
         outgoing.select("txid", F.abs(F.col("head_fee")).alias("txfee")), "txid"
@@ -150,7 +156,7 @@ def unprocessed_after(
 ) -> DataFrame:
     """Queue rows that stay: too few confirmations, unknown owners only, unknown withdrawals."""
     if found is None:
-        found = confirmed(unprocessed, details, settings)
+        found = confirmed(unprocessed, _filled(details), settings)
     settled = deposits.where(F.col("outcome") != "unknown_owner").select("txid")
     other = _heads(found).where(~F.col("head_category").isin(*INCOMING))
     sent = F.col("head_category") == "send"
